@@ -53,10 +53,16 @@ class Postings:
         self.mat = _materialize_enabled(spark) if materialize_facts is None else materialize_facts
 
     def raw(self) -> DataFrame:
-        return raw_postings(self.spark, self.sf_dir)
+        """Raw layer (the binding's joins run once, then Parquet)."""
+        if not self.mat:
+            return raw_postings(self.spark, self.sf_dir)
+        return materialize(self.spark, lambda: raw_postings(self.spark, self.sf_dir), (self.sf_dir,), "raw")
 
     def clean(self) -> DataFrame:
-        return C.clean_dataset(self.raw())[0]
+        """Cleaned postings (source column names, typed)."""
+        if not self.mat:
+            return C.clean_dataset(self.raw())[0]
+        return materialize(self.spark, lambda: C.clean_dataset(self.raw())[0], (self.sf_dir,), "clean")
 
     def bridge(self) -> DataFrame:
         return C.category_bridge(self.clean())
