@@ -22,17 +22,16 @@ def repair(c: Column) -> Column:
 def python_title(c: Column) -> Column:
     """Python ``str.title``: a cased character is upper-cased when the character
     before it is not cased, lower-cased otherwise (unlike ``initcap``, which only
-    looks at spaces).  Evaluated per character with a higher-order function."""
-    s = c
-    n = F.greatest(F.length(s), F.lit(1))
-    chars = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.when(
-            (i > 1) & s.substr(i - 1, F.lit(1)).rlike(CASED_CLASS),
-            F.lower(s.substr(i, F.lit(1))),
-        ).otherwise(F.upper(s.substr(i, F.lit(1)))),
-    )
-    return F.when(s.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(chars, ""))
+    looks at spaces).
+
+    The string is split into maximal runs of cased / uncased characters; each
+    cased run becomes upper(first) + lower(rest) and uncased runs are kept --
+    one regex split per value instead of a regex per character."""
+    runs = F.regexp_extract_all(c, F.lit(f"({CASED_CLASS}+|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+)"), 1)
+    fixed = F.transform(runs, lambda t: F.when(
+        F.upper(t) != F.lower(t),
+        F.concat(F.upper(t.substr(F.lit(1), F.lit(1))), F.lower(t.substr(F.lit(2), F.length(t))))).otherwise(t))
+    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(fixed, ""))
 
 
 def leading_letters(c: Column) -> Column:

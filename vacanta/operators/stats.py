@@ -209,25 +209,36 @@ def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("expe
     on the value."""
     s = spearman_inputs(market)
     cols = list(columns)
+    nullable = list(nullable)
     pairs = []
     for i, x in enumerate(cols):
         for y in cols[i + 1:]:
             pairs.append((x, y, tuple(sorted({x, y} & set(nullable)))))
-    needed: dict[tuple, set] = {}
-    for x, y, reg in pairs:
-        needed.setdefault(reg, set()).update({x, y})
+    regimes = sorted({reg for _, _, reg in pairs})
+    tags = {reg: ("_".join(reg) or "all") for reg in regimes}
+    conds = {reg: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in reg], F.lit(True)) for reg in regimes}
+    # one pass: every (column, value) with its row count in each regime
+    long = s.select(*[conds[r].alias(f"_in_{tags[r]}") for r in regimes],
+                    F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v"))
+                                        for c in cols])).alias("x"))
+    hist = (long.where(F.col("x.v").isNotNull())
+            .groupBy(F.col("x.col").alias("col"), F.col("x.v").alias("v"))
+            .agg(*[F.count(F.when(F.col(f"_in_{tags[r]}"), 1)).alias(f"c_{tags[r]}") for r in regimes]))
+    below = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    for r in regimes:
+        t = tags[r]
+        hist = hist.withColumn(f"rk_{t}", F.when(F.col(f"c_{t}") > 0, F.coalesce(F.sum(f"c_{t}").over(below), F.lit(0))
+                                                                       + (F.col(f"c_{t}") + 1) / 2.0))
     ranked = s
-    for reg, rcols in needed.items():
-        cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in reg], F.lit(True))
-        tag = "_".join(reg) or "all"
-        sub = s.where(cond)
-        for c in sorted(rcols):
-            r = _average_ranks(sub, c, f"r_{tag}_{c}").withColumnRenamed(c, f"_v_{tag}_{c}")
-            ranked = ranked.join(r, (F.col(c) == F.col(f"_v_{tag}_{c}")) & cond, "left").drop(f"_v_{tag}_{c}")
+    for c in cols:
+        r = hist.where(F.col("col") == c).select(F.col("v").alias(f"_v_{c}"),
+                                                  *[F.col(f"rk_{tags[g]}").alias(f"r_{tags[g]}_{c}") for g in regimes])
+        ranked = ranked.join(r, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     aggs = []
     for x, y, reg in pairs:
-        tag = "_".join(reg) or "all"
-        aggs.append(null_safe_corr(F.col(f"r_{tag}_{x}"), F.col(f"r_{tag}_{y}")).alias(f"{x}|{y}"))
+        t = tags[reg]
+        both = conds[reg]
+        aggs.append(null_safe_corr(F.when(both, F.col(f"r_{t}_{x}")), F.when(both, F.col(f"r_{t}_{y}"))).alias(f"{x}|{y}"))
     wide = ranked.agg(*aggs)
     stack = ", ".join(f"'{x}', '{y}', `{x}|{y}`" for x, y, _r in pairs)
     return wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (column_a, column_b, spearman_rho)")
