@@ -105,15 +105,22 @@ def _requests(m):
     return req.withColumn("request_id", F.expr(_RID))
 
 
-def _ladder_sql() -> str:
-    d = H.DIMS
-    reqs = f"""req AS (
+_REQS = f"""req AS (
     SELECT DISTINCT *, {_RID} AS request_id FROM (
-        SELECT {', '.join(d)} FROM hm
+        SELECT {', '.join(H.DIMS)} FROM hm
         UNION ALL SELECT sector, position_level, NULL, NULL FROM hm
         UNION ALL SELECT NULL, position_level, NULL, yrs_bucket FROM hm
         UNION ALL SELECT NULL, NULL, experience_level, NULL FROM hm
         UNION ALL SELECT NULL, NULL, NULL, NULL))"""
+_POSTING_REQS = f"""req AS (
+    SELECT job_id AS request_id, {', '.join(H.DIMS)}, salary_midpoint AS salary FROM hm WHERE salary_flag = 'ok')"""
+_FLAG_BODY = """SELECT request_id, grain, salary, mid_p25, mid_p75,
+    CASE WHEN salary < mid_p25 THEN 'below_p25' WHEN salary > mid_p75 THEN 'above_p75' ELSE 'within' END AS salary_position
+FROM (SELECT lk.*, q.salary FROM lk JOIN req q USING (request_id))"""
+
+
+def _ladder_sql(reqs: str = _REQS, outer: str | None = None) -> str:
+    d = H.DIMS
     cells = []
     subsets = H._subsets()
     for s in subsets:
@@ -141,6 +148,8 @@ def _ladder_sql() -> str:
     CASE WHEN b.grain IS NOT NULL THEN b.mid_p50 ELSE g50 END AS mid_p50,
     CASE WHEN b.grain IS NOT NULL THEN b.mid_p75 ELSE g75 END AS mid_p75
 FROM req r LEFT JOIN best b ON b.request_id = r.request_id, g_all"""
+    if outer is not None:
+        return _sql(reqs, *cells, cand, best, glob, f"lk AS ({body})", body=outer)
     return _sql(reqs, *cells, cand, best, glob, body=body)
 
 
@@ -151,7 +160,7 @@ def q_salary_lookup(spark, sf):
     return H.salary_lookup(m, _requests(m))
 
 
-@register("salary_position_flag")
+@register("salary_position_flag", _ladder_sql(_POSTING_REQS, _FLAG_BODY))
 def q_salary_position_flag(spark, sf):
     """H-13: every ok posting's own midpoint against its 4-dim ladder benchmark."""
     m = _m(spark, sf)
