@@ -179,10 +179,17 @@ def reprice_many(finance: DataFrame, scenarios: DataFrame) -> DataFrame:
                      (daily * F.col("posting_window_days")).alias("vacancy_budget_exposure"))
 
 
+def year_range(col: str, year: int) -> Column:
+    """``year(col) = year`` written as a half-open date range, which the
+    Parquet reader can push down and use to skip row groups."""
+    return (F.col(col) >= F.lit(f"{int(year):04d}-01-01").cast("date")) & \
+           (F.col(col) < F.lit(f"{int(year) + 1:04d}-01-01").cast("date"))
+
+
 def finance_scope(year: int, sector: str, sub_sector: str | None = None, keyword: str | None = None) -> Column:
     """F-05: posting year, sector, optional sub-sector, optional keyword found
     (literally, case-insensitively) in the title or in the posting's skills."""
-    conds = [F.year("posting_date") == year, F.col("sector") == F.lit(sector)]
+    conds = [year_range("posting_date", year), F.col("sector") == F.lit(sector)]
     if sub_sector:
         conds.append(F.col("sub_sector") == F.lit(sub_sector))
     if keyword and keyword.strip():

@@ -313,7 +313,8 @@ def hiring_trend(jobs: DataFrame, sector=None, granularity: str = "year", year:
     if sector:
         conds.append(F.col("sector") == F.lit(sector))
     if granularity == "month" and year is not None:
-        conds.append(F.year("posting_date") == year)
+        conds.append((F.col("posting_date") >= F.lit(f"{int(year):04d}-01-01").cast("date"))
+                     & (F.col("posting_date") < F.lit(f"{int(year) + 1:04d}-01-01").cast("date")))
     period = F.year("posting_date").cast("string") if granularity == "year" else month_key("posting_date")
     if granularity == "year":
         period = F.year("posting_date")

@@ -200,7 +200,8 @@ def spearman_inputs(market: DataFrame) -> DataFrame:
     return s
 
 
-def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("experience_level_rank",)) -> DataFrame:
+def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("experience_level_rank",),
+                    max_broadcast_values: int = 2_000_000) -> DataFrame:
     """N-08: pairwise Spearman correlations with pairwise deletion and average
     ranks. A pair's ranks are computed over the rows where the pair's
     ``nullable`` columns are present (the other columns are never null after
@@ -229,11 +230,24 @@ def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("expe
         t = tags[r]
         hist = hist.withColumn(f"rk_{t}", F.when(F.col(f"c_{t}") > 0, F.coalesce(F.sum(f"c_{t}").over(below), F.lit(0))
                                                                        + (F.col(f"c_{t}") + 1) / 2.0))
-    ranked = s
-    for c in cols:
-        r = hist.where(F.col("col") == c).select(F.col("v").alias(f"_v_{c}"),
-                                                  *[F.col(f"rk_{tags[g]}").alias(f"r_{tags[g]}_{c}") for g in regimes])
-        ranked = ranked.join(r, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    hist = hist.select("col", "v", *[f"rk_{tags[r]}" for r in regimes])
+    # Size check: the rank tables hold one entry per distinct (column, value).
+    n_values = hist.count()
+    if n_values <= max_broadcast_values:
+        # one row of value -> rank maps, broadcast (bounded by the check above);
+        # ranks are then map lookups in a projection, no join of the rows
+        maps = hist.groupBy().agg(*[
+            F.map_from_entries(F.collect_list(F.when(F.col("col") == c, F.struct("v", f"rk_{tags[g]}")))).alias(f"m_{tags[g]}_{c}")
+            for c in cols for g in regimes])
+        ranked = s.crossJoin(F.broadcast(maps)).select(
+            *s.columns, *[F.element_at(F.col(f"m_{tags[g]}_{c}"), F.col(c).cast("double")).alias(f"r_{tags[g]}_{c}")
+                          for c in cols for g in regimes])
+    else:
+        ranked = s
+        for c in cols:
+            r = hist.where(F.col("col") == c).select(F.col("v").alias(f"_v_{c}"),
+                                                      *[F.col(f"rk_{tags[g]}").alias(f"r_{tags[g]}_{c}") for g in regimes])
+            ranked = ranked.join(r, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     aggs = []
     for x, y, reg in pairs:
         t = tags[reg]

@@ -37,7 +37,7 @@ def _norm(v):
         if f.is_integer() and abs(f) < 1e15:
             return float(int(f))
         mag = math.floor(math.log10(abs(f)))
-        return round(f, 9 - mag)
+        return round(f, min(9 - mag, 12))
     if isinstance(v, int):
         return float(v)
     if isinstance(v, _dt.datetime):

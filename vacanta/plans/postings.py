@@ -68,7 +68,9 @@ class Postings:
         return C.category_bridge(self.clean())
 
     def _jobs_plan(self) -> DataFrame:
-        return E.feature_enrichment(self.clean())
+        # Rows are sorted by posting date inside each written file, so Parquet
+        # row-group min/max statistics let date-range filters skip data.
+        return E.feature_enrichment(self.clean()).sortWithinPartitions("posting_date")
 
     def jobs(self) -> DataFrame:
         if not self.mat:
@@ -83,7 +85,8 @@ class Postings:
         from ..operators.finance import finance_features
         if not self.mat:
             return finance_features(self.jobs())
-        return materialize(self.spark, lambda: finance_features(self.jobs()), (self.sf_dir,), "finance")
+        return materialize(self.spark, lambda: finance_features(self.jobs()).sortWithinPartitions("posting_date"),
+                           (self.sf_dir,), "finance")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> Postings:
