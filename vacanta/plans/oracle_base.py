@@ -302,12 +302,12 @@ def sql_cost_columns(src: str, s=_P.DEFAULT) -> str:
     FROM (
         SELECT *, planning_salary_midpoint_monthly * total_cost_multiplier AS loaded_monthly_cost_per_head
         FROM (
-            SELECT *, 1 + employer_burden_rate + agency_premium_rate AS total_cost_multiplier
+            SELECT *, 1.0 + employer_burden_rate + agency_premium_rate AS total_cost_multiplier
             FROM (
                 SELECT *,
-                    CASE WHEN employment_cohort = 'Permanent' THEN {s.permanent_employer_burden_rate!r}
-                         WHEN employment_cohort = 'Contract' THEN {s.contract_employer_burden_rate!r} ELSE 0.0 END AS employer_burden_rate,
-                    CASE WHEN employment_cohort = 'Contract' THEN {s.contract_agency_premium_rate!r} ELSE 0.0 END AS agency_premium_rate
+                    CAST(CASE WHEN employment_cohort = 'Permanent' THEN {s.permanent_employer_burden_rate!r}
+                         WHEN employment_cohort = 'Contract' THEN {s.contract_employer_burden_rate!r} ELSE 0.0 END AS DOUBLE) AS employer_burden_rate,
+                    CAST(CASE WHEN employment_cohort = 'Contract' THEN {s.contract_agency_premium_rate!r} ELSE 0.0 END AS DOUBLE) AS agency_premium_rate
                 FROM {src}))))"""
 
 

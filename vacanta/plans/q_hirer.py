@@ -51,7 +51,7 @@ def q_layer2(spark, sf):
 
 
 @register("levels_by_seniority", _sql(body="""SELECT position_level, median_years,
-    row_number() OVER (ORDER BY median_years, position_level) AS level_rank
+    CAST(row_number() OVER (ORDER BY median_years, position_level) AS INTEGER) AS level_rank
     FROM (SELECT position_level, MEDIAN(seniority_years) AS median_years FROM hm
           WHERE position_level IS NOT NULL GROUP BY position_level)"""))
 def q_levels(spark, sf):
@@ -173,7 +173,7 @@ def q_salary_position_flag(spark, sf):
 _NORMS = f"""cell AS (
     SELECT position_level, yrs_bucket, COUNT(*) AS n FROM hm
     WHERE position_level IS NOT NULL AND yrs_bucket IS NOT NULL GROUP BY position_level, yrs_bucket),
-lv AS (SELECT position_level, row_number() OVER (ORDER BY MEDIAN(seniority_years), position_level) AS level_rank
+lv AS (SELECT position_level, CAST(row_number() OVER (ORDER BY MEDIAN(seniority_years), position_level) AS INTEGER) AS level_rank
        FROM hm WHERE position_level IS NOT NULL GROUP BY position_level),
 norms AS (
     SELECT c.position_level, c.yrs_bucket, c.n, t.level_n, c.n * 100.0 / t.level_n AS share_pct, lv.level_rank,
