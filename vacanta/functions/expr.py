@@ -12,6 +12,13 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def scalar(one_row, column: str) -> Column:
+    """A value of a one-row aggregate as an uncorrelated scalar subquery:
+    computed once, no join; subqueries over the same aggregate are merged
+    into one by the optimizer."""
+    return one_row.select(column).scalar()
+
+
 def clip(c, lo=None, hi=None) -> Column:
     """pandas ``clip``: bounds apply to non-null values, null stays null
     (``greatest``/``least`` alone would skip the null and return the bound)."""

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import all_of, clip, right_closed_bins
+from ..functions.expr import all_of, clip, right_closed_bins, scalar
 from .market import ENGAGEMENT_COUNTER_FREEZE_DATE
 
 # ---- fixed values ------------------------------------------------------------
@@ -102,10 +102,9 @@ def salary_benchmark(market: DataFrame, keys, min_n: int = MIN_N) -> DataFrame:
 def benchmark_coverage(market: DataFrame, keys, min_n: int = MIN_N) -> DataFrame:
     """N-04: extended benchmark plus each cell's coverage of all ok postings (%)."""
     ok = market.where(F.col("salary_flag") == "ok")
-    total = ok.agg(F.count(F.lit(1)).alias("_total"))
+    total = scalar(ok.agg(F.count(F.lit(1)).alias("_total")), "_total")
     b = benchmark(ok, keys, min_n, extended=True)
-    return (b.crossJoin(F.broadcast(total))
-            .withColumn("coverage_pct", F.col("n") * 100.0 / F.col("_total")).drop("_total"))
+    return b.withColumn("coverage_pct", F.col("n") * 100.0 / total)
 
 
 # ---- H-06 ladder -------------------------------------------------------------
@@ -182,14 +181,15 @@ def salary_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N) ->
             .agg(F.min(F.struct("rung_no", "grain", "n", "mid_p25", "mid_p50", "mid_p75")).alias("b"))
             .select("request_id", "b.grain", "b.n", "b.mid_p25", "b.mid_p50", "b.mid_p75"))
     glob = ok.agg(F.count(F.lit(1)).alias("g_n"), _pcts("salary_midpoint").alias("g_q"))
-    out = (req.join(best, "request_id", "left").crossJoin(F.broadcast(glob))
+    g_n, g_q = scalar(glob, "g_n"), scalar(glob, "g_q")
+    out = (req.join(best, "request_id", "left")
            .select("request_id", *DIMS,
                    F.coalesce(F.col("grain"), F.when(F.col("_spec") == 0, F.lit("all postings"))
                               .otherwise(F.lit("all postings (no comparable cell)"))).alias("grain"),
-                   F.coalesce(F.col("n"), F.col("g_n")).alias("n"),
-                   F.when(F.col("grain").isNotNull(), F.col("mid_p25")).otherwise(F.col("g_q")[0]).alias("mid_p25"),
-                   F.when(F.col("grain").isNotNull(), F.col("mid_p50")).otherwise(F.col("g_q")[1]).alias("mid_p50"),
-                   F.when(F.col("grain").isNotNull(), F.col("mid_p75")).otherwise(F.col("g_q")[2]).alias("mid_p75")))
+                   F.coalesce(F.col("n"), g_n).alias("n"),
+                   F.when(F.col("grain").isNotNull(), F.col("mid_p25")).otherwise(g_q[0]).alias("mid_p25"),
+                   F.when(F.col("grain").isNotNull(), F.col("mid_p50")).otherwise(g_q[1]).alias("mid_p50"),
+                   F.when(F.col("grain").isNotNull(), F.col("mid_p75")).otherwise(g_q[2]).alias("mid_p75")))
     return out
 
 

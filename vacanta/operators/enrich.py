@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, first_match
+from ..functions.expr import clip, first_match, scalar
 from ..functions.text import python_title
 
 # ---- fixed values ------------------------------------------------------------
@@ -186,17 +186,15 @@ def competitiveness(df: DataFrame, mid: str = "salary_midpoint", skills: str = "
     """E-07: min(50, midpoint / p99(ok midpoints) * 50) (null -> 25) plus
     skill_count / max(skill_count, 1) * 50, clipped to 0..100.
 
-    The two global statistics are one single-row aggregate, joined back by a
-    broadcast of that row (size bound: 1 row)."""
+    The two global statistics are one single-row aggregate read back as
+    scalar subqueries (computed once, no join)."""
     basis = F.when(F.col(flag) == "ok", F.col(mid)) if flag in df.columns else F.col(mid)
     p99 = F.percentile_approx(basis, 0.99, 10000) if approx else F.percentile(basis, F.lit(0.99))
     stats = df.agg(p99.cast("double").alias("_p99"),
                    F.greatest(F.coalesce(F.max(skills), F.lit(0)), F.lit(1)).alias("_smax"))
-    pay = clip(F.try_divide(F.col(mid), F.col("_p99")) * 50, hi=50.0)
-    score = F.coalesce(pay, F.lit(25.0)) + F.col(skills) / F.col("_smax") * 50
-    return (df.crossJoin(F.broadcast(stats))
-            .withColumn("competitiveness_score", clip(score.cast("double"), 0.0, 100.0))
-            .drop("_p99", "_smax"))
+    pay = clip(F.try_divide(F.col(mid), scalar(stats, "_p99")) * 50, hi=50.0)
+    score = F.coalesce(pay, F.lit(25.0)) + F.col(skills) / scalar(stats, "_smax") * 50
+    return df.withColumn("competitiveness_score", clip(score.cast("double"), 0.0, 100.0))
 
 
 def feature_enrichment(clean: DataFrame, bridge: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import all_of, clip, first_match
+from ..functions.expr import all_of, clip, first_match, scalar
 
 # ---- fixed values ------------------------------------------------------------
 FINANCE_COLUMNS = [
@@ -114,16 +114,16 @@ def planning_salary(df: DataFrame, mid: str = "salary_midpoint_monthly", q: floa
                     approx: bool = False) -> DataFrame:
     """P-03: two-sided winsorisation at the global (1-q, q) quantiles of the
     midpoint (exact, linear interpolation). The quantiles are one single-row
-    aggregate broadcast back; null midpoints stay null and are not flagged."""
+    aggregate read as scalar subqueries; null midpoints stay null and are not flagged."""
     pct = (lambda p: F.percentile_approx(F.col(mid), p, 10000)) if approx else (lambda p: F.percentile(F.col(mid), F.lit(p)))
     bounds = df.agg(pct(1 - q).cast("double").alias("_floor"), pct(q).cast("double").alias("_cap"))
+    lo, hi = scalar(bounds, "_floor"), scalar(bounds, "_cap")
     x = F.col(mid)
-    return (df.crossJoin(F.broadcast(bounds))
-            .withColumns({
-                "salary_low_outlier_flag": F.coalesce(x < F.col("_floor"), F.lit(False)),
-                "salary_high_outlier_flag": F.coalesce(x > F.col("_cap"), F.lit(False)),
-                "planning_salary_midpoint_monthly": clip(x, F.col("_floor"), F.col("_cap")),
-            }).drop("_floor", "_cap"))
+    return df.withColumns({
+        "salary_low_outlier_flag": F.coalesce(x < lo, F.lit(False)),
+        "salary_high_outlier_flag": F.coalesce(x > hi, F.lit(False)),
+        "planning_salary_midpoint_monthly": clip(x, lo, hi),
+    })
 
 
 def finance_features(jobs: DataFrame, s: Scenario = DEFAULT, keep_skills: bool = True) -> DataFrame:
@@ -164,8 +164,10 @@ def reprice(finance: DataFrame, s: Scenario) -> DataFrame:
 
 
 def reprice_many(finance: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """P-07, many scenarios in one job: cross join with the caller's scenario
-    table (broadcast; its size is the number of scenarios passed in)."""
+    """P-07, many scenarios in one job: every posting priced under every
+    scenario the caller passes (the output is postings x scenarios by
+    definition); the scenario table is broadcast, its size is the number of
+    scenarios given."""
     sc = F.broadcast(scenarios)
     coh = F.col("employment_cohort")
     df = finance.crossJoin(sc)
@@ -329,15 +331,14 @@ def recruitment_overview(finance: DataFrame, s: Scenario = DEFAULT, scope: Colum
         F.median("planning_salary_midpoint_monthly").alias("median_salary_midpoint"),
         F.median("posting_window_days").alias("median_posting_window_days"),
         F.sum("vacancy_budget_exposure").alias("total_budget_exposure")))
-    total = f.agg(F.count(F.lit(1)).alias("_all"))
-    w = Window.partitionBy(F.lit(1))
+    total = scalar(f.agg(F.count(F.lit(1)).alias("_all")), "_all")
+    w = Window.partitionBy(F.lit(1))      # over the <= 3 typed rows
     order = F.array_position(F.array(*[F.lit(x) for x in RECRUITMENT_ORDER]), F.col("recruitment_type"))
-    return (g.crossJoin(F.broadcast(total))
-            .withColumn("_typed", F.sum("postings").over(w))
+    return (g.withColumn("_typed", F.sum("postings").over(w))
             .withColumn("postings_share_pct", F.try_divide(F.col("postings") * 100.0, F.col("_typed")))
-            .withColumn("tracked_mix_coverage_pct", F.try_divide(F.col("_typed") * 100.0, F.col("_all")))
+            .withColumn("tracked_mix_coverage_pct", F.try_divide(F.col("_typed") * 100.0, total))
             .withColumn("type_order", order.cast("int"))
-            .drop("_typed", "_all"))
+            .drop("_typed"))
 
 
 def recruitment_trend(finance: DataFrame, s: Scenario = DEFAULT, scope: Column | None = None) -> DataFrame:

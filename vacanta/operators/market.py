@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import all_of, month_key, null_safe_corr
+from ..functions.expr import all_of, month_key, null_safe_corr, scalar
 
 # ---- fixed values ------------------------------------------------------------
 ENGAGEMENT_COUNTER_FREEZE_DATE = "2023-07-01"
@@ -191,7 +191,9 @@ def wage_decomposition(deduped: DataFrame, sector=None, position_level=None, siz
         F.concat(F.min(F.when(F.col("window") == "late", F.col("ym"))), F.lit(" to "),
                  F.max(F.when(F.col("window") == "late", F.col("ym")))).alias("late_window_label"),
         F.count(F.lit(1)).alias("_n_window_months"))
-    return (agg.crossJoin(F.broadcast(labels)).where(F.col("_n_window_months") > 0).drop("_n_window_months")
+    return (agg.where(scalar(labels, "_n_window_months") > 0)
+            .withColumn("early_window_label", scalar(labels, "early_window_label"))
+            .withColumn("late_window_label", scalar(labels, "late_window_label"))
             .withColumn("total_change", F.col("actual_late") - F.col("actual_early"))
             .withColumn("within_effect", F.col("late_pay_at_early_mix") - F.col("actual_early"))
             .withColumn("mix_effect", F.col("actual_late") - F.col("late_pay_at_early_mix")))
@@ -209,10 +211,10 @@ def sector_mix_shift(deduped: DataFrame, position_level=None, limit: int = 8, si
     per = f.groupBy("sector").agg(F.count(F.when(e, 1)).alias("n_early"), F.count(F.when(l_, 1)).alias("n_late"))
     tot = f.agg(F.count(F.when(e, 1)).alias("total_early"), F.count(F.when(l_, 1)).alias("total_late"),
                 F.count(F.col("window")).alias("_nw"))
-    out = (per.crossJoin(F.broadcast(tot)).where(F.col("_nw") > 0)
+    out = (per.where(scalar(tot, "_nw") > 0)
            .select("sector",
-                   F.try_divide(F.col("n_early") * 100.0, F.col("total_early")).alias("share_early_pct"),
-                   F.try_divide(F.col("n_late") * 100.0, F.col("total_late")).alias("share_late_pct"))
+                   F.try_divide(F.col("n_early") * 100.0, scalar(tot, "total_early")).alias("share_early_pct"),
+                   F.try_divide(F.col("n_late") * 100.0, scalar(tot, "total_late")).alias("share_late_pct"))
            .withColumn("share_change_pct", F.col("share_late_pct") - F.col("share_early_pct")))
     return out.orderBy(F.abs("share_change_pct").desc_nulls_last(), F.asc_nulls_last("sector")).limit(limit)
 
@@ -221,12 +223,12 @@ def top_companies(deduped: DataFrame, sector=None, position_level=None, limit: i
     """M-11: top companies by postings with their share of all filtered postings
     and an agency-name flag (company breaks ties)."""
     f = deduped.where(market_filter(sector, position_level))
-    total = f.agg(F.count(F.lit(1)).alias("_total"))
+    total = scalar(f.agg(F.count(F.lit(1)).alias("_total")), "_total")
     ranked = (f.groupBy("company").agg(F.count(F.lit(1)).alias("postings"))
               .orderBy(F.desc("postings"), F.asc_nulls_last("company")).limit(limit))
-    return (ranked.crossJoin(F.broadcast(total))
+    return (ranked
             .select("company", "postings",
-                    (F.col("postings") * 100.0 / F.col("_total")).alias("share_pct"),
+                    (F.col("postings") * 100.0 / total).alias("share_pct"),
                     F.coalesce(F.col("company").rlike("(?i)" + AGENCY_NAME_PATTERN), F.lit(False)).alias("likely_agency")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import all_of, first_match
+from ..functions.expr import all_of, first_match, scalar
 from ..functions.text import INVISIBLE_CLASS, leading_letters, repair
 from .clean import DATE_COLS, dup_key_id
 
@@ -79,8 +79,9 @@ def raw_quality_report(lineage: DataFrame) -> DataFrame:
 def retention_report(raw: DataFrame, processed: DataFrame) -> DataFrame:
     """Q-02: raw vs processed counts, loss, retention %, loss class."""
     r = raw.agg(F.count(F.lit(1)).alias("raw_count"))
-    p = processed.agg(F.count(F.lit(1)).alias("processed_count"))
-    out = r.crossJoin(p).withColumn("records_lost_in_cleaning", F.col("raw_count") - F.col("processed_count"))
+    p = scalar(processed.agg(F.count(F.lit(1)).alias("processed_count")), "processed_count")
+    out = (r.withColumn("processed_count", p)
+           .withColumn("records_lost_in_cleaning", F.col("raw_count") - F.col("processed_count")))
     out = out.withColumn("cleaning_retention_pct", F.try_divide(F.col("processed_count") * 100.0, F.col("raw_count")))
     loss = F.try_divide(F.col("records_lost_in_cleaning") * 100.0, F.col("raw_count"))
     return out.withColumn("loss_class", F.when(F.col("records_lost_in_cleaning") <= 0, "none")
@@ -103,8 +104,8 @@ def lineage_status(raw: DataFrame, jobs: DataFrame) -> DataFrame:
 def experience_distribution(jobs: DataFrame) -> DataFrame:
     """Q-04: postings per experience level and percentage of all (unrounded)."""
     g = jobs.groupBy("experience_level").agg(F.count(F.lit(1)).alias("count"))
-    total = jobs.agg(F.count(F.lit(1)).alias("_t"))
-    return g.crossJoin(F.broadcast(total)).withColumn("percentage", F.col("count") * 100.0 / F.col("_t")).drop("_t")
+    total = scalar(jobs.agg(F.count(F.lit(1)).alias("_t")), "_t")
+    return g.withColumn("percentage", F.col("count") * 100.0 / total)
 
 
 def salary_summary(jobs: DataFrame) -> DataFrame:
@@ -155,12 +156,12 @@ def row_quality(df: DataFrame, id_col: str = "metadata_jobPostId") -> DataFrame:
 
 def iqr_fence(df: DataFrame, col: str = "average_salary", k: float = IQR_MULTIPLIER) -> DataFrame:
     """Q-10: q1, q3, fence = q3 + k * IQR and rows above it (two passes: one
-    single-row quantile aggregate, broadcast back for the count)."""
+    single-row quantile aggregate, read back as a scalar for the count)."""
     q = df.agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     q = q.select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
     q = q.withColumn("fence", F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    cnt = df.crossJoin(F.broadcast(q)).agg(F.count(F.when(F.col(col) > F.col("fence"), 1)).alias("rows_above_fence"))
-    return q.crossJoin(cnt)
+    cnt = df.agg(F.count(F.when(F.col(col) > scalar(q, "fence"), 1)).alias("rows_above_fence"))
+    return q.withColumn("rows_above_fence", scalar(cnt, "rows_above_fence"))
 
 
 def float32_loss(df: DataFrame, col: str = "average_salary") -> DataFrame:
@@ -185,9 +186,8 @@ def zero_exp_mix(df: DataFrame, years: str = "minimumYearsExperience", level: st
     z = F.coalesce(F.col(years) == 0, F.lit(False))
     g = df.groupBy(level).agg(F.count(F.when(z, 1)).alias("zero_n"), F.count(F.lit(1)).alias("all_n"))
     tot = df.agg(F.count(F.when(z, 1)).alias("zero_t"), F.count(F.lit(1)).alias("all_t"))
-    return (g.crossJoin(F.broadcast(tot))
-            .select(level, F.try_divide(F.col("zero_n") * 100.0, F.col("zero_t")).alias("zero_exp_pct"),
-                    (F.col("all_n") * 100.0 / F.col("all_t")).alias("overall_pct")))
+    return g.select(level, F.try_divide(F.col("zero_n") * 100.0, scalar(tot, "zero_t")).alias("zero_exp_pct"),
+                    (F.col("all_n") * 100.0 / scalar(tot, "all_t")).alias("overall_pct"))
 
 
 def _content_key(df: DataFrame, with_date: bool, case_fold: bool = True):
@@ -216,10 +216,9 @@ def duplicate_levels(clean: DataFrame) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(k).alias("level"), v.alias("key")) for k, v in keys.items()])
     e = clean.select(F.explode(arr).alias("k")).select("k.level", "k.key")
     g = e.groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
-    total = clean.agg(F.count(F.lit(1)).alias("_t"))
+    total = scalar(clean.agg(F.count(F.lit(1)).alias("_t")), "_t")
     return (g.groupBy("level").agg(F.sum(F.col("n") - 1).alias("duplicate_rows"))
-            .crossJoin(F.broadcast(total))
-            .withColumn("pct", F.col("duplicate_rows") * 100.0 / F.col("_t")).drop("_t"))
+            .withColumn("pct", F.col("duplicate_rows") * 100.0 / total))
 
 
 def dup_group_variation(clean: DataFrame) -> DataFrame:
@@ -308,7 +307,8 @@ def category_stats(clean: DataFrame, bridge: DataFrame) -> DataFrame:
     p = clean.agg(F.count(F.lit(1)).alias("postings"),
                   F.count(F.when(F.col("n_categories") == 0, 1)).alias("empty_arrays"),
                   (F.avg((F.col("n_categories") > 1).cast("double")) * 100).alias("multi_pct"))
-    return b.crossJoin(p).withColumn("lost_if_first_only", F.col("assignments") - F.col("postings"))
+    out = b.withColumns({c: scalar(p, c) for c in ("postings", "empty_arrays", "multi_pct")})
+    return out.withColumn("lost_if_first_only", F.col("assignments") - F.col("postings"))
 
 
 def top_categories(bridge: DataFrame, limit: int = 10) -> DataFrame:

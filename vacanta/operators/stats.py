@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, month_key, null_safe_corr, right_closed_bins
+from ..functions.expr import clip, month_key, null_safe_corr, right_closed_bins, scalar
 from ..functions.stats import Z_975, chi2_sf, normal_two_sided_p
 from .benchmark import EXP_ORDER, MIN_N, PAY_LABELS, first_cycle, layer2_cohort
 
@@ -40,11 +40,11 @@ def counter_regime(jobs: DataFrame) -> DataFrame:
     m = (jobs.where(F.col("posting_date").isNotNull()).groupBy(month_key("posting_date").alias("month"))
          .agg(F.count(F.lit(1)).alias("n"), F.median("views").alias("median_views"),
               F.median("applications").alias("median_apps")))
-    last = jobs.agg(F.max("posting_date").alias("_last"))
-    stale = (jobs.where(F.col("status_jobStatus") == "Open").crossJoin(F.broadcast(last))
-             .agg(F.avg(F.coalesce(F.col("expiry_date") < F.col("_last"), F.lit(False)).cast("double"))
+    last = scalar(jobs.agg(F.max("posting_date").alias("_last")), "_last")
+    stale = (jobs.where(F.col("status_jobStatus") == "Open")
+             .agg(F.avg(F.coalesce(F.col("expiry_date") < last, F.lit(False)).cast("double"))
                   .alias("stale_open_share")))
-    return m.crossJoin(F.broadcast(stale))
+    return m.withColumn("stale_open_share", scalar(stale, "stale_open_share"))
 
 
 def market_shape(market: DataFrame) -> DataFrame:
@@ -63,9 +63,8 @@ def market_shape(market: DataFrame) -> DataFrame:
             FROM {view}
             GROUP BY GROUPING SETS ((position_level), ()))
         WHERE level_label IS NOT NULL""").withColumnRenamed("level_label", "position_level")
-    tot = g.where("is_total = 1").select(F.col("postings").alias("_all"))
-    return (g.crossJoin(F.broadcast(tot)).withColumn("share_pct", F.col("postings") * 100.0 / F.col("_all"))
-            .drop("_all", "is_total"))
+    total = scalar(market.agg(F.count(F.lit(1)).alias("_all")), "_all")
+    return g.withColumn("share_pct", F.col("postings") * 100.0 / total).drop("is_total")
 
 
 def competition_density(market: DataFrame, keys=DENSITY_KEYS, warmup: int = WARMUP_DAYS,
@@ -83,14 +82,14 @@ def competition_density(market: DataFrame, keys=DENSITY_KEYS, warmup: int = WARM
     events = starts.unionByName(ends).groupBy(*k, "day").agg(F.sum("d").alias("delta"))
     bounds = market.agg(F.min("posting_date").alias("cal_start"), F.max("expiry_date").alias("cal_end"),
                         F.max("posting_date").alias("win_end"))
-    groups = keyed.select(*k).distinct()
-    grid = (groups.crossJoin(F.broadcast(bounds))
-            .select(*k, "win_end", F.col("cal_start"),
-                    F.explode(F.sequence(F.col("cal_start"), F.col("cal_end"))).alias("day")))
+    cal_start, cal_end, win_end = (scalar(bounds, c) for c in ("cal_start", "cal_end", "win_end"))
+    # one calendar per group (groups x days, bounded by the calendar, not by postings)
+    grid = (keyed.select(*k).distinct()
+            .select(*k, F.explode(F.sequence(cal_start, cal_end)).alias("day")))
     w = Window.partitionBy(*k).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     live = (grid.join(events, k + ["day"], "left")
             .withColumn("live", F.sum(F.coalesce(F.col("delta"), F.lit(0))).over(w))
-            .where((F.col("day") >= F.date_add(F.col("cal_start"), warmup)) & (F.col("day") <= F.col("win_end"))))
+            .where((F.col("day") >= F.date_add(cal_start, warmup)) & (F.col("day") <= win_end)))
     if daily:
         return live.groupBy("day").agg(F.sum("live").alias("total_live"))
     return live.groupBy(*k).agg(F.median("live").alias("median_live_comparables"))
@@ -157,12 +156,11 @@ def response_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N)
                  F.col("_q")[2].alias("apps_p90"), "zero_rate", "under_filled")
     a = requests.join(r3.select(*RESPONSE_KEYS_3, *[F.col(c).alias(f"r3_{c}") for c in cols]), RESPONSE_KEYS_3, "left")
     a = a.join(r2.select(*RESPONSE_KEYS_2, *[F.col(c).alias(f"r2_{c}") for c in cols]), RESPONSE_KEYS_2, "left")
-    a = a.crossJoin(F.broadcast(g.select(*[F.col(c).alias(f"g_{c}") for c in cols])))
     grain = (F.when(F.col("r3_n").isNotNull(), "sector + level + band")
              .when(F.col("r2_n").isNotNull(), "sector + level").otherwise("all postings (no comparable cell)"))
     out = a.withColumn("grain", grain)
     for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(f"r3_{c}"), F.col(f"r2_{c}"), F.col(f"g_{c}")))
+        out = out.withColumn(c, F.coalesce(F.col(f"r3_{c}"), F.col(f"r2_{c}"), scalar(g, c)))
     return out.select("request_id", *RESPONSE_KEYS_3, "grain", *cols)
 
 
@@ -239,7 +237,7 @@ def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("expe
         maps = hist.groupBy().agg(*[
             F.map_from_entries(F.collect_list(F.when(F.col("col") == c, F.struct("v", f"rk_{tags[g]}")))).alias(f"m_{tags[g]}_{c}")
             for c in cols for g in regimes])
-        ranked = s.crossJoin(F.broadcast(maps)).select(
+        ranked = s.join(F.broadcast(maps), how="inner").select(
             *s.columns, *[F.element_at(F.col(f"m_{tags[g]}_{c}"), F.col(c).cast("double")).alias(f"r_{tags[g]}_{c}")
                           for c in cols for g in regimes])
     else:
@@ -315,7 +313,7 @@ def breslow_day(market: DataFrame) -> DataFrame:
     s = _strata(market).withColumn("n", F.col("a") + F.col("b") + F.col("c") + F.col("d"))
     psi = s.agg(F.try_divide(F.sum(F.col("a") * F.col("d") / F.col("n")), F.sum(F.col("b") * F.col("c") / F.col("n"))).alias("psi"),
                 F.count(F.lit(1)).alias("k"))
-    t = s.crossJoin(F.broadcast(psi))
+    t = s.withColumns({"psi": scalar(psi, "psi"), "k": scalar(psi, "k")})
     r, m, n, p = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("n"), F.col("psi")
     qa = 1 - p
     qb = n - r - m + p * (r + m)
