@@ -108,6 +108,14 @@ def prune_dead_columns(df: DataFrame) -> DataFrame:
     return df.drop(*dead)
 
 
+def assert_no_dead_columns(df: DataFrame) -> None:
+    """C-11: re-run the dead-column scan on a cleaned frame and raise if any
+    column is blank or constant (meaningful on full data only)."""
+    dead = [r["column_name"] for r in dead_column_scan(df).where("is_dead").collect()]
+    if dead:
+        raise AssertionError(f"zero-variance or blank columns survived to the cleaned frame: {dead}")
+
+
 def date_roundtrip_check(df: DataFrame, cols=DATE_COLS) -> DataFrame:
     """C-04 report: per date column, values that do not survive a round trip
     through a ``YYYY-MM-DD`` date (non-null text that is not such a date)."""

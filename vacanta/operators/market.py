@@ -309,6 +309,14 @@ def cross_view_corr(leverage: DataFrame, premium: DataFrame, reposts: DataFrame,
     return out.where(F.col("n") >= min_sectors).withColumnRenamed("n", "n_sectors").withColumnRenamed("r", "pearson_r")
 
 
+def extremes(df: DataFrame, x: str, n: int = 2, key: str = "sector") -> DataFrame:
+    """O-05 / U-03: the ``n`` rows with the largest and the ``n`` with the
+    smallest ``x`` (key breaks ties), concatenated and de-duplicated on ``key``."""
+    hi = df.where(F.col(x).isNotNull()).orderBy(F.desc(x), F.asc_nulls_last(key)).limit(n)
+    lo = df.where(F.col(x).isNotNull()).orderBy(F.asc(x), F.asc_nulls_last(key)).limit(n)
+    return hi.unionByName(lo).dropDuplicates([key])
+
+
 def hiring_trend(jobs: DataFrame, sector=None, granularity: str = "year", year: int | None = None) -> DataFrame:
     """M-17: yearly or monthly posting counts on the (not deduplicated) fact."""
     conds = [F.col("posting_date").isNotNull()]

@@ -100,7 +100,7 @@ def _requests(m):
     two = m.select("sector", "position_level", null.alias("experience_level"), null.alias("yrs_bucket"))
     ly = m.select(null.alias("sector"), "position_level", null.alias("experience_level"), "yrs_bucket")
     ex = m.select(null.alias("sector"), null.alias("position_level"), "experience_level", null.alias("yrs_bucket"))
-    none = m.limit(1).select(*[null.alias(x) for x in d])
+    none = m.select(*[null.alias(x) for x in d]).distinct()   # the one unnarrowed request
     req = full.unionByName(two).unionByName(ly).unionByName(ex).unionByName(none).distinct()
     return req.withColumn("request_id", F.expr(_RID))
 

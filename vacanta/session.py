@@ -47,6 +47,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     with _LOCK:
         sc = spark.sparkContext
         conf = sc.getConf().get("spark.checkpoint.dir", None)
+        if not conf:
+            try:
+                conf = spark.conf.get("spark.checkpoint.dir", None)
+            except Exception:
+                conf = None
         if conf:
             return conf.rstrip("/")
         current = sc.getCheckpointDir()
