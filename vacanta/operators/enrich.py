@@ -221,7 +221,8 @@ def feature_enrichment(clean: DataFrame, bridge: DataFrame | None = None) -> Dat
 
 
 def schema_report(df: DataFrame, expected=JOBS_COLUMNS) -> DataFrame:
-    """E-09: columns missing from / extra to the fact schema (metadata only)."""
+    """E-09 / U-04: columns missing from / extra to the fact schema, as set
+    differences of the column lists (metadata only, no data is read)."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     rows = [("missing", c) for c in expected if c not in df.columns] + \

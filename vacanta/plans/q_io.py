@@ -10,7 +10,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import io as IO
 from ..sources.bind import RAW_COLUMNS
 from ..streaming.ingest import clean_stateless, start_ingest
-from .oracle_base import BIND, CLEAN, JOBS, with_ctes
+from .oracle_base import BIND, CLEAN, FIN, JOBS, with_ctes
 from .postings import Postings
 from .registry import register
 
@@ -76,3 +76,17 @@ def q_backends(spark, sf):
     a = IO.load_postings(spark, "table", "vacanta_jobs", cols).withColumn("backend", F.lit("table"))
     b = IO.load_postings(spark, "parquet", path, cols).withColumn("backend", F.lit("parquet"))
     return a.unionByName(b)
+
+
+@register("probed_exposure_by_sector", with_ctes(BIND, CLEAN, JOBS, FIN,
+                                                 body="SELECT sector, MEDIAN(vacancy_exposure_per_opening) AS median_exposure_per_opening "
+                                                      "FROM finance WHERE sector IS NOT NULL GROUP BY sector"))
+def q_probed_exposure(spark, sf):
+    """S-08 + S-10: the finance fact written as a table (Parquet), then read
+    through the existence probe -- a missing table would give an empty frame
+    with the fact's schema instead of an error -- and aggregated (M-15)."""
+    from ..operators.market import exposure_by_sector
+    fin = Postings(spark, sf).finance()
+    path = _scratch(spark, sf, "finance_table")
+    IO.write_parquet(fin, path)
+    return exposure_by_sector(IO.load_or_empty(spark, path, fin.schema))
