@@ -290,7 +290,7 @@ def text_repair_impact(raw: DataFrame) -> DataFrame:
         F.count(F.when(t != tr, 1)).alias("title_ws_rows"),
         F.count(F.when(t.rlike(INVISIBLE_CLASS), 1)).alias("title_invisible_rows"),
         F.count(F.when(c.rlike(INVISIBLE_CLASS), 1)).alias("company_invisible_rows"),
-        F.count(F.when(t.contains("‍"), 1)).alias("emoji_zwj_rows"),
+        F.count(F.when(t.contains("\u200d"), 1)).alias("emoji_zwj_rows"),
         F.count_distinct(t).alias("title_distinct_raw"),
         F.count(F.when(c != cr, 1)).alias("company_ws_rows"),
         F.count_distinct(c).alias("company_distinct_raw"),
