@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ from .registry import register
 
 
 def _scratch(spark, sf: str, name: str) -> str:
+    """A fresh folder per call under the shared checkpoint folder, so a query
+    run twice never appends to (or reuses the stream checkpoint of) an earlier run."""
     app = spark.sparkContext.applicationId
     digest = hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:16]
-    return f"{ensure_checkpoint_dir(spark)}/vacanta/{app}/{digest}/io/{name}"
+    return f"{ensure_checkpoint_dir(spark)}/vacanta/{app}/{digest}/io/{uuid.uuid4().hex}/{name}"
 
 
 @register("csv_scan", with_ctes(BIND, body=f"SELECT {', '.join(RAW_COLUMNS)} FROM raw"))
