@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # Invisible characters removed by the text repair: U+200B, U+200E, U+200F,
 # U+2060, U+FEFF. U+200D (zero-width joiner, used inside emoji) is kept.
 INVISIBLE_CLASS = "[\\x{200B}\\x{200E}\\x{200F}\\x{2060}\\x{FEFF}]"
+# Whitespace as Python's str patterns define it (``\s`` = str.isspace): tab, LF, VT,
+# FF, CR, the four information separators U+001C..U+001F, space, NEL, NBSP,
+# U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+WHITESPACE_CLASS = ("[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+                    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 # ------------------------------------------------------------------------------
 CASED_CLASS = "[\\p{Lu}\\p{Ll}\\p{Lt}]"
 
@@ -15,7 +20,7 @@ CASED_CLASS = "[\\p{Lu}\\p{Ll}\\p{Lt}]"
 def repair(c: Column) -> Column:
     """Drop zero-width characters, collapse whitespace runs to one space, trim."""
     no_invisible = F.regexp_replace(c, INVISIBLE_CLASS, "")
-    collapsed = F.regexp_replace(no_invisible, "(?U)\\s+", " ")
+    collapsed = F.regexp_replace(no_invisible, WHITESPACE_CLASS + "+", " ")
     return F.trim(collapsed)
 
 
@@ -34,6 +39,16 @@ def python_title(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(fixed, ""))
 
 
+def py_strip(c: Column) -> Column:
+    """Python ``str.strip()``: remove leading/trailing whitespace (Python's set)."""
+    return F.regexp_replace(c, f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$", "")
+
+
+def collapse_ws(c: Column) -> Column:
+    """Python ``re.sub(r'\\s+', ' ', s)``."""
+    return F.regexp_replace(c, WHITESPACE_CLASS + "+", " ")
+
+
 def leading_letters(c: Column) -> Column:
     """Leading ASCII letters of a string, null when there are none."""
     return F.nullif(F.regexp_extract(c, "^([A-Za-z]+)", 1), F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import all_of, first_match, scalar
-from ..functions.text import INVISIBLE_CLASS, leading_letters, repair
+from ..functions.text import INVISIBLE_CLASS, collapse_ws, leading_letters, py_strip, repair
 from .clean import DATE_COLS, dup_key_id
 
 # ---- fixed values ------------------------------------------------------------
@@ -370,7 +370,7 @@ def permissive_clean(raw: DataFrame) -> DataFrame:
     parsed = F.from_json(F.col("categories"), CATEGORY_SCHEMA, {"mode": "PERMISSIVE"})
     d = d.withColumn("categories_parsed", F.coalesce(F.transform(parsed, lambda x: x.getField("category")),
                                                      F.array().cast("array<string>")))
-    d = d.withColumns({c: F.coalesce(F.regexp_replace(F.trim(F.col(c)), "(?U)\\s+", " "), F.lit(UNKNOWN))
+    d = d.withColumns({c: F.coalesce(collapse_ws(py_strip(F.col(c))), F.lit(UNKNOWN))
                        for c in PERMISSIVE_TEXT})
     d = d.withColumns({c: F.col(c).try_cast("double") for c in PERMISSIVE_NUMERIC})
     d = d.withColumn("average_salary", F.coalesce(F.col("average_salary"),

@@ -101,7 +101,13 @@ _INVISIBLE = "[\\x{200B}\\x{200E}\\x{200F}\\x{2060}\\x{FEFF}]"
 
 
 def sql_repair(e: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({e}, '{_INVISIBLE}', '', 'g'), '\\s+', ' ', 'g'))"
+    from ..functions.text import WHITESPACE_CLASS
+    return f"trim(regexp_replace(regexp_replace({e}, '{_INVISIBLE}', '', 'g'), '{WHITESPACE_CLASS}+', ' ', 'g'))"
+
+
+def sql_py_strip(e: str) -> str:
+    from ..functions.text import WHITESPACE_CLASS
+    return f"regexp_replace({e}, '^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$', '', 'g')"
 
 
 def sql_title(e: str) -> str:

@@ -9,7 +9,8 @@ from ..operators import enrich as E
 from ..operators import quality as Q
 from ..sources.bind import RAW_COLUMNS
 from ..sources.tables import TABLES, scan
-from .oracle_base import BIND, CLEAN, GHOST_SQL, JOBS, with_ctes
+from ..functions.text import WHITESPACE_CLASS
+from .oracle_base import BIND, CLEAN, GHOST_SQL, JOBS, sql_py_strip, with_ctes
 from .postings import Postings
 from .registry import register
 
@@ -220,7 +221,7 @@ def _permissive_sql() -> str:
         if c in C.DATE_COLS:
             cols.append(f"TRY_CAST({c} AS DATE) AS {c}")
         elif c in Q.PERMISSIVE_TEXT:
-            cols.append(f"coalesce(regexp_replace(trim({c}), '\\s+', ' ', 'g'), 'Unknown') AS {c}")
+            cols.append(f"coalesce(regexp_replace({sql_py_strip(c)}, '{WHITESPACE_CLASS}+', ' ', 'g'), 'Unknown') AS {c}")
         elif c in Q.PERMISSIVE_NUMERIC:
             cols.append(f"TRY_CAST({c} AS DOUBLE) AS {c}")
         else:

@@ -304,3 +304,32 @@ def q_ledger(spark, sf):
     d = Postings(spark, sf).deduped().select(*JOBS_COLUMNS)
     return Q.step_ledger([("raw", raw), ("ghost rows removed", g), ("synthetic rows removed", s),
                           ("deduplicated", d)]).drop("null_cells")
+
+
+def _doc_impact_sql() -> str:
+    from .oracle_base import sql_repair
+    tr = sql_repair("text")
+    inv = "'[\\x{200B}\\x{200E}\\x{200F}\\x{2060}\\x{FEFF}]'"
+    return f"""SELECT COUNT(*) FILTER (WHERE text <> {tr}) AS text_changed_rows,
+    COUNT(*) FILTER (WHERE regexp_matches(text, {inv})) AS invisible_rows,
+    CAST(SUM(length(text) - length(regexp_replace(text, {inv}, '', 'g'))) AS BIGINT) AS invisible_chars,
+    CAST(SUM(length(text) - length({tr})) AS BIGINT) AS chars_removed,
+    COUNT(DISTINCT text) AS distinct_raw, COUNT(DISTINCT {tr}) AS distinct_repaired,
+    COUNT(DISTINCT lower({tr})) AS distinct_folded FROM documents"""
+
+
+@register("text_repair_documents", _doc_impact_sql())
+def q_doc_text_impact(spark, sf):
+    """Q-16 at volume: the title/company text repair applied to every whole
+    document text (invisible characters, whitespace runs, case folding)."""
+    from ..functions.text import INVISIBLE_CLASS, repair
+    from ..sources.tables import scan
+    t = F.col("text")
+    tr = repair(t)
+    return scan(spark, sf, "documents", "text").agg(
+        F.count(F.when(t != tr, 1)).alias("text_changed_rows"),
+        F.count(F.when(t.rlike(INVISIBLE_CLASS), 1)).alias("invisible_rows"),
+        F.sum(F.length(t) - F.length(F.regexp_replace(t, INVISIBLE_CLASS, ""))).cast("long").alias("invisible_chars"),
+        F.sum(F.length(t) - F.length(tr)).cast("long").alias("chars_removed"),
+        F.count_distinct(t).alias("distinct_raw"), F.count_distinct(tr).alias("distinct_repaired"),
+        F.count_distinct(F.lower(tr)).alias("distinct_folded"))
