@@ -8,8 +8,6 @@ turns one of them into an action that raises.  Order of the chain in
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

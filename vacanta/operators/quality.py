@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import all_of, first_match, scalar
+from ..functions.expr import first_match, scalar
 from ..functions.text import INVISIBLE_CLASS, collapse_ws, leading_letters, py_strip, repair
 from .clean import DATE_COLS, dup_key_id
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, month_key, null_safe_corr, right_closed_bins, scalar
 from ..functions.stats import Z_975, chi2_sf, normal_two_sided_p
-from .benchmark import EXP_ORDER, MIN_N, PAY_LABELS, first_cycle, layer2_cohort
+from .benchmark import EXP_ORDER, MIN_N, first_cycle, layer2_cohort
 
 # ---- fixed values ------------------------------------------------------------
 WARMUP_DAYS = 30
@@ -164,16 +164,6 @@ def response_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N)
     return out.select("request_id", *RESPONSE_KEYS_3, "grain", *cols)
 
 
-def _average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Average (tie-aware) rank of ``col`` over rows where it is not null, via a
-    value histogram: rank = rows below + (count + 1) / 2. The ordered window
-    runs over distinct values only."""
-    h = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn(out, F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).drop("_c")
-    return h
-
-
 def spearman_inputs(market: DataFrame) -> DataFrame:
     """N-08 input: the 11 encoded columns over counters-complete postings."""
     settled = market.where(F.col("counters_complete"))
