@@ -182,7 +182,7 @@ def spearman_inputs(market: DataFrame) -> DataFrame:
                  F.col("listing_days").cast("double").alias("listing_days"),
                  "position_level_rank",
                  F.when(exp_rank > 0, (exp_rank - 1).cast("double")).alias("experience_level_rank"),
-                 F.col("job_type").isin(SECURE).cast("double").alias("job_type_permanent"),
+                 F.coalesce(F.col("job_type").isin(SECURE), F.lit(False)).cast("double").alias("job_type_permanent"),
                  F.when(F.col("company").isNotNull(), F.col("company_postings")).alias("company_postings"),
                  F.col("metadata_isPostedOnBehalf").cast("double").alias("posted_on_behalf")))
     return s

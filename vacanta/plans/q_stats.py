@@ -158,7 +158,7 @@ si AS (SELECT st.job_id, CAST(applications AS DOUBLE) AS applications, CAST(view
         CAST(repost_count AS DOUBLE) AS repost_count, CAST(is_repost AS DOUBLE) AS is_repost,
         CAST(vacancies AS DOUBLE) AS vacancies, CAST(listing_days AS DOUBLE) AS listing_days,
         l.position_level_rank, {exp_case} AS experience_level_rank,
-        CASE WHEN job_type IN ('Permanent', 'Full Time') THEN 1.0 WHEN job_type IS NOT NULL THEN 0.0 END AS job_type_permanent,
+        CASE WHEN job_type IN ('Permanent', 'Full Time') THEN 1.0 ELSE 0.0 END AS job_type_permanent,
         CASE WHEN st.company IS NOT NULL THEN c.company_postings END AS company_postings,
         CAST(metadata_isPostedOnBehalf AS DOUBLE) AS posted_on_behalf
     FROM st LEFT JOIN sp_lvl l USING (position_level) LEFT JOIN sp_comp c ON c.company IS NOT DISTINCT FROM st.company)"""
