@@ -73,7 +73,7 @@ def levels_by_seniority(market: DataFrame) -> DataFrame:
     ``experience_levels`` order is the fixed EXP_ORDER."""
     g = (market.where(F.col("position_level").isNotNull()).groupBy("position_level")
          .agg(F.median("seniority_years").alias("median_years")))
-    return g.withColumn("level_rank", F.row_number().over(Window.orderBy("median_years", "position_level")))
+    return g.withColumn("level_rank", F.row_number().over(Window.orderBy("median_years", "position_level"))).orderBy("level_rank")
 
 
 def _pcts(col: str, qs=QS) -> Column:

@@ -213,7 +213,7 @@ def industry_budget_risk(finance: DataFrame) -> DataFrame:
         F.sum("vacancy_budget_exposure").alias("total_vacancy_budget_exposure"),
         F.median("vacancy_exposure_per_opening").alias("median_exposure_per_opening")))
     w = Window.orderBy(F.desc_nulls_last("total_vacancy_budget_exposure"), F.asc("sector"))
-    return g.withColumn("budget_exposure_rank", F.row_number().over(w))
+    return g.withColumn("budget_exposure_rank", F.row_number().over(w)).orderBy("budget_exposure_rank")
 
 
 def _decision(rate: Column, tol: float) -> Column:
@@ -246,7 +246,8 @@ def conversion_economics(finance: DataFrame, s: Scenario = DEFAULT,
     rate = F.try_divide(delta, F.nullif(F.col("median_loaded_monthly_cost_permanent"), F.lit(0.0)))
     return (out.withColumn("monthly_cost_delta_contract_minus_permanent", delta)
             .withColumn("contract_cost_delta_rate", rate)
-            .withColumn("conversion_decision", _decision(F.col("contract_cost_delta_rate"), s.cost_neutral_tolerance_rate)))
+            .withColumn("conversion_decision", _decision(F.col("contract_cost_delta_rate"), s.cost_neutral_tolerance_rate))
+            .orderBy(F.asc_nulls_last("monthly_cost_delta_contract_minus_permanent"), *[F.asc_nulls_last(k) for k in keys]))
 
 
 def conversion_base(finance: DataFrame, s: Scenario = DEFAULT, scope: Column | None = None,
@@ -264,7 +265,8 @@ def conversion_summary(conv: DataFrame) -> DataFrame:
     return conv.groupBy("conversion_decision").agg(
         F.count(F.lit(1)).alias("segments"),
         F.avg("contract_cost_delta_rate").alias("avg_delta_rate"),
-        F.median("monthly_cost_delta_contract_minus_permanent").alias("median_monthly_delta"))
+        F.median("monthly_cost_delta_contract_minus_permanent").alias("median_monthly_delta")).orderBy(
+        F.desc("segments"), "conversion_decision")
 
 
 def conversion_candidates(conv: DataFrame, decision: str, limit: int = 15) -> DataFrame:
@@ -338,7 +340,7 @@ def recruitment_overview(finance: DataFrame, s: Scenario = DEFAULT, scope: Colum
             .withColumn("postings_share_pct", F.try_divide(F.col("postings") * 100.0, F.col("_typed")))
             .withColumn("tracked_mix_coverage_pct", F.try_divide(F.col("_typed") * 100.0, total))
             .withColumn("type_order", order.cast("int"))
-            .drop("_typed"))
+            .drop("_typed").orderBy("type_order"))
 
 
 def recruitment_trend(finance: DataFrame, s: Scenario = DEFAULT, scope: Column | None = None) -> DataFrame:
@@ -350,7 +352,8 @@ def recruitment_trend(finance: DataFrame, s: Scenario = DEFAULT, scope: Column |
     return (f.groupBy(F.trunc("posting_date", "month").alias("posting_month"),
                       F.col("employment_type").alias("recruitment_type"))
             .agg(F.count(F.lit(1)).alias("postings"), F.sum("number_of_vacancies").alias("vacancies"),
-                 F.sum("vacancy_budget_exposure").alias("total_budget_exposure")))
+                 F.sum("vacancy_budget_exposure").alias("total_budget_exposure"))
+            .orderBy("posting_month", "recruitment_type"))
 
 
 def posting_lag(jobs: DataFrame, new: str = "metadata_newPostingDate", orig: str = "posting_date") -> DataFrame:

@@ -100,27 +100,29 @@ def industry_momentum(deduped: DataFrame, sector=None, position_level=None, size
                  100 * (F.col("recent_avg_monthly") - F.col("prior_avg_monthly")) / F.col("prior_avg_monthly"))
     if decimals is not None:
         pct = F.bround(pct, decimals)
-    return out.withColumn("pct_change", pct)
+    return out.withColumn("pct_change", pct).orderBy(F.desc_nulls_last("pct_change"), F.asc_nulls_last("sector"))
 
 
 def salary_trend(deduped: DataFrame, sector=None, position_level=None) -> DataFrame:
     """M-04: monthly rounded median ok-pay."""
     return (deduped.where(market_filter(sector, position_level))
             .groupBy(month_key("posting_date").alias("month"))
-            .agg(F.round(F.median(ok_pay())).alias("median_pay")))
+            .agg(F.round(F.median(ok_pay())).alias("median_pay")).orderBy("month"))
 
 
 def level_ranking(deduped: DataFrame, sector=None, position_level=None) -> DataFrame:
     """M-05: postings per position level."""
     return (deduped.where(market_filter(sector, position_level))
-            .groupBy("position_level").agg(F.count(F.lit(1)).alias("postings")))
+            .groupBy("position_level").agg(F.count(F.lit(1)).alias("postings"))
+            .orderBy(F.desc("postings"), F.asc_nulls_last("position_level")))
 
 
 def employment_mix(deduped: DataFrame, sector=None, position_level=None) -> DataFrame:
     """M-06: postings and rounded median ok-pay per job type (null type dropped)."""
     return (deduped.where(market_filter(sector, position_level) & F.col("job_type").isNotNull())
             .groupBy("job_type")
-            .agg(F.count(F.lit(1)).alias("postings"), F.round(F.median(ok_pay())).alias("median_pay")))
+            .agg(F.count(F.lit(1)).alias("postings"), F.round(F.median(ok_pay())).alias("median_pay"))
+            .orderBy(F.desc("postings"), "job_type"))
 
 
 def seasonality(deduped: DataFrame, sector=None, position_level=None) -> DataFrame:
@@ -134,7 +136,7 @@ def seasonality(deduped: DataFrame, sector=None, position_level=None) -> DataFra
             .agg(F.round(F.avg("postings")).alias("avg_postings"),
                  F.count_distinct("yr").alias("years_included"),
                  F.sum("postings").alias("total_postings"))
-            .withColumn("month_name", F.element_at(names, F.col("month_num"))))
+            .withColumn("month_name", F.element_at(names, F.col("month_num"))).orderBy("month_num"))
 
 
 def early_late_months(deduped: DataFrame, sector=None, position_level=None, size: int = 3,
@@ -328,4 +330,5 @@ def hiring_trend(jobs: DataFrame, sector=None, granularity: str = "year", year:
     period = F.year("posting_date").cast("string") if granularity == "year" else month_key("posting_date")
     if granularity == "year":
         period = F.year("posting_date")
-    return jobs.where(all_of(conds)).groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("postings"))
+    return (jobs.where(all_of(conds)).groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("postings"))
+            .orderBy("period"))

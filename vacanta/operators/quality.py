@@ -105,7 +105,7 @@ def experience_distribution(jobs: DataFrame) -> DataFrame:
     """Q-04: postings per experience level and percentage of all (unrounded)."""
     g = jobs.groupBy("experience_level").agg(F.count(F.lit(1)).alias("count"))
     total = scalar(jobs.agg(F.count(F.lit(1)).alias("_t")), "_t")
-    return g.withColumn("percentage", F.col("count") * 100.0 / total)
+    return g.withColumn("percentage", F.col("count") * 100.0 / total).orderBy(F.desc("count"), "experience_level")
 
 
 def salary_summary(jobs: DataFrame) -> DataFrame:

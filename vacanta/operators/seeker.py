@@ -86,9 +86,10 @@ def top_titles(base: DataFrame, limit: int = 10) -> DataFrame:
 
 def top_roles_by_label(top: DataFrame) -> DataFrame:
     """K-02 regroup: per label, summed postings and companies, unweighted mean salary."""
-    return top.groupBy("job_label").agg(F.sum("opportunities").alias("opportunities"),
-                                        F.avg("avg_salary").alias("avg_salary"),
-                                        F.sum("num_companies").alias("num_companies"))
+    return (top.groupBy("job_label").agg(F.sum("opportunities").alias("opportunities"),
+                                         F.avg("avg_salary").alias("avg_salary"),
+                                         F.sum("num_companies").alias("num_companies"))
+            .orderBy(F.desc("opportunities"), F.asc_nulls_last("job_label")))
 
 
 def label_benchmarks(base: DataFrame, min_total: int = MIN_BENCHMARK_SAMPLE) -> DataFrame:
@@ -109,7 +110,8 @@ def label_benchmarks(base: DataFrame, min_total: int = MIN_BENCHMARK_SAMPLE) ->
                 F.avg("median_max").alias("median_max"), F.max("p90").alias("p90"),
                 F.sum("count_samples").alias("count_samples")))
     w = Window.partitionBy("job_label")
-    return lab.withColumn("_tot", F.sum("count_samples").over(w)).where(F.col("_tot") >= min_total).drop("_tot")
+    return (lab.withColumn("_tot", F.sum("count_samples").over(w)).where(F.col("_tot") >= min_total).drop("_tot")
+            .orderBy(F.desc_nulls_last("median_max"), "job_label", "experience_level"))
 
 
 def competitive_skills(base: DataFrame, min_postings: int = MIN_SKILL_POSTINGS, limit: int = TOP_SKILLS) -> DataFrame:
@@ -159,13 +161,14 @@ def salary_percentile(base: DataFrame, requests: DataFrame, slice_cols=("sector"
 def pay_by_years(base: DataFrame) -> DataFrame:
     """K-06: median market salary per required-years value (half-even)."""
     return (base.where(F.col("seniority_years").isNotNull()).groupBy("seniority_years")
-            .agg(F.bround(F.median("market_salary"), 0).alias("median_salary")))
+            .agg(F.bround(F.median("market_salary"), 0).alias("median_salary")).orderBy("seniority_years"))
 
 
 def seniority_ladder(base: DataFrame) -> DataFrame:
     """K-07: median market salary per position level (null -> Unspecified)."""
     return (base.withColumn("position_level", F.coalesce(F.col("position_level"), F.lit("Unspecified")))
-            .groupBy("position_level").agg(F.bround(F.median("market_salary"), 0).alias("median_salary")))
+            .groupBy("position_level").agg(F.bround(F.median("market_salary"), 0).alias("median_salary"))
+            .orderBy(F.desc_nulls_last("median_salary"), "position_level"))
 
 
 def pay_range_width(base: DataFrame, limit: int = 10) -> DataFrame:
