@@ -78,11 +78,12 @@ def remove_synthetic_rows(df: DataFrame, id_col: str = "metadata_jobPostId") ->
 
 
 def dead_column_scan(df: DataFrame) -> DataFrame:
-    """C-03 report: one row per column with non-blank count, distinct count
-    and whether the column is dead (all null/blank, or <= 1 distinct value).
+    """C-03 report: one row per column with its non-blank count, whether it
+    holds at most one distinct non-null value (``min = max``), and whether
+    the column is dead (all null/blank, or constant).
 
-    One aggregation pass; distinct counts use the exact ``count(DISTINCT)``
-    merged per column (partial aggregation keeps it distributed)."""
+    One aggregation pass of counts and min/max per column: no per-column
+    ``count(DISTINCT)``, which would replicate every row once per column."""
     _, _, text = _kinds(df)
     aggs = []
     for c in df.columns:
@@ -92,11 +93,11 @@ def dead_column_scan(df: DataFrame) -> DataFrame:
         else:
             nonblank = F.count(x)
         aggs += [nonblank.cast("long").alias(f"{c}__nb"),
-                 F.count_distinct(x).cast("long").alias(f"{c}__nd")]
+                 F.min(x).eqNullSafe(F.max(x)).alias(f"{c}__one")]
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `{c}__nb`, `{c}__nd`" for c in df.columns)
-    long = wide.selectExpr(f"stack({len(df.columns)}, {stack}) AS (column_name, non_blank, n_distinct)")
-    return long.withColumn("is_dead", (F.col("non_blank") == 0) | (F.col("n_distinct") <= 1))
+    stack = ", ".join(f"'{c}', `{c}__nb`, `{c}__one`" for c in df.columns)
+    long = wide.selectExpr(f"stack({len(df.columns)}, {stack}) AS (column_name, non_blank, at_most_one_value)")
+    return long.withColumn("is_dead", (F.col("non_blank") == 0) | F.col("at_most_one_value"))
 
 
 def prune_dead_columns(df: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ def _dead_sql() -> str:
     for c in RAW_COLUMNS:
         nb = (f"CAST(coalesce(SUM(CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN 1 ELSE 0 END), 0) AS BIGINT)"
               if c in _TEXT_RAW else f"COUNT({c})")
-        parts.append(f"SELECT '{c}' AS column_name, {nb} AS non_blank, COUNT(DISTINCT {c}) AS n_distinct FROM kept")
-    return _r(f"SELECT *, non_blank = 0 OR n_distinct <= 1 AS is_dead FROM ({' UNION ALL '.join(parts)})").replace(
+        parts.append(f"SELECT '{c}' AS column_name, {nb} AS non_blank, COUNT(DISTINCT {c}) <= 1 AS at_most_one_value FROM kept")
+    return _r(f"SELECT *, non_blank = 0 OR at_most_one_value AS is_dead FROM ({' UNION ALL '.join(parts)})").replace(
         "\nSELECT *, non_blank", f",\nkept AS (SELECT * FROM raw WHERE {_KEPT})\nSELECT *, non_blank", 1)
 
 
