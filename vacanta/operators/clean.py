@@ -224,6 +224,17 @@ def dup_key_id(cols) -> Column:
     return F.md5(F.concat_ws("|", *[_key_text(c) for c in cols]))
 
 
+def grouping_key(cols) -> Column:
+    """Fixed-width 128-bit grouping key of ``cols`` (nulls equal): two
+    differently-salted xxhash64 values, each column preceded by its null flag
+    (Spark's hash skips nulls, so the flag keeps positions distinct). For
+    counting groups only -- a hash aggregate with no string building."""
+    parts = []
+    for c in cols:
+        parts += [c.isNull(), c]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
+
+
 def flag_duplicates(df: DataFrame, first_seen_order=("metadata_originalPostingDate", "metadata_jobPostId")) -> DataFrame:
     """C-08: flag (not drop) same-day duplicates.
 

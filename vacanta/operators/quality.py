@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import first_match, scalar
 from ..functions.text import INVISIBLE_CLASS, collapse_ws, leading_letters, py_strip, repair
-from .clean import DATE_COLS, dup_key_id
+from .clean import DATE_COLS, grouping_key
 
 # ---- fixed values ------------------------------------------------------------
 MANY_NULLS = 5
@@ -209,11 +209,11 @@ def duplicate_levels(clean: DataFrame) -> DataFrame:
     count per (level, key) gives sum(n - 1) per level."""
     cols = [c for c in clean.columns]
     keys = {
-        "1_exact_row": dup_key_id([F.col(c) for c in cols]),
-        "2_primary_key": dup_key_id([F.col("metadata_jobPostId")]),
-        "3_content_any_date": dup_key_id(_content_key(clean, False)),
-        "4_content_same_day": dup_key_id(_content_key(clean, True)),
-        "5_company_title_date": dup_key_id([F.col("postedCompany_name"), F.lower(F.col("title")),
+        "1_exact_row": grouping_key([F.col(c) for c in cols]),
+        "2_primary_key": grouping_key([F.col("metadata_jobPostId")]),
+        "3_content_any_date": grouping_key(_content_key(clean, False)),
+        "4_content_same_day": grouping_key(_content_key(clean, True)),
+        "5_company_title_date": grouping_key([F.col("postedCompany_name"), F.lower(F.col("title")),
                                             F.col("metadata_newPostingDate")]),
     }
     arr = F.array(*[F.struct(F.lit(k).alias("level"), v.alias("key")) for k, v in keys.items()])
@@ -249,8 +249,8 @@ def dup_top_companies(clean: DataFrame, limit: int = 10) -> DataFrame:
 
 def fold_gain(clean: DataFrame) -> DataFrame:
     """Q-14: duplicate rows found only because titles are compared case-folded."""
-    folded = dup_key_id(_content_key(clean, True, True))
-    cased = dup_key_id(_content_key(clean, True, False))
+    folded = grouping_key(_content_key(clean, True, True))
+    cased = grouping_key(_content_key(clean, True, False))
     k = clean.select(folded.alias("f"), cased.alias("c"))
     nf = k.groupBy("f").agg(F.count(F.lit(1)).alias("nf"))
     nc = k.groupBy("c").agg(F.count(F.lit(1)).alias("nc"))
