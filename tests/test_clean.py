@@ -154,3 +154,16 @@ def test_validate_rules(spark):
     bad_dates = [("MCF-9", "A", "ok", 3000, 5000, "FT", dt.date(2025, 12, 1), dt.date(2026, 1, 1))]
     with pytest.raises(AssertionError):
         C.raise_on_violations(C.validate_rules(spark.createDataFrame(bad_dates, schema)))
+
+
+def test_clean_dataset_with_checks_on_binding(spark):
+    """C-12 with pruning and all checks on the sf0.001 binding: the three dead
+    source columns go, the post-conditions hold, nothing dead survives."""
+    from conftest import SF_SMALL
+    from vacanta.plans.postings import Postings
+    raw = Postings(spark, SF_SMALL).raw()
+    cleaned, bridge = C.clean_dataset(raw, prune=True, check=True)
+    assert {"occupationId", "salary_type", "status_id"}.isdisjoint(cleaned.columns)
+    assert "dup_group_id" in cleaned.columns and "salary_flag" in cleaned.columns
+    C.assert_no_dead_columns(cleaned)
+    assert bridge.count() >= cleaned.where("n_categories > 0").count()
