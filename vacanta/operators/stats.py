@@ -219,11 +219,16 @@ def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("expe
         hist = hist.withColumn(f"rk_{t}", F.when(F.col(f"c_{t}") > 0, F.coalesce(F.sum(f"c_{t}").over(below), F.lit(0))
                                                                        + (F.col(f"c_{t}") + 1) / 2.0))
     hist = hist.select("col", "v", *[f"rk_{tags[r]}" for r in regimes])
-    # Size check: the rank tables hold one entry per distinct (column, value).
+    # The rank table (one entry per distinct (column, value)) is computed once
+    # and checkpointed to the shared checkpoint folder; its row count is the
+    # size check for the broadcast below.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(s.sparkSession)
+    hist = hist.checkpoint(eager=True)
     n_values = hist.count()
     if n_values <= max_broadcast_values:
         # one row of value -> rank maps, broadcast (bounded by the check above);
-        # ranks are then map lookups in a projection, no join of the rows
+        # ranks are then lookups in a projection, no join of the rows
         maps = hist.groupBy().agg(*[
             F.map_from_entries(F.collect_list(F.when(F.col("col") == c, F.struct("v", f"rk_{tags[g]}")))).alias(f"m_{tags[g]}_{c}")
             for c in cols for g in regimes])
