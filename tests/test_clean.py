@@ -167,3 +167,22 @@ def test_clean_dataset_with_checks_on_binding(spark):
     assert "dup_group_id" in cleaned.columns and "salary_flag" in cleaned.columns
     C.assert_no_dead_columns(cleaned)
     assert bridge.count() >= cleaned.where("n_categories > 0").count()
+
+
+def test_strict_clean_refuses_bad_values(spark):
+    from vacanta.operators import quality as Q
+    from vacanta.sources.bind import RAW_COLUMNS
+    good = {c: None for c in RAW_COLUMNS}
+    good.update({"metadata_jobPostId": "MCF-1", "postedCompany_name": "A", "metadata_isPostedOnBehalf": "true",
+                 "metadata_repostCount": "0", "metadata_totalNumberJobApplication": "3",
+                 "metadata_totalNumberOfView": "9", "minimumYearsExperience": "2", "numberOfVacancies": "1",
+                 "salary_maximum": "5000", "salary_minimum": "3000", "average_salary": "4000"})
+    bad = dict(good, metadata_jobPostId="MCF-2", salary_minimum="-5", metadata_repostCount="x")
+    schema = ", ".join(f"{c} string" for c in RAW_COLUMNS)
+    ok = spark.createDataFrame([tuple(good[c] for c in RAW_COLUMNS)], schema)
+    assert Q.strict_clean(ok, check=True).count() == 1
+    df = spark.createDataFrame([tuple(r[c] for c in RAW_COLUMNS) for r in (good, bad)], schema)
+    rules = {r["rule"]: r["violations"] for r in Q.strict_type_rules(df).collect()}
+    assert rules["int_metadata_repostCount"] == 1 and rules["non_negative_salary_minimum"] == 1
+    with pytest.raises(AssertionError):
+        Q.strict_clean(df, check=True)

@@ -281,3 +281,20 @@ def cohort_sizes(market: DataFrame) -> DataFrame:
     return market.agg(F.count(F.lit(1)).alias("market"),
                       F.count(F.when(l2, 1)).alias("layer2"),
                       F.count(F.when(fc, 1)).alias("first_cycle"))
+
+
+def config_norms_wide(market: DataFrame, sector: str | None = None, min_n: int = MIN_N) -> DataFrame:
+    """H-07 as the row-% crosstab: one row per readable level, one column per
+    year bucket (pivot with the fixed bucket list; an unused bucket is 0 %)."""
+    long = config_norms(market, sector, min_n)
+    wide = long.groupBy("position_level", "level_rank").pivot("yrs_bucket", YR_LABELS).agg(F.max("share_pct"))
+    return wide.fillna(0.0, subset=YR_LABELS).orderBy("level_rank")
+
+
+def repost_matrix_wide(market: DataFrame, sector: str | None = None, min_n: int = MIN_N) -> DataFrame:
+    """H-10 as the band x years grid: one row per pay band (all four, fixed
+    order), one column per year bucket; thin cells stay blank (null)."""
+    long = repost_matrix(market, sector, min_n)
+    order = F.array_position(F.array(*[F.lit(b) for b in PAY_LABELS]), F.col("pay_band"))
+    return (long.groupBy("pay_band").pivot("yrs_bucket", YR_LABELS).agg(F.max("repost_rate_pct"))
+            .withColumn("band_order", order.cast("int")).orderBy("band_order"))

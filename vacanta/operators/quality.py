@@ -351,8 +351,13 @@ def strict_type_rules(raw: DataFrame) -> DataFrame:
     return _stack(wide, list(rules), "violations", "rule")
 
 
-def strict_clean(raw: DataFrame) -> DataFrame:
-    """C-13: strict typed cleaning (run ``strict_type_rules`` + ``raise_on_violations`` first)."""
+def strict_clean(raw: DataFrame, check: bool = False) -> DataFrame:
+    """C-13: strict typed cleaning. With ``check`` the rule report runs first
+    (one aggregation) and any unparseable or negative value raises, as the
+    strict chunk cleaner refuses such input."""
+    if check:
+        from .clean import raise_on_violations
+        raise_on_violations(strict_type_rules(raw))
     t = _as_text(raw).na.drop(how="all", subset=REQUIRED_COLUMNS)
     b = F.lower(F.trim(F.col("metadata_isPostedOnBehalf")))
     bool_expr = first_match([(b == k, F.lit(v)) for k, v in BOOL_WORDS.items()], F.lit(None).cast("boolean"))

@@ -261,3 +261,35 @@ def q_danger_zone(spark, sf):
 def q_cohort_sizes(spark, sf):
     """H-12."""
     return H.cohort_sizes(_m(spark, sf))
+
+
+def _wide_sql(value: str, src: str, key: str, fill: str | None = None) -> str:
+    cols = []
+    for y in H.YR_LABELS:
+        e = f"MAX(CASE WHEN yrs_bucket = '{y}' THEN {value} END)"
+        cols.append(f"{'coalesce(' + e + ', ' + fill + ')' if fill else e} AS \"{y}\"")
+    return f"SELECT {key}, {', '.join(cols)} FROM {src} GROUP BY {key}"
+
+
+@register("config_norms_wide", _sql(_NORMS, body=_wide_sql("share_pct", "norms", "position_level, level_rank", "0.0")))
+def q_config_norms_wide(spark, sf):
+    """H-07 crosstab (levels x year buckets, row %)."""
+    return H.config_norms_wide(_m(spark, sf))
+
+
+def _matrix_wide_sql(min_n: int) -> str:
+    bands = " UNION ALL ".join(f"SELECT '{b}' AS pay_band, {i + 1} AS band_order" for i, b in enumerate(H.PAY_LABELS))
+    yrs = " UNION ALL ".join(f"SELECT '{y}' AS yrs_bucket" for y in H.YR_LABELS)
+    return _sql(f"grid AS (SELECT * FROM ({bands}) b, ({yrs}) y)",
+                """cells AS (SELECT pay_band, yrs_bucket, COUNT(*) AS n, AVG(CAST(is_repost AS DOUBLE)) * 100 AS rate
+                FROM l2 WHERE pay_band IS NOT NULL AND yrs_bucket IS NOT NULL GROUP BY pay_band, yrs_bucket)""",
+                f"""rm AS (SELECT g.pay_band, g.band_order, g.yrs_bucket, CASE WHEN c.n >= {min_n} THEN c.rate END AS repost_rate_pct
+                FROM grid g LEFT JOIN cells c USING (pay_band, yrs_bucket))""",
+                body=_wide_sql("repost_rate_pct", "rm", "pay_band, band_order").replace(
+                    "GROUP BY pay_band, band_order", "GROUP BY pay_band, band_order"))
+
+
+@register("repost_matrix_wide", _matrix_wide_sql(H.MIN_N))
+def q_repost_matrix_wide(spark, sf):
+    """H-10 grid (pay bands x year buckets), thin cells blank."""
+    return H.repost_matrix_wide(_m(spark, sf))
