@@ -63,8 +63,11 @@ def market_shape(market: DataFrame) -> DataFrame:
             FROM {view}
             GROUP BY GROUPING SETS ((position_level), ()))
         WHERE level_label IS NOT NULL""").withColumnRenamed("level_label", "position_level")
-    total = scalar(market.agg(F.count(F.lit(1)).alias("_all")), "_all")
-    return g.withColumn("share_pct", F.col("postings") * 100.0 / total).drop("is_total")
+    # level shares are over postings with a level (normalised value counts);
+    # the total row is the whole market at 100 %
+    with_level = scalar(market.agg(F.count("position_level").alias("_n")), "_n")
+    share = F.when(F.col("is_total") == 1, F.lit(100.0)).otherwise(F.col("postings") * 100.0 / with_level)
+    return g.withColumn("share_pct", share).drop("is_total")
 
 
 def competition_density(market: DataFrame, keys=DENSITY_KEYS, warmup: int = WARMUP_DAYS,

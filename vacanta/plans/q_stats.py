@@ -34,7 +34,8 @@ def q_counter_regime(spark, sf):
 
 @register("market_shape", _sql(body="""SELECT CASE WHEN GROUPING(position_level) = 1 THEN 'All levels' ELSE position_level END AS position_level,
     COUNT(*) AS postings, MEDIAN(seniority_years) AS median_years, MEDIAN(salary_midpoint) AS median_salary_midpoint,
-    COUNT(*) * 100.0 / (SELECT COUNT(*) FROM hm) AS share_pct
+    CASE WHEN GROUPING(position_level) = 1 THEN 100.0
+         ELSE COUNT(*) * 100.0 / (SELECT COUNT(position_level) FROM hm) END AS share_pct
 FROM hm GROUP BY GROUPING SETS ((position_level), ()) HAVING GROUPING(position_level) = 1 OR position_level IS NOT NULL"""))
 def q_market_shape(spark, sf):
     """N-02."""
