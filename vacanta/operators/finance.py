@@ -290,8 +290,7 @@ def finance_headline(finance: DataFrame, s: Scenario = DEFAULT, scope: Column |
                   F.median("loaded_monthly_cost_per_head").alias("median_loaded_monthly_cost_per_head"),
                   F.sum(F.when(F.col("employment_cohort") == "Contract", 1).otherwise(0)).alias("contract_postings"),
                   F.sum(F.when(F.col("employment_cohort") == "Permanent", 1).otherwise(0)).alias("permanent_postings"))
-            .withColumn("contract_share_pct",
-                        F.try_divide(F.col("contract_postings") * 100.0, F.col("contract_postings") + F.col("permanent_postings"))))
+            .withColumn("contract_share_pct", F.try_divide(F.col("contract_postings") * 100.0, F.col("postings"))))
 
 
 def _exposure_aggs():
