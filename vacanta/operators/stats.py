@@ -113,8 +113,9 @@ def exposure_effect(market: DataFrame, min_n: int = MIN_EFFECT_N) -> DataFrame:
     return _effect(market.where(F.col("counters_complete")), "listing_days", min_n)
 
 
-def cycle_effect(market: DataFrame, min_n: int = MIN_EFFECT_N) -> DataFrame:
-    """N-05: medians by repost count over the 30-day cohort."""
+def cycle_effect(market: DataFrame, min_n: int = 0) -> DataFrame:
+    """N-05: medians by repost count over the 30-day cohort (no floor: every
+    cycle count is reported, unlike the listing-length table)."""
     return _effect(layer2_cohort(market), "repost_count", min_n)
 
 

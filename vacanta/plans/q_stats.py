@@ -82,7 +82,7 @@ def q_exposure_effect(spark, sf):
 
 
 @register("cycle_effect", _sql(body=f"""SELECT repost_count, COUNT(*) AS n, MEDIAN(views) AS median_views, MEDIAN(applications) AS median_apps
-    FROM l2 GROUP BY repost_count HAVING COUNT(*) >= {N.MIN_EFFECT_N}"""))
+    FROM l2 GROUP BY repost_count"""))
 def q_cycle_effect(spark, sf):
     """N-05."""
     return N.cycle_effect(_m(spark, sf))
