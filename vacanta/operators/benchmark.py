@@ -8,7 +8,6 @@ Python, no collect.
 """
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from itertools import combinations
 
@@ -133,17 +132,12 @@ def benchmark_cells(ok: DataFrame, min_n: int = MIN_N) -> DataFrame:
     shuffle that collapses repeated values -- and weighted percentiles over
     grouping sets of that histogram, so the raw rows are aggregated once."""
     hist = (ok.groupBy(*DIMS, "salary_midpoint").agg(F.count(F.lit(1)).alias("w")))
-    sets = ", ".join("(" + ", ".join(s) + ")" for s in _subsets())
-    view = f"_vacanta_bench_hist_{uuid.uuid4().hex}"
-    hist.createOrReplaceTempView(view)
-    spark = ok.sparkSession
-    gid = " + ".join(f"(1 - grouping({d})) * {1 << i}" for i, d in enumerate(DIMS))
-    cells = spark.sql(f"""
-        SELECT {", ".join(DIMS)}, {gid} AS mask,
-               CAST(sum(w) AS BIGINT) AS n,
-               percentile(salary_midpoint, array(0.25, 0.5, 0.75), w) AS q
-        FROM {view}
-        GROUP BY GROUPING SETS ({sets})""")
+    cells = (hist.groupingSets(_subsets(), *DIMS)
+             .agg(*[F.grouping(d).alias(f"_g{i}") for i, d in enumerate(DIMS)],
+                  F.sum("w").cast("long").alias("n"),
+                  F.percentile(F.col("salary_midpoint"), F.array(*[F.lit(q) for q in QS]), F.col("w")).alias("q")))
+    mask = reduce(lambda a, b: a + b, [(1 - F.col(f"_g{i}")) * (1 << i) for i in range(len(DIMS))])
+    cells = cells.withColumn("mask", mask.cast("int"))
     # a grouped dim with a null value is a null key: such cells are dropped
     kept = all_of([((F.col("mask").bitwiseAND(1 << i)) == 0) | F.col(d).isNotNull() for i, d in enumerate(DIMS)])
     return (cells.where(kept & (F.col("n") >= min_n))

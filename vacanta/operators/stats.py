@@ -51,18 +51,13 @@ def market_shape(market: DataFrame) -> DataFrame:
     """N-02: per position level postings, share %, median years and median
     midpoint, plus an 'All levels' row whose medians are recomputed over the
     whole market (GROUPING SETS ((level), ()))."""
-    import uuid
-    view = f"_vacanta_shape_{uuid.uuid4().hex}"
-    market.createOrReplaceTempView(view)
-    spark = market.sparkSession
-    g = spark.sql(f"""
-        SELECT * FROM (
-            SELECT CASE WHEN grouping(position_level) = 1 THEN 'All levels' ELSE position_level END AS level_label,
-                   count(*) AS postings, median(seniority_years) AS median_years,
-                   median(salary_midpoint) AS median_salary_midpoint, grouping(position_level) AS is_total
-            FROM {view}
-            GROUP BY GROUPING SETS ((position_level), ()))
-        WHERE level_label IS NOT NULL""").withColumnRenamed("level_label", "position_level")
+    g = (market.groupingSets([["position_level"], []], "position_level")
+         .agg(F.count(F.lit(1)).alias("postings"), F.median("seniority_years").alias("median_years"),
+              F.median("salary_midpoint").alias("median_salary_midpoint"),
+              F.grouping("position_level").alias("is_total"))
+         .withColumn("position_level", F.when(F.col("is_total") == 1, F.lit("All levels"))
+                     .otherwise(F.col("position_level")))
+         .where(F.col("position_level").isNotNull()))
     # level shares are over postings with a level (normalised value counts);
     # the total row is the whole market at 100 %
     with_level = scalar(market.agg(F.count("position_level").alias("_n")), "_n")
