@@ -74,9 +74,10 @@ def q_backends(spark, sf):
     jobs = Postings(spark, sf).jobs()
     path = _scratch(spark, sf, "jobs_parquet")
     IO.write_parquet(jobs, path)
-    jobs.createOrReplaceTempView("vacanta_jobs")
+    view = f"vacanta_jobs_{uuid.uuid4().hex}"
+    jobs.createOrReplaceTempView(view)
     cols = ["dup_group_id", "sector", "salary_midpoint"]
-    a = IO.load_postings(spark, "table", "vacanta_jobs", cols).withColumn("backend", F.lit("table"))
+    a = IO.load_postings(spark, "table", view, cols).withColumn("backend", F.lit("table"))
     b = IO.load_postings(spark, "parquet", path, cols).withColumn("backend", F.lit("parquet"))
     return a.unionByName(b)
 
