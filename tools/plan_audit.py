@@ -102,6 +102,13 @@ def main():
              "| key | exchanges | broadcasts | SMJ | python | 1-part: partial agg | 1-part: agg rows | 1-part: top-k | 1-part: fact rows |",
              "|---|---:|---:|---:|---:|---:|---:|---:|---:|"]
     lines += [f"| `{r[0]}` | " + " | ".join(str(x) for x in r[1:]) + " |" for r in rows]
+    lines += ["", "## Selected physical plans", "",
+              "Initial adaptive plans (AQE may still turn a shuffle join into a broadcast at run time)."]
+    selected = dict(plans)
+    for k in ("etl:clean", "wage_decomposition", "salary_lookup_ladder", "competition_density"):
+        tree = selected[k]()._jdf.queryExecution().executedPlan().toString()
+        tree = "\n".join(re.sub(r"#\d+L?", "", ln)[:160] for ln in tree.split("\n")[:70])
+        lines += ["", f"### `{k}`", "", "```", tree, "```"]
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     open(os.path.join(root, "PLANS.md"), "w").write("\n".join(lines) + "\n")
     print("totals", tot)
