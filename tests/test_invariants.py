@@ -99,3 +99,26 @@ def test_distribution_functions(spark):
         assert abs(r["p"] - 0.05) < 1e-6
     z = spark.createDataFrame([(1.959963984540054,)], "z double").select(normal_two_sided_p(F.col("z"))).collect()[0][0]
     assert abs(z - 0.05) < 1e-6
+
+
+def test_approximate_variants_close_to_exact(spark):
+    """approx=True swaps exact percentiles / distinct counts for sketches; on
+    the test tables they must stay close to the exact figures."""
+    from vacanta.operators import enrich as E
+    from vacanta.operators import finance as P_
+    from vacanta.operators import quality as Q
+    p = Postings(spark, SF_SMALL)
+    jobs = p.jobs()
+    base = jobs.drop("competitiveness_score")
+    ex = E.competitiveness(base).select("job_id", F.col("competitiveness_score").alias("e"))
+    ap = E.competitiveness(base, approx=True).select("job_id", F.col("competitiveness_score").alias("a"))
+    worst = ex.join(ap, "job_id").agg(F.max(F.abs(F.col("e") - F.col("a")))).collect()[0][0]
+    assert worst < 5.0
+    fin = p.finance().select("job_id", "salary_midpoint_monthly")
+    e2 = P_.planning_salary(fin).agg(F.max("planning_salary_midpoint_monthly")).collect()[0][0]
+    a2 = P_.planning_salary(fin, approx=True).agg(F.max("planning_salary_midpoint_monthly")).collect()[0][0]
+    assert abs(e2 - a2) / e2 < 0.1
+    exact = {r["column_name"]: r["distinct_values"] for r in Q.column_profile(p.raw()).collect()}
+    approx = {r["column_name"]: r["distinct_values"] for r in Q.column_profile(p.raw(), approx=True).collect()}
+    # HyperLogLog++ default relative standard deviation is 5 %: allow three of them
+    assert all(abs(exact[c] - approx[c]) <= max(2, 0.15 * exact[c]) for c in exact)
