@@ -25,6 +25,24 @@ MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "O
 # ------------------------------------------------------------------------------
 
 
+def dedup_first_seen(jobs: DataFrame, group: str = "dup_group_id",
+                     order=("posting_date", "job_id")) -> DataFrame:
+    """W-01: one row per duplicate group, the first by ``order`` (nulls last).
+
+    Uses the cleaning stage's ``is_first_seen`` flag when the frame carries it
+    (a pushed-down filter); on a fact stored under the column contract it
+    aggregates the first member per group -- map-side partially aggregated,
+    so a hot group is never gathered in one task -- and keeps it with a
+    semi join on (group, id), whose key is unique."""
+    if "is_first_seen" in jobs.columns:
+        return jobs.where(F.col("is_first_seen"))
+    d, j = order
+    firsts = (jobs.groupBy(group)
+              .agg(F.min(F.struct(F.col(d).isNull().alias("n"), F.col(d).alias("d"), F.col(j).alias("j")))
+                   .getField("j").alias(j)))
+    return jobs.join(firsts, [group, j], "left_semi")
+
+
 def market_filter(sector: str | None = None, position_level: str | None = None) -> Column:
     """F-01: posting_date present, optional sector and level equality."""
     conds = [F.col("posting_date").isNotNull()]
