@@ -186,3 +186,16 @@ def test_strict_clean_refuses_bad_values(spark):
     assert rules["int_metadata_repostCount"] == 1 and rules["non_negative_salary_minimum"] == 1
     with pytest.raises(AssertionError):
         Q.strict_clean(df, check=True)
+
+
+def test_generic_dedup_hot_group(spark):
+    """W-01 on a stored fact (no first-seen flag): a group holding most rows
+    still yields exactly its earliest (posting_date, job_id) member."""
+    import datetime as dt
+    from vacanta.operators.market import dedup_first_seen
+    rows = [("G-hot", f"J{i:05d}", dt.date(2026, 1, 1 + i % 28)) for i in range(4000)]
+    rows += [("G-hot", "J-null-date", None)]
+    rows += [(f"G{i}", f"K{i}", dt.date(2026, 2, 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "dup_group_id string, job_id string, posting_date date").repartition(8)
+    out = {r["dup_group_id"]: r["job_id"] for r in dedup_first_seen(df).collect()}
+    assert len(out) == 41 and out["G-hot"] == "J00000"
