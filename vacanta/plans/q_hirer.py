@@ -293,3 +293,24 @@ def _matrix_wide_sql(min_n: int) -> str:
 def q_repost_matrix_wide(spark, sf):
     """H-10 grid (pay bands x year buckets), thin cells blank."""
     return H.repost_matrix_wide(_m(spark, sf))
+
+
+# ---- sector-filtered variants (the hirer picks a sector) ---------------------------
+
+_HS = "Information Technology"
+
+
+@register("response_by_pay_band_sector", _sql(body=f"""SELECT pay_band, COUNT(*) AS n,
+    quantile_cont(applications, 0.1) AS apps_p10, quantile_cont(applications, 0.5) AS apps_p50,
+    quantile_cont(applications, 0.9) AS apps_p90, AVG(CAST(applications < vacancies AS DOUBLE)) AS under_filled
+    FROM fc WHERE sector = '{_HS}' GROUP BY pay_band HAVING COUNT(*) >= {H.MIN_N}"""))
+def q_response_sector(spark, sf):
+    """H-08 for one sector."""
+    return H.response_by_pay_band(_m(spark, sf), sector=_HS)
+
+
+@register("repost_contrast_sector", _sql(_CONTRAST.replace("FROM l2 WHERE pay_band IS NOT NULL", f"FROM l2 WHERE pay_band IS NOT NULL AND sector = '{_HS}'"),
+                                         body="SELECT pay_band, repost_lt3, repost_gte3, n_lt3 + n_gte3 AS n FROM ct"))
+def q_repost_contrast_sector(spark, sf):
+    """H-11 for one sector."""
+    return H.repost_contrast(_m(spark, sf), sector=_HS)

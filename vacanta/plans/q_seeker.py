@@ -153,3 +153,23 @@ def q_pay_range_width(spark, sf):
 def q_competition(spark, sf):
     """K-09."""
     return K.competition_high_low(_b(spark, sf))
+
+
+# ---- sliced variants (the candidate picks a sector and experience level) -----------
+
+_KS, _KE = "Engineering", "Senior"
+
+
+@register("seeker_headline_slice", _sql(body=f"""SELECT COUNT(*) AS total_opportunities, COUNT(DISTINCT sector) AS sectors_hiring,
+    round_even(MEDIAN(market_salary), 0) AS median_salary, MAX(salary_max) AS top_salary FROM sb
+    WHERE sector = '{_KS}' AND experience_level = '{_KE}'"""))
+def q_seeker_headline_slice(spark, sf):
+    """K-01 on one sector x experience slice (F-03 filters)."""
+    return K.headline(K.seeker_base(Postings(spark, sf).jobs(), sector=_KS, experience_level=_KE))
+
+
+@register("pay_by_years_slice", _sql(body=f"""SELECT seniority_years, round_even(MEDIAN(market_salary), 0) AS median_salary FROM sb
+    WHERE sector = '{_KS}' AND seniority_years IS NOT NULL GROUP BY seniority_years"""))
+def q_pay_by_years_slice(spark, sf):
+    """K-06 on one sector."""
+    return K.pay_by_years(K.seeker_base(Postings(spark, sf).jobs(), sector=_KS))
