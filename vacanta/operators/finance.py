@@ -163,14 +163,20 @@ def reprice(finance: DataFrame, s: Scenario) -> DataFrame:
     return _cost_columns(finance.drop(*cost_cols), s)
 
 
-def reprice_many(finance: DataFrame, scenarios: DataFrame) -> DataFrame:
+def reprice_many(finance: DataFrame, scenarios) -> DataFrame:
     """P-07, many scenarios in one job: every posting priced under every
     scenario the caller passes (the output is postings x scenarios by
-    definition); the scenario table is broadcast, its size is the number of
-    scenarios given."""
-    sc = F.broadcast(scenarios)
+    definition). ``scenarios`` is a sequence of ``(name, Scenario)``; their
+    rates become a literal array that each row expands over (a Generate in
+    the scan's stage: no join, no shuffle)."""
+    rates = F.array(*[F.struct(F.lit(name).alias("scenario"),
+                               F.lit(float(sc.permanent_employer_burden_rate)).alias("permanent_employer_burden_rate"),
+                               F.lit(float(sc.contract_employer_burden_rate)).alias("contract_employer_burden_rate"),
+                               F.lit(float(sc.contract_agency_premium_rate)).alias("contract_agency_premium_rate"),
+                               F.lit(float(sc.days_per_month)).alias("days_per_month"))
+                      for name, sc in scenarios])
     coh = F.col("employment_cohort")
-    df = finance.crossJoin(sc)
+    df = finance.select("*", F.inline(rates))
     burden = first_match([(coh == "Permanent", F.col("permanent_employer_burden_rate")),
                           (coh == "Contract", F.col("contract_employer_burden_rate"))], F.lit(0.0))
     prem = F.when(coh == "Contract", F.col("contract_agency_premium_rate")).otherwise(F.lit(0.0))

@@ -226,13 +226,14 @@ def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("expe
     hist = hist.checkpoint(eager=True)
     n_values = hist.count()
     if n_values <= max_broadcast_values:
-        # one row of value -> rank maps, broadcast (bounded by the check above);
+        # one row of value -> rank maps (bounded by the check above), read as
+        # uncorrelated scalar subqueries that the optimizer merges into one;
         # ranks are then lookups in a projection, no join of the rows
         maps = hist.groupBy().agg(*[
             F.map_from_entries(F.collect_list(F.when(F.col("col") == c, F.struct("v", f"rk_{tags[g]}")))).alias(f"m_{tags[g]}_{c}")
             for c in cols for g in regimes])
-        ranked = s.join(F.broadcast(maps), how="inner").select(
-            *s.columns, *[F.element_at(F.col(f"m_{tags[g]}_{c}"), F.col(c).cast("double")).alias(f"r_{tags[g]}_{c}")
+        ranked = s.select(
+            *s.columns, *[F.element_at(scalar(maps, f"m_{tags[g]}_{c}"), F.col(c).cast("double")).alias(f"r_{tags[g]}_{c}")
                           for c in cols for g in regimes])
     else:
         ranked = s
