@@ -206,7 +206,7 @@ def config_norms(market: DataFrame, sector: str | None = None, min_n: int = MIN_
     out = (cell.withColumn("level_n", F.sum("n").over(w))
            .where(F.col("level_n") >= min_n)
            .withColumn("share_pct", F.col("n") * 100.0 / F.col("level_n"))
-           .join(F.broadcast(ranks), "position_level", "left"))
+           .join(ranks, "position_level", "left"))
     return out.withColumn("rare", F.col("share_pct") < RARE_SHARE_PCT)
 
 

@@ -163,6 +163,10 @@ def response_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N)
     return out.select("request_id", *RESPONSE_KEYS_3, "grain", *cols)
 
 
+# upper bound on distinct position levels for broadcasting the level-rank table
+MAX_LEVELS_BROADCAST = 100_000
+
+
 def spearman_inputs(market: DataFrame) -> DataFrame:
     """N-08 input: the 11 encoded columns over counters-complete postings."""
     settled = market.where(F.col("counters_complete"))
@@ -172,7 +176,9 @@ def spearman_inputs(market: DataFrame) -> DataFrame:
            .drop("_m"))
     comp = settled.groupBy("company").agg(F.count(F.lit(1)).cast("double").alias("company_postings"))
     exp_rank = F.array_position(F.array(*[F.lit(x) for x in EXP_ORDER]), F.col("experience_level"))
-    s = (settled.join(F.broadcast(lvl), "position_level", "left").join(comp, "company", "left")
+    # the level table has one row per distinct level: broadcast after a count
+    from ..session import checked_broadcast
+    s = (settled.join(checked_broadcast(lvl, MAX_LEVELS_BROADCAST), "position_level", "left").join(comp, "company", "left")
          .select(F.col("job_id"),
                  F.col("applications").cast("double").alias("applications"), F.col("views").cast("double").alias("views"),
                  F.col("repost_count").cast("double").alias("repost_count"),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import threading
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
 
@@ -60,3 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="vacanta-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir().rstrip("/")
+
+
+def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``small`` for broadcast only after measuring it: the table is
+    checkpointed to the shared checkpoint folder (so the count and the join
+    read the same rows, computed once) and broadcast when it has at most
+    ``max_rows`` rows; above that it is returned unmarked for a shuffle join
+    (AQE splits skewed partitions there)."""
+    from pyspark.sql import functions as F
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)
+    return F.broadcast(small) if small.count() <= max_rows else small
