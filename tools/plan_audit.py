@@ -96,6 +96,7 @@ def main():
              "Single-partition exchanges are classified by what flows through them: partial-aggregate buffers "
              "(one row per input partition), already-aggregated rows (groups, months, cells), top-k candidates, "
              "or raw fact rows. Targets: 0 Python nodes, 0 single-partition exchanges of fact rows.", "",
+             'Scalar subqueries are counted once per reference in these initial plans; the optimizer merges subqueries over the same aggregate and AQE runs the merged one once, reusing it for the other references (spearman_matrix: 22 references, one run, 21 `ReusedSubquery` in the final plan).', "",
              f"Totals over {len(rows)} queries: exchanges {tot[0]}, broadcast exchanges {tot[1]}, sort-merge joins {tot[2]}, "
              f"Python nodes {tot[3]}; single-partition: partial-aggregate {tot[4]}, aggregated rows {tot[5]}, "
              f"top-k {tot[6]}, **fact rows {tot[7]}**.", "",
