@@ -2,8 +2,8 @@
 exposure, contract-vs-permanent conversion economics, scenario re-pricing.
 
 Scenario parameters enter plans as literals (constant-folded by Catalyst);
-pricing many scenarios at once is a cross join with a small scenario table
-whose size is the number of scenarios the caller passes in.
+pricing many scenarios at once expands each row over a literal array of the
+scenarios the caller passes in (a Generate, no join).
 """
 from __future__ import annotations
 
