@@ -165,6 +165,8 @@ def response_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N)
 
 # upper bound on distinct position levels for broadcasting the level-rank table
 MAX_LEVELS_BROADCAST = 100_000
+# upper bound on distinct companies for broadcasting the per-company counts
+MAX_COMPANIES_BROADCAST = 2_000_000
 
 
 def spearman_inputs(market: DataFrame) -> DataFrame:
@@ -176,9 +178,12 @@ def spearman_inputs(market: DataFrame) -> DataFrame:
            .drop("_m"))
     comp = settled.groupBy("company").agg(F.count(F.lit(1)).cast("double").alias("company_postings"))
     exp_rank = F.array_position(F.array(*[F.lit(x) for x in EXP_ORDER]), F.col("experience_level"))
-    # the level table has one row per distinct level: broadcast after a count
+    # the level and company tables have one row per distinct key: each is
+    # broadcast after a count (no shuffle of the rows by a possibly hot key);
+    # above the bound the company join is a shuffle join split by AQE's skew handling
     from ..session import checked_broadcast
-    s = (settled.join(checked_broadcast(lvl, MAX_LEVELS_BROADCAST), "position_level", "left").join(comp, "company", "left")
+    s = (settled.join(checked_broadcast(lvl, MAX_LEVELS_BROADCAST), "position_level", "left")
+         .join(checked_broadcast(comp, MAX_COMPANIES_BROADCAST), "company", "left")
          .select(F.col("job_id"),
                  F.col("applications").cast("double").alias("applications"), F.col("views").cast("double").alias("views"),
                  F.col("repost_count").cast("double").alias("repost_count"),
