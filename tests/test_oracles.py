@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
+from vacanta.plans import catalog
 from vacanta.plans.compare import compare
 
-QUERIES = entry_mod.queries()
-ORACLES = entry_mod.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))

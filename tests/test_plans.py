@@ -6,13 +6,13 @@ import sys
 
 import pytest
 
-import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
+from vacanta.plans import catalog
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from plan_audit import audit  # noqa: E402
 
-QUERIES = entry_mod.queries()
+QUERIES = catalog.queries()
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
