@@ -18,17 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once into a new folder under the shared ``spark.checkpoint.dir``
-    and return a scan of it: the lineage ends there, so a lost executor re-reads
-    files, and a later pass does not repeat the work. The folder goes with the
-    application."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared ``spark.checkpoint.dir``; it goes with the application."""
     path = f"{ensure_checkpoint_dir(spark)}/vacanta-llm/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", codec).parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` once into a new shared folder and return a scan of it: the lineage
+    ends there, so a lost executor re-reads files, and a later pass does not repeat
+    the work."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
-from .common import table
+from . import decontaminate, huffman, pack, simhash, tokens
+from .common import new_path, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.SQL}
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -26,6 +32,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    packed = pack.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer("byte_bpe_50k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
@@ -33,6 +46,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the token file."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    path = new_path(spark, "token_file")
+    huffman.write(stored(tokens.token_ids(docs, tokenizer("word_bpe_49k.json"), end_id=1), "ids"), path)
+    return huffman.read(spark, path).select(
+        "doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
