@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, linkgraph, pack, simhash, token_counts, tokens
+from . import decontaminate, huffman, linkgraph, pack, rules_forest, simhash, token_counts, tokens
 from .common import new_path, stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -28,6 +28,15 @@ def query(fn):
     return fn
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    judged = rules_forest.judge(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "score")
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item, with the item."""
