@@ -3,7 +3,7 @@
 A fixed mask keeps some positions of a token span and ignores the others. Every
 span of a document is hashed under each mask and joined to the hashes of the
 benchmark items, so a span still hits when the tokens at its ignored positions
-were substituted. Around each hit the aligned tokens are compared: an overlap is
+were substituted. On the diagonal of each hit the aligned tokens are compared: an overlap is
 a window of ``WINDOW`` benchmark tokens of which at most ``SUBSTITUTIONS`` differ
 on the same diagonal.
 
@@ -20,8 +20,6 @@ on either side gives no rows. Other columns are not read.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,60 +40,58 @@ def _hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
-def _seed(array: Column, start: Column, mask: tuple[int, ...], number: int) -> Column:
-    return F.xxhash64(F.lit(number), *[array[start + o] for o in mask])
-
-
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def _seeds(array: Column, masks: list[tuple[int, tuple[int, ...]]]) -> Column:
+    """Per mask, the hashes of the spans from each position on that the mask fits."""
+    def of(number: int, mask: tuple[int, ...]) -> Column:
+        last = F.size(array) - 1 - max(mask)
+        return F.when(last >= 0, F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(number), *[array[i + o] for o in mask])))
+    return F.array(*[of(number, mask) for number, mask in masks])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, n_matched, doc_start): ``n_matched`` is the largest number of
-    equal tokens in a qualifying window, ``doc_start`` the first token of the document
-    at which an item would have to begin for such a window (it may be negative)."""
+    equal tokens in a qualifying window, ``doc_start`` the token of the document at which
+    the item would have to begin for such a window (it may be negative)."""
     items = stored(benchmark.select("item_id", _hashes(F.col("text")).alias("item"))
                    .where(F.size("item") >= MIN_ITEM_TOKENS).distinct(), "items")
+    # At most one number per length under the window.
     short = [r[0] for r in items.select(F.size("item")).where(F.size("item") < WINDOW).distinct().collect()]
     masks = list(enumerate(MASKS)) + [(len(MASKS) + n, tuple(range(n))) for n in sorted(short)]
 
-    def seeds(df: DataFrame, array: str, pos: str) -> Column:
-        """The seeds of one span under every mask that fits there."""
-        n, out = F.size(array), []
-        for number, mask in masks:
-            fits = F.col(pos) + max(mask) < n
-            if array == "item":
-                fits = fits & ((n == len(mask)) if number >= len(MASKS) else (n >= WINDOW))
-            out.append(F.when(fits, _seed(F.col(array), F.col(pos), mask, number)))
-        return F.array(*out)
-
-    at = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("item_pos"))
-    table = stored(at.select("item_id", "item", "item_pos",
-                             F.posexplode(seeds(at, "item", "item_pos")).alias("mask", "seed"))
-                   .where("seed is not null"), "seeds")
-    size = table.agg(F.sum(F.size("item") * 8 + 40)).collect()[0][0] or 0
-    if size <= max_broadcast_bytes:
+    def exploded(df: DataFrame, array: str, *keep: str) -> DataFrame:
+        per_mask = df.select(*keep, F.posexplode(_seeds(F.col(array), masks)).alias("mask", "seeds"))
+        return per_mask.select(*keep, "mask", F.posexplode("seeds").alias("pos", "seed"))
+
+    own = F.element_at(F.array(*[F.lit(n) for _, n in [(m, len(mask)) for m, mask in masks]]), F.col("mask") + 1)
+    table = (exploded(items.withColumn("n", F.size("item")), "item", "item_id", "n")
+             .where(F.when(F.col("mask") < len(MASKS), F.col("n") >= WINDOW).otherwise(F.col("n") == own))
+             .select("seed", "item_id", F.col("pos").alias("item_pos")).distinct())
+    table = stored(table, "seeds")
+    row_bytes = 64  # three numbers in a hashed relation
+    if table.count() * row_bytes <= max_broadcast_bytes:
         table = F.broadcast(table)
 
     # Padded by what may be substituted, so that windows across a document's edges are covered.
     pad = F.array_repeat(F.lit(0).cast("long"), SUBSTITUTIONS)
-    spans = (docs.select("doc_id", F.concat(pad, _hashes(F.col("text")), pad).alias("doc"))
-             .where(F.size("doc") > 2 * SUBSTITUTIONS)
-             .select("doc_id", "doc", F.explode(F.sequence(F.lit(0), F.size("doc") - 1)).alias("pos")))
-    hits = (spans.select("doc_id", "doc", "pos", F.explode(seeds(spans, "doc", "pos")).alias("seed"))
-            .where("seed is not null").join(table, "seed"))
-
-    # Of a run of hits under one mask on one diagonal, only the first is compared.
-    doc, item, pos, ipos = F.col("doc"), F.col("item"), F.col("pos"), F.col("item_pos")
-    same_before = F.lit(False)
-    for number, mask in masks:
-        same_before = same_before | ((F.col("mask") == number)
-                                     & _all([doc[pos - 1 + o] == item[ipos - 1 + o] for o in mask]))
-    same_before = F.when((pos > 0) & (ipos > 0), same_before).otherwise(F.lit(False))
-    hits = hits.where(~same_before).select("doc_id", "doc", "item_id", "item", (pos - ipos).alias("diagonal"))
+    key = F.xxhash64("text").alias("text_hash")
+    spans = exploded(docs.where("text IS NOT NULL").select("doc_id", key, F.concat(pad, _hashes(F.col("text")), pad).alias("doc")),
+                     "doc", "doc_id", "text_hash")
+    hits = (spans.join(table, "seed")
+            .select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos") - SUBSTITUTIONS).alias("diagonal"))
+            .distinct())
+    found = stored(hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits")), "hits")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "hits")
+
+    # The hit documents again, each diagonal compared token by token.
+    met = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]))
+    met = (met.select("doc_id", _hashes(F.col("text")).alias("doc"), "hits")
+           .select("doc_id", "doc", F.explode("hits").alias("hit"))
+           .select("doc_id", "doc", "hit.item_id", "hit.diagonal").join(items, "item_id"))
+    doc, item, diagonal = F.col("doc"), F.col("item"), F.col("diagonal")
 
     def equal(j: Column) -> Column:
-        at = j + F.col("diagonal")
+        at = j + diagonal
         return F.when((at >= 0) & (at < F.size(doc)) & (F.get(doc, at) == F.get(item, j)), 1).otherwise(0)
 
     width = F.least(F.size(item), F.lit(WINDOW))
@@ -103,12 +99,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int = 6
     best = F.array_max(F.transform(
         F.sequence(F.lit(1), F.size("equals") - F.col("width") + 1),
         lambda i: F.aggregate(F.slice("equals", i, F.col("width")), F.lit(0), lambda a, x: a + x)))
-    checked = (hits.select("doc_id", "item_id", "diagonal", equals.alias("equals"), width.alias("width"))
+    checked = (met.select("doc_id", "item_id", "diagonal", equals.alias("equals"), width.alias("width"))
                .select("doc_id", "item_id", "diagonal", "width", best.alias("best")))
     needed = F.when(F.col("width") < WINDOW, F.col("width")).otherwise(WINDOW - SUBSTITUTIONS)
     return (checked.where(F.col("best") >= needed)
             .groupBy("doc_id", "item_id")
-            .agg(F.max("best").alias("n_matched"), F.min(F.col("diagonal") - SUBSTITUTIONS).alias("doc_start")))
+            .agg(F.max("best").alias("n_matched"), F.min("diagonal").alias("doc_start")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
