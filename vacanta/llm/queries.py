@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, linkgraph, pack, rules_forest, simhash, token_counts, tokens
+from . import cotrain, decontaminate, huffman, linkgraph, pack, rules_forest, simhash, token_counts, tokens
 from .common import new_path, stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -51,6 +51,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.classify(docs, cotrain.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
+
+
 @query
 def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
