@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontaminate, huffman, linkgraph, pack, rules_forest, simhash, token_counts, tokens
+from . import cotrain, decontaminate, html_template, huffman, linkgraph, pack, pii, rules_forest, simhash, token_counts, tokens
 from .common import new_path, stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -23,11 +23,28 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret under which surrogates are drawn; a deployment sets its own."""
+    return spark.conf.get("spark.vacanta.pii.key", "a key for tests only").encode()
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_template.extract(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents", ["doc_id", "text"]), pii_key(spark))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
