@@ -4,8 +4,8 @@ Pages of one host come from a few templates. A token is an element in its role (
 path of elements from the root) or a text in its place. Per host, tokens that occur
 equally often on each page -- that share their occurrence vector -- form an
 equivalence class. A class is kept if enough pages have it and it is valid: its
-elements follow each other in one order, and it lies within one slot of the class
-that holds the element above it, so that the classes nest into the host's template.
+elements follow each other in one order, and each lies in a slot of an element that
+is nested already, so that the classes nest into the host's template.
 The slots are the places of the template's elements that hold changing text. Slots
 under furniture elements (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) are left out, and of the others the article's: those under an article or
@@ -16,8 +16,8 @@ block, whole.
 Vectors are compared by their sums of hashed entries, an aggregate that needs no
 page of a host to meet another; what reaches one task per host are the tokens with
 high support, whose number is bounded by the size of a page. A text counts as part of
-the template, and is left out, only if each of at least ``MIN_PAGES`` pages of the
-host has it exactly once outside article and main elements.
+the template only if each of at least ``MIN_PAGES`` pages of the host has it exactly
+once outside article and main elements; a block of nothing else is left out.
 
 Defined cases: a null or empty html gives an empty text, a null url or one without a
 host is a host of its own; a host without a deducible template falls back to the
@@ -145,11 +145,11 @@ def _clean(text: str) -> str:
     return _SPACE.sub(" ", html.unescape(text)).strip()
 
 
-def _text_hash(path: tuple[str, ...], text: str) -> int:
-    return xxhash.xxh64_intdigest("/".join(path) + "\0" + text) - (1 << 63)
+def _text_hash(path: tuple[str, ...], text: str) -> str:
+    return xxhash.xxh64_hexdigest("/".join(path) + "\0" + text)
 
 
-def tokens(page: str) -> dict[tuple[str, int | None], list]:
+def tokens(page: str) -> dict[tuple[str, str | None], list]:
     """(path, hash of a text or None) -> [count, first place, characters, characters in links]."""
     found: dict = {}
     for place, (path, text, _) in enumerate(walk(page)):
@@ -180,40 +180,43 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 for name, v in zip(out, (path, text, *values)):
                     out[name].append(v)
         take = pa.array(rows, pa.int64())
-        kinds = {"path": pa.string()}
+        kinds = {"path": pa.string(), "text": pa.string()}
         return pa.record_batch({"host": batch.column("host").take(take), "page": batch.column("page").take(take)}
                                | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
-    return map_batches(pages, run, "host string, page long, path string, text long, n long, place long, chars long, link_chars long")
+    return map_batches(pages, run, "host string, page long, path string, text string, n long, place long, chars long, link_chars long")
 
 
-def deduce(rows: pd.DataFrame) -> tuple[list[str], list[int], int]:
+def deduce(rows: pd.DataFrame) -> tuple[list[str], list[str], int]:
     """(roots of the article, hashes of template texts, number of nested classes) from one
     host's tokens: path, text, pages, host_pages, once, vector, place, chars, link_chars."""
     if rows.empty:
         return [], [], 0
     total = int(rows["host_pages"].iloc[0])
     elements = rows[rows["text"].isna()].sort_values(["place", "path"])
-    nested: set[str] = set()
-    classes = []
-    for _, own in sorted(elements.groupby("vector", sort=False), key=lambda g: (g[1]["place"].min(), g[0])):
-        paths = [p for p in own["path"]]
+    place = dict(zip(elements["path"], elements["place"]))
+    ordered = set()
+    for _, own in elements.groupby("vector", sort=False):
         # Ordered: an element's mean place is before that of what it holds.
-        place = dict(zip(own["path"], own["place"]))
-        ordered = all(place[p] <= place[q] for p in paths for q in paths if q.startswith(p + "/"))
-        # Nested: above its first elements is the root or an element of a class already nested.
-        above = {p.rpartition("/")[0] for p in paths} - set(paths)
-        if ordered and all(not a or a in nested for a in above):
-            nested.update(paths)
-            classes.append(paths)
+        paths = list(own["path"])
+        if all(place[p] <= place[q] for p in paths for q in paths if q.startswith(p + "/")):
+            ordered.update(paths)
+    # Nested: the element above is the page's root or itself nested. A class that reaches into
+    # several slots of others nests there part by part.
+    nested: set[str] = set()
+    for path in elements["path"]:
+        above = path.rpartition("/")[0]
+        if path in ordered and (not above or above in nested):
+            nested.add(path)
+    n_classes = elements.loc[elements["path"].isin(nested), "vector"].nunique()
     texts = rows[rows["text"].notna() & (rows["once"] == rows["host_pages"]) & (rows["host_pages"] >= MIN_PAGES)]
-    template_texts = sorted(int(x) for x in texts["text"])
+    template_texts = sorted(texts["text"])
 
     slots = elements[elements["path"].isin(nested) & ~elements["path"].map(lambda p: furniture(tuple(p.split("/"))))]
     semantic = [p for p in slots["path"] if _name(p.rpartition("/")[2]) in ("article", "main")]
     if semantic:
         inner = [p for p in semantic if _name(p.rpartition("/")[2]) == "article"] or semantic
         roots = [p for p in inner if not any(p.startswith(q + "/") for q in inner)]
-        return sorted(roots), template_texts, len(classes)
+        return sorted(roots), template_texts, n_classes
     weight: dict[str, float] = {}
     for path, chars, link in zip(slots["path"], slots["chars"], slots["link_chars"]):
         parts = path.split("/")
@@ -224,9 +227,9 @@ def deduce(rows: pd.DataFrame) -> tuple[list[str], list[int], int]:
                and _name(p.rpartition("/")[2]) not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr")]
     most = max(weight.values(), default=0)
     if not holders or most <= 0 or total < 1:
-        return [], template_texts, len(classes)
+        return [], template_texts, n_classes
     enough = [p for p in holders if weight[p] >= 0.7 * most]
-    return [max(enough, key=lambda p: (p.count("/"), weight[p], p))] if enough else [], template_texts, len(classes)
+    return [max(enough, key=lambda p: (p.count("/"), weight[p], p))] if enough else [], template_texts, n_classes
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -243,12 +246,13 @@ def templates(pages: DataFrame) -> DataFrame:
     def run(own: pd.DataFrame) -> pd.DataFrame:
         roots, texts, n = deduce(own)
         return pd.DataFrame({"host": [own["host"].iloc[0]], "roots": [roots], "texts": [texts], "n_classes": [n]})
-    return rows.groupBy("host").applyInPandas(run, "host string, roots array<string>, texts array<long>, n_classes int")
+    return rows.groupBy("host").applyInPandas(run, "host string, roots array<string>, texts array<string>, n_classes int")
 
 
-def main_text(page: str | None, roots: list[str], texts: set[int]) -> str:
+def main_text(page: str | None, roots: list[str], texts: set[str]) -> str:
     """The article's blocks, joined by line breaks."""
     blocks: list[list[str]] = []
+    own: list[bool] = []
     wanted = [tuple(r.split("/")) for r in roots]
     every = list(walk(page or ""))
     opened = {path for path, text, _ in every if text is None}
@@ -270,13 +274,14 @@ def main_text(page: str | None, roots: list[str], texts: set[int]) -> str:
         if not verdicts[path]:
             broken = True
             continue
-        if texts and text.strip() and _text_hash(path, _clean(text)) in texts:
-            continue
         if broken or not blocks:
             blocks.append([])
+            own.append(False)
             broken = False
         blocks[-1].append(text)
-    return "\n".join(x for x in (_clean("".join(b)) for b in blocks) if x)
+        own[-1] = own[-1] or text.strip() != "" and not (texts and _text_hash(path, _clean(text)) in texts)
+    # A block that is nothing but template text goes.
+    return "\n".join(x for x in (_clean("".join(b)) for b, changing in zip(blocks, own) if changing) if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:
