@@ -15,6 +15,8 @@ Other columns are not read.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import map_batches, stored
-from .tokens import token_ids
+from .tokens import encoded, encoder
 
 CAPACITY = 2048
 
@@ -84,39 +86,42 @@ def _places(bins: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64).T for k, v in rows.items()}
 
 
-def pieces(ids: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids, task, nth): documents cut into pieces, the
-    first one taking the remainder; ``nth`` numbers a task's pieces of equal length."""
-    def run(batch: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
-        task, out = TaskContext.get().partitionId(), {k: [] for k in ("doc", "piece", "start", "length", "ids", "nth")}
-        for row, value in enumerate(batch.column("ids").to_pylist()):
-            n = len(value) // 4
-            edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)] if n else [0]
-            for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                out["doc"].append(row)
-                out["piece"].append(k)
-                out["start"].append(a)
-                out["length"].append(b - a)
-                out["ids"].append(value[4 * a:4 * b])
-                out["nth"].append(int(seen[b - a]))
-                seen[b - a] += 1
-        return pa.record_batch({
-            "doc_id": batch.column("doc_id").take(pa.array(out["doc"], pa.int64())),
-            "piece": pa.array(out["piece"], pa.int32()), "start": pa.array(out["start"], pa.int64()),
-            "length": pa.array(out["length"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()),
-            "task": pa.array([task] * len(out["doc"]), pa.int32()), "nth": pa.array(out["nth"], pa.int64())})
-
-    schema = T.StructType([ids.schema["doc_id"], T.StructField("piece", T.IntegerType()),
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids, task, nth): documents cut into pieces, the first
+    one taking the remainder; ``nth`` numbers a task's pieces of equal length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, task, seen = encoder(tokenizer, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            for first_row, texts in encoded(batch, coder):
+                row, piece, start, length, ids, nth = [], [], [], [], [], []
+                for k, own in enumerate(texts, first_row):
+                    n = len(own)
+                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                    for p, (a, b) in enumerate(zip(edges, edges[1:])):
+                        row.append(k)
+                        piece.append(p)
+                        start.append(a)
+                        length.append(b - a)
+                        ids.append(own[a:b].astype("<u4", copy=False).tobytes())
+                        nth.append(int(seen[b - a]))
+                        seen[b - a] += 1
+                yield pa.record_batch({
+                    "doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary()),
+                    "task": pa.array([task] * len(row), pa.int32()), "nth": pa.array(nth, pa.int64())})
+
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = T.StructType([given.schema["doc_id"], T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                            T.StructField("ids", T.BinaryType()), T.StructField("task", T.IntegerType()),
                            T.StructField("nth", T.LongType())])
-    return map_batches(ids, run, schema, setup=lambda: np.zeros(capacity + 1, np.int64))
+    return given.mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset): every piece with its ids
     and its place."""
-    cut = stored(pieces(token_ids(docs, tokenizer, end_id), capacity), "pieces")
+    cut = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
     per_task = stored(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(plan(counts, capacity))

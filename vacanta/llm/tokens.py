@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slices, map_batches
+from .common import in_slices
 
 #: Byte-level alphabet of the tokenizer files: printable bytes stand for themselves,
 #: the others for the characters from 256 on, in order.
@@ -52,7 +53,7 @@ class Encoder:
     """``joined``: a space belongs to the word after it (byte-level files); otherwise
     white space is dropped and letters are lower-cased (word files)."""
 
-    def __init__(self, path: str, end_id: int, max_units: int = 1_500_000):
+    def __init__(self, path: str, end_id: int, max_units: int = 800_000):
         import json
 
         from tokenizers import Tokenizer
@@ -159,16 +160,23 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int, slice_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 32-bit ids of the whole text (null: empty),
-    the end id last. ``path`` must exist on every executor."""
-    def run(batch: pa.RecordBatch, coder: Encoder) -> pa.RecordBatch:
-        column = batch.column("text").fill_null("")
-        out = []
-        for a, b in in_slices(column, slice_bytes):
-            out += [ids.astype("<u4", copy=False).tobytes() for ids in coder.encode(column[a:b].to_pylist())]
-        return pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array(out, pa.binary())})
+def encoded(batch: pa.RecordBatch, coder: Encoder, slice_bytes: int = 2 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, ids of the rows from there on), a slice of the batch's texts at a time."""
+    column = batch.column("text").fill_null("")
+    for a, b in in_slices(column, slice_bytes):
+        yield a, coder.encode(column[a:b].to_pylist())
+
+
+def token_ids(docs: DataFrame, path: str, end_id: int, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids): ids of the whole text (null: empty) as numbers of ``kind``, the end id
+    last. ``path`` must exist on every executor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, end_id)
+        for batch in batches:
+            for a, ids in encoded(batch, coder):
+                values = [x.astype(kind, copy=False).tobytes() for x in ids]
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, len(ids)), "ids": pa.array(values, pa.binary())})
 
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([given.schema["doc_id"], T.StructField("ids", T.BinaryType())])
-    return map_batches(given, run, schema, setup=lambda: encoder(path, end_id))
+    return given.mapInArrow(run, schema)
