@@ -145,11 +145,16 @@ def _documents(code: Code, payload: bytes) -> tuple[list, list[np.ndarray]]:
             np.split(ids, np.cumsum(sizes, dtype=np.int64)[:-1]) if docs else [])
 
 
-def write(ids: DataFrame, path: str) -> None:
-    """Write the documents of ``ids`` (doc_id, ids: little-endian u32), a stored table
+def write(ids: DataFrame, path: str, kind: str = "<u4") -> None:
+    """Write the documents of ``ids`` (doc_id, ids: numbers of ``kind``), a stored table
     that is read twice, as one file folder at ``path``."""
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+        found = np.zeros(1, np.int64)
+        for value in batch.column("ids"):
+            own = np.bincount(np.frombuffer(value.as_buffer(), kind))
+            if len(own) > len(found):
+                found = np.pad(found, (0, len(own) - len(found)))
+            found[:len(own)] += own
         seen = np.flatnonzero(found)
         return pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(found[seen], pa.int64())})
 
@@ -170,8 +175,8 @@ def write(ids: DataFrame, path: str) -> None:
                                     "first": pa.array([first], pa.int64()), "n_ids": pa.array([n], pa.int64()),
                                     "payload": pa.array([_payload(code, docs, held)], pa.binary())})
         for batch in batches:
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                own = np.frombuffer(value, "<u4")
+            for doc, value in zip(batch.column("doc_id"), batch.column("ids")):
+                doc, own = doc.as_py(), np.frombuffer(value.as_py(), kind)
                 docs.append(doc)
                 held.append(own)
                 n += len(own)

@@ -100,7 +100,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as read back from the token file."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     path = new_path(spark, "token_file")
-    huffman.write(stored(tokens.token_ids(docs, tokenizer("word_bpe_49k.json"), end_id=1), "ids"), path)
+    kind = "<u2"  # ids up to 49,407
+    huffman.write(stored(tokens.token_ids(docs, tokenizer("word_bpe_49k.json"), end_id=1, kind=kind), "ids"), path, kind)
     return huffman.read(spark, path).select(
         "doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
