@@ -1,11 +1,8 @@
-"""Join-free forms: size-checked broadcasts and multi-scenario pricing."""
+"""Join-free form of multi-scenario pricing."""
 import io
 from contextlib import redirect_stdout
 
-from pyspark.sql import functions as F
-
 from vacanta.operators import finance as P_
-from vacanta.session import checked_broadcast
 
 
 def _plan(df) -> str:
@@ -15,17 +12,6 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-def test_checked_broadcast_marks_only_small_tables(spark):
-    big = spark.range(0, 200).withColumn("k", F.col("id") % 50)
-    small = spark.range(0, 10).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 2)
-    under = big.join(checked_broadcast(small, 10), "k")
-    over = big.join(checked_broadcast(small, 9), "k")
-    assert "BroadcastExchange" in _plan(under) or "BroadcastHashJoin" in _plan(under)
-    # above the bound there is no hint: the join result is still whole
-    assert under.count() == over.count() == 40
-    assert sorted(r["v"] for r in under.collect()) == sorted(r["v"] for r in over.collect())
-
-
 def test_reprice_many_expands_rows_without_a_join(spark):
     rows = [("j1", "S", "Permanent", 1000.0, 2, 30), ("j2", "S", "Contract", 2000.0, 1, 15),
             ("j3", "T", "Other", 500.0, 3, 10)]

@@ -59,3 +59,25 @@ def test_chi2_sf_closed_forms(spark, x, k):
     got = spark.createDataFrame([(x, k)], "x double, k int").select(chi2_sf(F.col("x"), F.col("k"))).collect()[0][0]
     exp = q(k / 2.0, x / 2.0)
     assert abs(got - exp) <= 1e-6 * max(exp, 1e-12) + 1e-9
+
+
+def test_erfc_is_exact(spark):
+    import math
+    from vacanta.functions.stats import erfc
+    xs = [-6.0, -2.0, -0.3, 0.0, 1e-9, 0.1, 0.5, 1.0, 1.5, 1.999, 2.0, 2.5, 3.0, 5.0, 8.0, 12.0, 20.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    for r in got:
+        assert abs(r.y - math.erfc(r.x)) <= 1e-13 * math.erfc(r.x), r
+
+
+def test_odds_ratios_of_empty_cells(spark, monkeypatch):
+    from vacanta.operators import stats as N
+    cells = spark.createDataFrame([("a", 0.0, 5.0, 3.0, 4.0), ("b", 1.0, 0.0, 0.0, 0.0), ("c", 6.0, 5.0, 3.0, 4.0)],
+                                  "pay_band string, a double, b double, c double, d double")
+    monkeypatch.setattr(N, "_strata", lambda market: cells)
+    by_band = {r.pay_band: r for r in N.stratum_odds_ratio(None).collect()}
+    assert abs(by_band["a"].odds_ratio - 0.5 * 4 / (5 * 3)) < 1e-12 and by_band["a"].repost_pct_gte3 == 0
+    assert by_band["b"].odds_ratio == 1.0 * 0.5 / (0.5 * 0.5) and by_band["b"].repost_pct_lt3 is None
+    pooled = N.mantel_haenszel(None).first()
+    assert pooled.mh_odds_ratio is not None and 0 <= pooled.null_test_p <= 1
+    assert 0 <= N.breslow_day(None).first().p_value <= 1

@@ -129,8 +129,8 @@ def date_roundtrip_check(df: DataFrame, cols=DATE_COLS) -> DataFrame:
 
 
 def parse_dates(df: DataFrame, cols=DATE_COLS) -> DataFrame:
-    """C-04: string dates to DATE. Lossy values become null here; run
-    ``date_roundtrip_check`` + ``raise_on_violations`` to refuse them."""
+    """C-04: string dates to DATE. A value that is no such date becomes null here;
+    ``clean_dataset`` refuses it before (``date_roundtrip_check``)."""
     return df.withColumns({c: F.try_to_date(F.col(c), "yyyy-MM-dd") for c in cols})
 
 
@@ -235,25 +235,38 @@ def grouping_key(cols) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
 
 
+def first_of_group(df: DataFrame, date: str, row_id: str) -> tuple[DataFrame, Column, str]:
+    """(rows with a place column, order of a group's members, the place column): by date,
+    then id, nulls last, then a hash of the whole row; among identical rows by place.
+    The place is the row's position in the scan, so the rows should come from stored
+    files, which every pass and every retry reads alike."""
+    place = "_place"
+    while place in df.columns:
+        place += "_"
+    whole = F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))])
+    placed = df.withColumn(place, F.monotonically_increasing_id())
+    order = F.struct(F.col(date).isNull().alias("no_date"), F.col(date).alias("date"), F.col(row_id).isNull().alias("no_id"),
+                     F.col(row_id).alias("id"), whole.alias("row"), F.col(place).alias("place"))
+    return placed, order, place
+
+
 def flag_duplicates(df: DataFrame, first_seen_order=("metadata_originalPostingDate", "metadata_jobPostId")) -> DataFrame:
     """C-08: flag (not drop) same-day duplicates.
 
-    dup_group_id is a hash of the typed key; the group size and the first-seen
-    member (earliest ``first_seen_order``, nulls last) come from ONE hash
-    aggregation on the id -- map-side partial aggregation collapses a hot group
-    to one row per input partition before the shuffle -- joined back on the id
-    (AQE splits a skewed partition of that join)."""
+    dup_group_id is a hash of the typed key; the group size and the one first-seen
+    member (``first_of_group``) come from ONE hash aggregation on the id -- map-side
+    partial aggregation collapses a hot group to one row per input partition before
+    the shuffle -- joined back on the id (AQE splits a skewed partition of that join)."""
     key_cols = [F.lower(F.col("title")) if c == "title" else F.col(c) for c in DUP_KEY]
     d, j = first_seen_order
-    with_id = df.withColumn("dup_group_id", dup_key_id(key_cols))
-    groups = (with_id.groupBy("dup_group_id")
+    placed, order, place = first_of_group(df.withColumn("dup_group_id", dup_key_id(key_cols)), d, j)
+    groups = (placed.groupBy("dup_group_id")
               .agg(F.count(F.lit(1)).cast("int").alias("dup_group_size"),
-                   F.min(F.struct(F.col(d).isNull().alias("n"), F.col(d).alias("d"),
-                                  F.col(j).alias("j"))).getField("j").alias("_first_id")))
-    return (with_id.join(groups, "dup_group_id")
+                   F.min(order).getField("place").alias("_first")))
+    return (placed.join(groups, "dup_group_id")
             .withColumn("is_same_day_dup", F.col("dup_group_size") > 1)
-            .withColumn("is_first_seen", F.col(j).eqNullSafe(F.col("_first_id")))
-            .drop("_first_id"))
+            .withColumn("is_first_seen", F.col(place) == F.col("_first"))
+            .drop("_first", place))
 
 
 def validate_rules(df: DataFrame, id_col: str = "metadata_jobPostId") -> DataFrame:
@@ -309,11 +322,11 @@ def raise_on_violations(report: DataFrame, count_col: str = "violations", name_c
         raise AssertionError("; ".join(f"{r[name_col]}: {r[count_col]}" for r in bad))
 
 
-def clean_dataset(df: DataFrame, prune: bool = False, check: bool = False):
-    """C-12: the cleaning chain as one lazy plan; returns ``(postings, bridge)``.
+def clean_dataset(df: DataFrame, prune: bool = False, check: bool = True):
+    """C-12: the cleaning chain; returns ``(postings, bridge)``.
 
-    ``prune`` runs the dead-column scan (one small action); ``check`` runs the
-    date round trip and validation rules as actions that raise."""
+    ``check`` (the default) runs the date round trip and the validation rules as
+    actions that raise; ``prune`` runs the dead-column scan (one small action)."""
     if check:
         raise_on_violations(date_roundtrip_check(df), "lossy_values", "column_name")
     out = remove_synthetic_rows(remove_ghost_rows(df))

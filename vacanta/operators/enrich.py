@@ -149,21 +149,29 @@ def _supervisor_label(lookup: Column, company_hint: Column | None) -> Column:
     return first_match(rules, "Supervisor")
 
 
-def job_label(title, position_level=None, company=None) -> Column:
-    """E-04: standard job label from title, position level and company."""
+def title_label(title) -> Column:
+    """The part of E-04 that hangs on the title alone."""
+    title_text = F.trim(F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit("")))
+    lookup = F.lower(title_text)
+    return first_match([(lookup.rlike(p), lbl) for p, lbl in JOB_LABEL_PATTERNS],
+                       F.when(title_text != "", python_title(title_text)).otherwise(F.lit("Unknown")))
+
+
+def job_label(title, position_level=None, company=None, base: Column | None = None) -> Column:
+    """E-04: standard job label from title, position level and company; ``base`` is the
+    title's own label where it is at hand (``title_label``)."""
     t = F.col(title) if isinstance(title, str) else title
     title_text = F.trim(F.coalesce(t, F.lit("")))
     lookup = F.lower(title_text)
     hint = F.lower(F.trim(F.coalesce(F.col(company), F.lit("")))) if company else F.lit("")
-    base = first_match([(lookup.rlike(p), lbl) for p, lbl in JOB_LABEL_PATTERNS],
-                       F.when(title_text != "", python_title(title_text)).otherwise(F.lit("Unknown")))
+    base = title_label(title) if base is None else base
     if company:
         base = first_match([(hint.contains("retail") & lookup.contains("assistant"), "Retail Assistant"),
                             (hint.contains("bank") & lookup.contains("executive"), "Banking Executive")], base)
     if position_level:
         lvl = F.trim(F.coalesce(F.col(position_level), F.lit("")))
-        base = F.when(lvl.isin(PREFIX_LEVELS) & ~lookup.rlike(RANK_WORDS),
-                      F.concat(lvl, F.lit(" "), base)).otherwise(base)
+        prefix = F.when(lvl.isin(PREFIX_LEVELS) & ~lookup.rlike(RANK_WORDS), F.concat(lvl, F.lit(" "))).otherwise(F.lit(""))
+        base = F.concat(prefix, base)
     return F.when(lookup.contains("supervisor"), _supervisor_label(lookup, hint if company else None)).otherwise(base)
 
 
@@ -181,19 +189,28 @@ def label_distinct_titles(df: DataFrame, title: str = "title", out: str = "job_l
             .withColumn(out, F.coalesce(F.col(out), F.lit("Unknown"))))
 
 
+def title_features(df: DataFrame, title: str = "title") -> DataFrame:
+    """E-03 / E-05 once per distinct title: (title, skills, skill_count, title_label). The
+    pattern lists run over the titles in use, not over the postings."""
+    return extract_skills(df.select(title).distinct(), title).withColumn("title_label", title_label(title))
+
+
 def competitiveness(df: DataFrame, mid: str = "salary_midpoint", skills: str = "skill_count",
-                    flag: str = "salary_flag", approx: bool = False) -> DataFrame:
+                    flag: str = "salary_flag", approx: bool = False, pay_from: DataFrame | None = None,
+                    skills_from: DataFrame | None = None) -> DataFrame:
     """E-07: min(50, midpoint / p99(ok midpoints) * 50) (null -> 25) plus
     skill_count / max(skill_count, 1) * 50, clipped to 0..100.
 
-    The two global statistics are one single-row aggregate read back as
-    scalar subqueries (computed once, no join)."""
+    The two global statistics are single-row aggregates read back as scalar
+    subqueries (computed once, no join), over ``pay_from`` and ``skills_from`` if
+    these hold the same values in fewer rows or columns."""
     basis = F.when(F.col(flag) == "ok", F.col(mid)) if flag in df.columns else F.col(mid)
     p99 = F.percentile_approx(basis, 0.99, 10000) if approx else F.percentile(basis, F.lit(0.99))
-    stats = df.agg(p99.cast("double").alias("_p99"),
-                   F.greatest(F.coalesce(F.max(skills), F.lit(0)), F.lit(1)).alias("_smax"))
-    pay = clip(F.try_divide(F.col(mid), scalar(stats, "_p99")) * 50, hi=50.0)
-    score = F.coalesce(pay, F.lit(25.0)) + F.col(skills) / scalar(stats, "_smax") * 50
+    high_pay = (df if pay_from is None else pay_from).agg(p99.cast("double").alias("_p99"))
+    most = (df if skills_from is None else skills_from).agg(
+        F.greatest(F.coalesce(F.max(skills), F.lit(0)), F.lit(1)).alias("_smax"))
+    pay = clip(F.try_divide(F.col(mid), scalar(high_pay, "_p99")) * 50, hi=50.0)
+    score = F.coalesce(pay, F.lit(25.0)) + F.col(skills) / scalar(most, "_smax") * 50
     return df.withColumn("competitiveness_score", clip(score.cast("double"), 0.0, 100.0))
 
 
@@ -214,9 +231,12 @@ def feature_enrichment(clean: DataFrame, bridge: DataFrame | None = None) -> Dat
         "salary_band": band_salary("salary_max"),
     })
     out = out.withColumn("seniority_years", F.coalesce(F.col("seniority_years"), F.lit(0)).cast("int"))
-    out = extract_skills(out, "title")
-    out = competitiveness(out)
-    out = out.withColumn("job_label", job_label("title", "position_level", "company"))
+    titles = title_features(out)
+    plain = out
+    own = titles.withColumnRenamed("title", "_title")
+    out = out.join(own, out["title"].eqNullSafe(own["_title"]), "left").drop("_title")
+    out = competitiveness(out, pay_from=plain, skills_from=titles)
+    out = out.withColumn("job_label", job_label("title", "position_level", "company", base=F.col("title_label")))
     return out.select(*JOBS_COLUMNS, *[c for c in EXTRA_COLUMNS if c in out.columns])
 
 

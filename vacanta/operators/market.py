@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.clean import first_of_group
 from ..functions.expr import all_of, month_key, null_safe_corr, scalar
 
 # ---- fixed values ------------------------------------------------------------
@@ -33,14 +34,12 @@ def dedup_first_seen(jobs: DataFrame, group: str = "dup_group_id",
     (a pushed-down filter); on a fact stored under the column contract it
     aggregates the first member per group -- map-side partially aggregated,
     so a hot group is never gathered in one task -- and keeps it with a
-    semi join on (group, id), whose key is unique."""
+    semi join on the member's place; rows without a group form one."""
     if "is_first_seen" in jobs.columns:
         return jobs.where(F.col("is_first_seen"))
-    d, j = order
-    firsts = (jobs.groupBy(group)
-              .agg(F.min(F.struct(F.col(d).isNull().alias("n"), F.col(d).alias("d"), F.col(j).alias("j")))
-                   .getField("j").alias(j)))
-    return jobs.join(firsts, [group, j], "left_semi")
+    placed, rank, place = first_of_group(jobs, *order)
+    firsts = placed.groupBy(group).agg(F.min(rank).getField("place").alias(place))
+    return placed.join(firsts, place, "left_semi").drop(place)
 
 
 def market_filter(sector: str | None = None, position_level: str | None = None) -> Column:

@@ -88,6 +88,15 @@ def retention_report(raw: DataFrame, processed: DataFrame) -> DataFrame:
                           .otherwise(first_match([(loss < t, c) for t, c in LOSS_CLASSES], "high")))
 
 
+def trace_ids(ids: DataFrame, raw: DataFrame, jobs: DataFrame, raw_id: str = "metadata_jobPostId") -> DataFrame:
+    """Q-03 for asked ids (one column ``id``): found, lost_in_processing or not_found."""
+    known = raw.select(F.col(raw_id).alias("id"), F.lit(True).alias("_raw")).distinct()
+    done = jobs.select(F.col("job_id").alias("id"), F.lit(True).alias("_job")).distinct()
+    out = ids.select("id").join(known, "id", "left").join(done, "id", "left")
+    return out.select("id", F.when(F.col("_raw").isNull(), "not_found").when(F.col("_job").isNull(), "lost_in_processing")
+                      .otherwise("found").alias("transformation_status"))
+
+
 def lineage_join(raw: DataFrame, jobs: DataFrame, raw_id: str = "metadata_jobPostId") -> DataFrame:
     """J-08 / Q-03: each raw record joined to its processed row by source id;
     status found / lost_in_processing."""

@@ -8,6 +8,7 @@ not by the number of postings.
 """
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -163,12 +164,6 @@ def response_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N)
     return out.select("request_id", *RESPONSE_KEYS_3, "grain", *cols)
 
 
-# upper bound on distinct position levels for broadcasting the level-rank table
-MAX_LEVELS_BROADCAST = 100_000
-# upper bound on distinct companies for broadcasting the per-company counts
-MAX_COMPANIES_BROADCAST = 2_000_000
-
-
 def spearman_inputs(market: DataFrame) -> DataFrame:
     """N-08 input: the 11 encoded columns over counters-complete postings."""
     settled = market.where(F.col("counters_complete"))
@@ -178,12 +173,7 @@ def spearman_inputs(market: DataFrame) -> DataFrame:
            .drop("_m"))
     comp = settled.groupBy("company").agg(F.count(F.lit(1)).cast("double").alias("company_postings"))
     exp_rank = F.array_position(F.array(*[F.lit(x) for x in EXP_ORDER]), F.col("experience_level"))
-    # the level and company tables have one row per distinct key: each is
-    # broadcast after a count (no shuffle of the rows by a possibly hot key);
-    # above the bound the company join is a shuffle join split by AQE's skew handling
-    from ..session import checked_broadcast
-    s = (settled.join(checked_broadcast(lvl, MAX_LEVELS_BROADCAST), "position_level", "left")
-         .join(checked_broadcast(comp, MAX_COMPANIES_BROADCAST), "company", "left")
+    s = (settled.join(lvl, "position_level", "left").join(comp, "company", "left")
          .select(F.col("job_id"),
                  F.col("applications").cast("double").alias("applications"), F.col("views").cast("double").alias("views"),
                  F.col("repost_count").cast("double").alias("repost_count"),
@@ -198,8 +188,7 @@ def spearman_inputs(market: DataFrame) -> DataFrame:
     return s
 
 
-def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("experience_level_rank",),
-                    max_broadcast_values: int = 2_000_000) -> DataFrame:
+def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("experience_level_rank",)) -> DataFrame:
     """N-08: pairwise Spearman correlations with pairwise deletion and average
     ranks. A pair's ranks are computed over the rows where the pair's
     ``nullable`` columns are present (the other columns are never null after
@@ -229,29 +218,19 @@ def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("expe
         hist = hist.withColumn(f"rk_{t}", F.when(F.col(f"c_{t}") > 0, F.coalesce(F.sum(f"c_{t}").over(below), F.lit(0))
                                                                        + (F.col(f"c_{t}") + 1) / 2.0))
     hist = hist.select("col", "v", *[f"rk_{tags[r]}" for r in regimes])
-    # The rank table (one entry per distinct (column, value)) is computed once
-    # and checkpointed to the shared checkpoint folder; its row count is the
-    # size check for the broadcast below.
+    # One row per distinct (column, value), stored by column: each column's ranks are joined
+    # from a table whose size the planner knows, so it broadcasts those under its byte limit
+    # and shuffles the others.
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(s.sparkSession)
-    hist = hist.checkpoint(eager=True)
-    n_values = hist.count()
-    if n_values <= max_broadcast_values:
-        # one row of value -> rank maps (bounded by the check above), read as
-        # uncorrelated scalar subqueries that the optimizer merges into one;
-        # ranks are then lookups in a projection, no join of the rows
-        maps = hist.groupBy().agg(*[
-            F.map_from_entries(F.collect_list(F.when(F.col("col") == c, F.struct("v", f"rk_{tags[g]}")))).alias(f"m_{tags[g]}_{c}")
-            for c in cols for g in regimes])
-        ranked = s.select(
-            *s.columns, *[F.element_at(scalar(maps, f"m_{tags[g]}_{c}"), F.col(c).cast("double")).alias(f"r_{tags[g]}_{c}")
-                          for c in cols for g in regimes])
-    else:
-        ranked = s
-        for c in cols:
-            r = hist.where(F.col("col") == c).select(F.col("v").alias(f"_v_{c}"),
-                                                      *[F.col(f"rk_{tags[g]}").alias(f"r_{tags[g]}_{c}") for g in regimes])
-            ranked = ranked.join(r, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    spark = s.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/vacanta/{spark.sparkContext.applicationId}/ranks/{uuid.uuid4().hex}"
+    hist.write.partitionBy("col").parquet(path)
+    stored = spark.read.parquet(path)
+    ranked = s
+    for c in cols:
+        r = stored.where(F.col("col") == c).select(F.col("v").alias(f"_v_{c}"),
+                                                   *[F.col(f"rk_{tags[g]}").alias(f"r_{tags[g]}_{c}") for g in regimes])
+        ranked = ranked.join(r, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     aggs = []
     for x, y, reg in pairs:
         t = tags[reg]
@@ -281,8 +260,9 @@ def mantel_haenszel(market: DataFrame) -> DataFrame:
     s = _strata(market).withColumn("n", F.col("a") + F.col("b") + F.col("c") + F.col("d"))
     s = s.withColumns({
         "e": (F.col("a") + F.col("b")) * (F.col("a") + F.col("c")) / F.col("n"),
-        "v": (F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
-             / (F.col("n") * F.col("n") * (F.col("n") - 1)),
+        # A stratum of one row says nothing: its variance is null and adds nothing.
+        "v": F.try_divide((F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * (F.col("a") + F.col("c")) * (F.col("b") + F.col("d")),
+                          F.col("n") * F.col("n") * (F.col("n") - 1)),
     })
     agg = s.agg(F.sum("a").alias("A"), F.sum("b").alias("B"), F.sum("c").alias("Cc"), F.sum("d").alias("D"),
                 F.sum(F.col("a") * F.col("d") / F.col("n")).alias("r"), F.sum(F.col("b") * F.col("c") / F.col("n")).alias("s"),
@@ -298,17 +278,19 @@ def mantel_haenszel(market: DataFrame) -> DataFrame:
 
 def stratum_odds_ratio(market: DataFrame) -> DataFrame:
     """N-10: per pay band the repost rates below / at-or-above 3 years, their
-    difference (points), the odds ratio, its 95 % Wald interval and p-value."""
+    difference (points), the odds ratio, its 95 % Wald interval and p-value. An empty
+    cell counts as one half in the ratio and its interval."""
     s = _strata(market)
     a, b, c, d = (F.col(x) for x in "abcd")
-    lor = F.log(a * d / (b * c))
-    se = F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    oa, ob, oc, od = (F.when(x == 0, 0.5).otherwise(x) for x in (a, b, c, d))
+    lor = F.log(oa * od / (ob * oc))
+    se = F.sqrt(1 / oa + 1 / ob + 1 / oc + 1 / od)
     lo_rate = F.try_divide(c, c + d) * 100
     hi_rate = F.try_divide(a, a + b) * 100
     return s.select("pay_band", (a + b + c + d).cast("long").alias("n"),
                     lo_rate.alias("repost_pct_lt3"), hi_rate.alias("repost_pct_gte3"),
                     (hi_rate - lo_rate).alias("diff_pp"),
-                    F.try_divide(a * d, b * c).alias("odds_ratio"),
+                    (oa * od / (ob * oc)).alias("odds_ratio"),
                     F.exp(lor - Z_975 * se).alias("ci_low"), F.exp(lor + Z_975 * se).alias("ci_high"),
                     normal_two_sided_p(lor / se).alias("p_value"))
 
@@ -326,12 +308,14 @@ def breslow_day(market: DataFrame) -> DataFrame:
     qc = -p * r * m
     disc = F.sqrt(qb * qb - 4 * qa * qc)
     lo, hi = F.greatest(F.lit(0.0), r + m - n), F.least(r, m)
-    root1 = (-qb + disc) / (2 * qa)
-    root2 = (-qb - disc) / (2 * qa)
+    root1 = F.try_divide(-qb + disc, 2 * qa)
+    root2 = F.try_divide(-qb - disc, 2 * qa)
     A = (F.when(F.abs(qa) < 1e-12, r * m / n)
          .when((root1 >= lo - 1e-9) & (root1 <= hi + 1e-9), root1).otherwise(root2))
-    var = 1 / (1 / A + 1 / (r - A) + 1 / (m - A) + 1 / (n - r - m + A))
-    t = t.withColumn("_term", (F.col("a") - A) * (F.col("a") - A) / var)
+    # A stratum with an empty margin has no variance and adds nothing.
+    one = F.lit(1.0)
+    inverse = F.try_divide(one, A) + F.try_divide(one, r - A) + F.try_divide(one, m - A) + F.try_divide(one, n - r - m + A)
+    t = t.withColumn("_term", F.coalesce((F.col("a") - A) * (F.col("a") - A) * inverse, F.lit(0.0)))
     out = t.groupBy("k").agg(F.sum("_term").alias("chi2"))
     return out.select((F.col("k") - 1).alias("df"), "chi2", chi2_sf(F.col("chi2"), F.col("k") - 1).alias("p_value"))
 

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import enrich as E
-from ..session import ensure_checkpoint_dir
+from ..session import delete_on_exit, ensure_checkpoint_dir, folder_version
 from ..sources.bind import raw_postings
 
+BOUND_TABLES = ("customer", "lineitem", "orders", "part", "supplier")
+
 _LOCK = threading.RLock()
 _WRITTEN: dict[tuple, str] = {}
 
@@ -29,17 +31,22 @@ def _materialize_enabled(spark: SparkSession) -> bool:
     return spark.conf.get("spark.vacanta.materialize", "true").lower() == "true"
 
 
-def materialize(spark: SparkSession, df_fn, key: tuple, name: str) -> DataFrame:
+def materialize(spark: SparkSession, df_fn, key: tuple, name: str, check=None) -> DataFrame:
     """Write ``df_fn()`` once per (application, key) as Parquet in the shared
-    checkpoint folder and return a scan of it."""
+    checkpoint folder and return a scan of it; ``check`` runs once on what was written.
+    The folder goes with the application."""
     app = spark.sparkContext.applicationId
     full = (app,) + key + (name,)
     with _LOCK:
         path = _WRITTEN.get(full)
         if path is None:
             digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-            path = f"{ensure_checkpoint_dir(spark)}/vacanta/{app}/{digest}/{name}"
+            root = f"{ensure_checkpoint_dir(spark)}/vacanta/{app}"
+            path = f"{root}/{digest}/{name}"
+            delete_on_exit(spark, root)
             df_fn().write.mode("overwrite").parquet(path)
+            if check is not None:
+                check(spark.read.parquet(path))
             _WRITTEN[full] = path
     return spark.read.parquet(path)
 
@@ -52,17 +59,28 @@ class Postings:
         self.sf_dir = sf_dir.rstrip("/")
         self.mat = _materialize_enabled(spark) if materialize_facts is None else materialize_facts
 
+    def _key(self) -> tuple:
+        """The inputs' place and version: changed tables are bound anew."""
+        return (self.sf_dir, *(folder_version(self.spark, f"{self.sf_dir}/{t}.parquet") for t in BOUND_TABLES))
+
     def raw(self) -> DataFrame:
         """Raw layer (the binding's joins run once, then Parquet)."""
         if not self.mat:
             return raw_postings(self.spark, self.sf_dir)
-        return materialize(self.spark, lambda: raw_postings(self.spark, self.sf_dir), (self.sf_dir,), "raw")
+        return materialize(self.spark, lambda: raw_postings(self.spark, self.sf_dir), self._key(), "raw")
 
     def clean(self) -> DataFrame:
         """Cleaned postings (source column names, typed)."""
         if not self.mat:
-            return C.clean_dataset(self.raw())[0]
-        return materialize(self.spark, lambda: C.clean_dataset(self.raw())[0], (self.sf_dir,), "clean")
+            return C.clean_dataset(self.raw(), check=False)[0]
+        return materialize(self.spark, self._clean_checked, self._key(), "clean",
+                           check=lambda written: C.raise_on_violations(C.validate_rules(written)))
+
+    def _clean_checked(self) -> DataFrame:
+        """The dates are checked on the raw layer, before the rows are written; the
+        validation rules on the written rows (``clean``)."""
+        C.raise_on_violations(C.date_roundtrip_check(self.raw()), "lossy_values", "column_name")
+        return C.clean_dataset(self.raw(), check=False)[0]
 
     def bridge(self) -> DataFrame:
         return C.category_bridge(self.clean())
@@ -75,7 +93,7 @@ class Postings:
     def jobs(self) -> DataFrame:
         if not self.mat:
             return self._jobs_plan()
-        return materialize(self.spark, self._jobs_plan, (self.sf_dir,), "jobs")
+        return materialize(self.spark, self._jobs_plan, self._key(), "jobs")
 
     def deduped(self) -> DataFrame:
         """W-01: one row per duplicate group, the first seen by (posting_date, job_id)."""
@@ -86,7 +104,7 @@ class Postings:
         if not self.mat:
             return finance_features(self.jobs())
         return materialize(self.spark, lambda: finance_features(self.jobs()).sortWithinPartitions("posting_date"),
-                           (self.sf_dir,), "finance")
+                           self._key(), "finance")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> Postings:

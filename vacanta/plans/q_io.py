@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.enrich import JOBS_COLUMNS
-from ..session import ensure_checkpoint_dir
+from ..session import delete_on_exit, ensure_checkpoint_dir
 from ..sources import io as IO
 from ..sources.bind import RAW_COLUMNS
 from ..streaming.ingest import clean_stateless, start_ingest
 from .oracle_base import BIND, CLEAN, FIN, JOBS, with_ctes
+from .etl import run_pipeline
 from .postings import Postings
 from .registry import register
 
@@ -21,7 +22,9 @@ def _scratch(spark, sf: str, name: str) -> str:
     run twice never appends to (or reuses the stream checkpoint of) an earlier run."""
     app = spark.sparkContext.applicationId
     digest = hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:16]
-    return f"{ensure_checkpoint_dir(spark)}/vacanta/{app}/{digest}/io/{uuid.uuid4().hex}/{name}"
+    path = f"{ensure_checkpoint_dir(spark)}/vacanta/{app}/{digest}/io/{uuid.uuid4().hex}/{name}"
+    delete_on_exit(spark, path)
+    return path
 
 
 @register("csv_scan", with_ctes(BIND, body=f"SELECT {', '.join(RAW_COLUMNS)} FROM raw"))
@@ -29,7 +32,7 @@ def q_csv_scan(spark, sf):
     """S-09 then S-01: the raw extract written as CSV chunks and read back
     with the explicit schema and typing."""
     path = _scratch(spark, sf, "raw_csv")
-    IO.write_csv(Postings(spark, sf).raw(), path, partitions=4)
+    IO.write_csv(Postings(spark, sf).raw(), path)
     return IO.read_raw_csv(spark, path)
 
 
@@ -46,8 +49,8 @@ def q_stream_ingest(spark, sf):
     src = _scratch(spark, sf, "stream_in")
     out = _scratch(spark, sf, "stream_out")
     ckpt = _scratch(spark, sf, "stream_ckpt")
-    IO.write_csv(Postings(spark, sf).raw(), src, partitions=4)
-    q = start_ingest(spark, src, out, ckpt, available_now=True, max_files_per_trigger=1)
+    IO.write_csv(Postings(spark, sf).raw(), src)
+    q = start_ingest(spark, src, out, ckpt, available_now=True)
     q.awaitTermination()
     return spark.read.parquet(out).select(*_STREAM_COLS)
 
@@ -58,7 +61,7 @@ def q_stream_batch(spark, sf):
     return clean_stateless(Postings(spark, sf).raw()).select(*_STREAM_COLS)
 
 
-@register("fact_sink", with_ctes(BIND, CLEAN, JOBS, body=f"SELECT {', '.join(JOBS_COLUMNS)}, 'SGD' AS salary_currency FROM jobs"))
+@register("fact_sink", with_ctes(BIND, CLEAN, JOBS, body=f"SELECT {', '.join([*JOBS_COLUMNS, *IO.VIEW_COLUMNS])}, 'SGD' AS salary_currency FROM jobs"))
 def q_fact_sink(spark, sf):
     """S-06: the fact written under the column contract (back-fill of the
     constant currency; the load stamp is dropped for the comparison)."""
@@ -67,6 +70,41 @@ def q_fact_sink(spark, sf):
     return spark.read.parquet(path).drop("created_at")
 
 
+@register("jobs_table_append", with_ctes(BIND, CLEAN, JOBS, body="""SELECT job_id, title, CAST(2 AS BIGINT) AS copies, 'SGD' AS salary_currency FROM jobs
+    WHERE job_id IS NOT NULL"""))
+def q_jobs_table_append(spark, sf):
+    """S-06 / S-08: a catalog table dropped and created, then appended to, then read through
+    the catalog: every posting is there twice."""
+    name = f"jobs_{uuid.uuid4().hex}"
+    jobs = Postings(spark, sf).jobs()
+    IO.insert_jobs(jobs, name, replace=True, path=_scratch(spark, sf, name))
+    IO.insert_jobs(jobs, name, replace=False)
+    return (IO.load_postings(spark, "table", name, ["job_id", "title", "salary_currency"]).where("job_id IS NOT NULL")
+            .groupBy("job_id", "title", "salary_currency").agg(F.count("*").alias("copies")))
+
+
+_NULL_COUNT = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in RAW_COLUMNS)
+
+
+@register("raw_sink", with_ctes(BIND, body=f"""SELECT {_NULL_COUNT} AS raw_null_count, count(*) AS records, count(*) AS stamped FROM raw GROUP BY 1"""))
+def q_raw_sink(spark, sf):
+    """S-07: raw rows appended with lineage columns and load stamp, read back."""
+    path = _scratch(spark, sf, "raw_table")
+    IO.insert_raw(Postings(spark, sf).raw(), path)
+    return spark.read.parquet(path).groupBy("raw_null_count").agg(F.count("*").alias("records"), F.count("loaded_at").alias("stamped"))
+
+
+@register("csv_pipeline", with_ctes(BIND, CLEAN, JOBS, body=f"SELECT {', '.join(c for c in JOBS_COLUMNS)} FROM jobs"))
+def q_csv_pipeline(spark, sf):
+    """The whole ETL from a CSV folder: raw load, checked and pruned cleaning, enrichment,
+    fact and finance sinks."""
+    source, out = _scratch(spark, sf, "raw_csv"), _scratch(spark, sf, "etl")
+    IO.write_csv(Postings(spark, sf).raw(), source)
+    if not run_pipeline(spark, source, out):
+        raise FileNotFoundError(source)
+    return spark.read.parquet(f"{out}/jobs").select(*JOBS_COLUMNS)
+
+
 @register("load_postings_backends", with_ctes(BIND, CLEAN, JOBS, body="""SELECT 'table' AS backend, dup_group_id, sector, salary_midpoint FROM jobs
     UNION ALL SELECT 'parquet', dup_group_id, sector, salary_midpoint FROM jobs"""))
 def q_backends(spark, sf):

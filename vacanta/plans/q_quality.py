@@ -74,6 +74,19 @@ def q_lineage_join(spark, sf):
     return Q.lineage_join(_raw(spark, sf), _jobs(spark, sf))
 
 
+_ASKED = f"""asked AS (SELECT DISTINCT {ID} AS id FROM raw WHERE {ID} IS NOT NULL UNION SELECT DISTINCT 'unknown-' || {ID} FROM raw WHERE {ID} IS NOT NULL)"""
+
+
+@register("lineage_trace_ids", _j(f"""SELECT id, CASE WHEN id NOT IN (SELECT {ID} FROM raw WHERE {ID} IS NOT NULL) THEN 'not_found'
+    WHEN id IN (SELECT job_id FROM jobs WHERE job_id IS NOT NULL) THEN 'found' ELSE 'lost_in_processing' END AS transformation_status FROM asked""", _ASKED))
+def q_trace_ids(spark, sf):
+    """Q-03 for asked ids: every raw id, and one unknown id made from each."""
+    raw = _raw(spark, sf)
+    known = raw.where(F.col(ID).isNotNull()).select(F.col(ID).alias("id")).distinct()
+    asked = known.union(known.select(F.concat(F.lit("unknown-"), "id")))
+    return Q.trace_ids(asked, raw, _jobs(spark, sf))
+
+
 @register("lineage_status", _j("SELECT transformation_status, COUNT(*) AS records FROM lj GROUP BY 1", _LJ))
 def q_lineage_status(spark, sf):
     """Q-03."""

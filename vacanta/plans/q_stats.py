@@ -5,7 +5,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.stats import ERFC_COEFFS, Z_975
 from ..operators import benchmark as H
 from ..operators import stats as N
 from . import params as P
@@ -188,12 +187,14 @@ def q_spearman(spark, sf):
 
 
 def _sql_erfc(x: str) -> str:
-    poly = f"{ERFC_COEFFS[-1]!r}"
-    for c in reversed(ERFC_COEFFS[:-1]):
-        poly = f"({c!r} + t * {poly})"
+    """Maclaurin series below 2, continued fraction above."""
     z = f"abs({x})"
-    ans = f"(SELECT t * exp(-({z}) * ({z}) + {poly}) FROM (SELECT 1.0 / (1.0 + 0.5 * {z}) AS t))"
-    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
+    series = (f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), "
+              f"lambda n: pow(-1.0, n) * pow({z}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))")
+    fraction = (f"exp(-({z}) * ({z})) / sqrt(pi()) / ({z} + list_reduce([0.0::DOUBLE] || list_transform(range(80, 0, -1), lambda k: k::DOUBLE), "
+                f"lambda f, k: (k / 2) / ({z} + f)))")
+    below = f"(CASE WHEN {z} < 2 THEN {series} ELSE {fraction} END)"
+    return f"(CASE WHEN {x} >= 0 THEN {below} ELSE 2.0 - {below} END)"
 
 
 def _sql_chi2_sf(x: str, k: str) -> str:
@@ -215,7 +216,7 @@ sn AS (SELECT *, a + b + c + d AS n FROM sa)"""
 
 
 @register("mantel_haenszel", _sql(_STRATA, """mh AS (SELECT SUM(a) AS A, SUM(b) AS B, SUM(c) AS Cc, SUM(d) AS D, SUM(a * d / n) AS r, SUM(b * c / n) AS s,
-    SUM((a + b) * (a + c) / n) AS E, SUM((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS V, COUNT(*) AS strata, SUM(n) AS n FROM sn)""",
+    SUM((a + b) * (a + c) / n) AS E, SUM((a + b) * (c + d) * (a + c) * (b + d) / nullif(n * n * (n - 1), 0)) AS V, COUNT(*) AS strata, SUM(n) AS n FROM sn)""",
     body=f"""SELECT CAST(n AS BIGINT) AS n, strata, A * D / NULLIF(B * Cc, 0) AS crude_odds_ratio, r / NULLIF(s, 0) AS mh_odds_ratio,
     (A - E) * (A - E) / NULLIF(V, 0) AS null_test_chi2,
     {_sql_chi2_sf('((A - E) * (A - E) / NULLIF(V, 0))', '1')} AS null_test_p FROM mh"""))
@@ -226,10 +227,10 @@ def q_mh(spark, sf):
 
 @register("stratum_odds_ratio", _sql(_STRATA, body=f"""SELECT pay_band, CAST(n AS BIGINT) AS n, c / NULLIF(c + d, 0) * 100 AS repost_pct_lt3,
     a / NULLIF(a + b, 0) * 100 AS repost_pct_gte3, a / NULLIF(a + b, 0) * 100 - c / NULLIF(c + d, 0) * 100 AS diff_pp,
-    a * d / NULLIF(b * c, 0) AS odds_ratio,
-    exp(ln(a * d / (b * c)) - {Z_975!r} * sqrt(1 / a + 1 / b + 1 / c + 1 / d)) AS ci_low,
-    exp(ln(a * d / (b * c)) + {Z_975!r} * sqrt(1 / a + 1 / b + 1 / c + 1 / d)) AS ci_high,
-    {_sql_erfc(f'(abs(ln(a * d / (b * c)) / sqrt(1 / a + 1 / b + 1 / c + 1 / d)) / {math.sqrt(2.0)!r})')} AS p_value FROM sn"""))
+    exp(l) AS odds_ratio, exp(l - 1.959963984540054 * e) AS ci_low, exp(l + 1.959963984540054 * e) AS ci_high,
+    {_sql_erfc("(abs(l / e) / sqrt(2.0))")} AS p_value
+FROM (SELECT *, ln(oa) + ln(od) - ln(ob) - ln(oc) AS l, sqrt(1 / oa + 1 / ob + 1 / oc + 1 / od) AS e
+      FROM (SELECT *, if(a = 0, 0.5, a) AS oa, if(b = 0, 0.5, b) AS ob, if(c = 0, 0.5, c) AS oc, if(d = 0, 0.5, d) AS od FROM sn))"""))
 def q_stratum_or(spark, sf):
     """N-10: per-band odds ratio with 95 % Wald interval and p-value."""
     return N.stratum_odds_ratio(_m(spark, sf))
@@ -241,8 +242,8 @@ def q_stratum_or(spark, sf):
     """bd_r AS (SELECT *, (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS root1, (-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS root2 FROM bd_q)""",
     """bd_a AS (SELECT *, CASE WHEN abs(qa) < 1e-12 THEN (a + b) * (a + c) / n
         WHEN root1 >= lo - 1e-9 AND root1 <= hi + 1e-9 THEN root1 ELSE root2 END AS aa FROM bd_r)""",
-    """bd_t AS (SELECT k, (a - aa) * (a - aa) / (1 / (1 / aa + 1 / ((a + b) - aa) + 1 / ((a + c) - aa) + 1 / (n - (a + b) - (a + c) + aa))) AS term FROM bd_a)""",
-    body=f"SELECT k - 1 AS df, SUM(term) AS chi2, {_sql_chi2_sf('SUM(term)', 'k - 1')} AS p_value FROM bd_t GROUP BY k"))
+    """bd_t AS (SELECT k, (a - aa) * (a - aa) / (1 / (1 / nullif(aa, 0) + 1 / nullif((a + b) - aa, 0) + 1 / nullif((a + c) - aa, 0) + 1 / nullif(n - (a + b) - (a + c) + aa, 0))) AS term FROM bd_a)""",
+    body=f"SELECT k - 1 AS df, chi2, {_sql_chi2_sf('chi2', '(k - 1)')} AS p_value FROM (SELECT k, SUM(coalesce(term, 0)) AS chi2 FROM bd_t GROUP BY k)"))
 def q_breslow_day(spark, sf):
     """N-10: Breslow-Day homogeneity of the per-band odds ratios."""
     return N.breslow_day(_m(spark, sf))

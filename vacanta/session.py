@@ -6,7 +6,7 @@ import os
 import tempfile
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _LOCK = threading.Lock()
 
@@ -42,7 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names a shared (HDFS/object store) folder there and it is used
     as is. Only when the setting is unset -- local runs and tests -- a fresh
-    folder is created and registered on the session.
+    folder is created and registered on the session; on any other master an unset
+    folder is an error.
     """
     with _LOCK:
         sc = spark.sparkContext
@@ -57,18 +58,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current.rstrip("/")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vacanta-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir().rstrip("/")
 
 
-def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``small`` for broadcast only after measuring it: the table is
-    checkpointed to the shared checkpoint folder (so the count and the join
-    read the same rows, computed once) and broadcast when it has at most
-    ``max_rows`` rows; above that it is returned unmarked for a shuffle join
-    (AQE splits skewed partitions there)."""
-    from pyspark.sql import functions as F
-    ensure_checkpoint_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)
-    return F.broadcast(small) if small.count() <= max_rows else small
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system drop ``path`` when the application ends."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
+def folder_version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, last change) of a file or folder, as its file system has them."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(jpath).getLength(), fs.getFileStatus(jpath).getModificationTime()

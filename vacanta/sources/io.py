@@ -1,13 +1,14 @@
 """Sources and sinks (S-01, S-04..S-10).
 
-CSV is read with an explicit all-text schema (no inference), then typed with
-``try_cast`` the way the extract's reader would type it. Sinks write Parquet
-or CSV with explicit modes; the fact-table sink enforces the column contract
-and back-fills the constant columns.
+CSV columns are taken by the names in the header, read as text (no inference) and
+typed with ``try_cast``; ``parse_failures`` counts the values that no type takes.
+Sinks write Parquet folders, catalog tables or CSV with explicit modes; the fact-table
+sink enforces the column contract and back-fills the constant columns.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,25 +25,54 @@ RAW_TYPES = {
 }
 # Constant columns the fact-table loader back-fills when absent.
 BACKFILL = {"salary_currency": "SGD", "sub_sector": "General", "seniority_years": 0}
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+# Columns beside the contract that some views read; kept where present.
+VIEW_COLUMNS = ["status_jobStatus", "metadata_isPostedOnBehalf"]
+CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "escape": '"', "quote": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # ------------------------------------------------------------------------------
 
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 
-def type_raw(text: DataFrame) -> DataFrame:
-    """All-text raw rows -> typed raw rows (unparseable numbers become null)."""
-    return text.select(*[F.col(c).try_cast(RAW_TYPES[c]).alias(c) if c in RAW_TYPES else F.col(c)
-                         for c in RAW_COLUMNS])
+def _typed(c: str) -> Column:
+    """One raw column in its type; whole-number columns also take decimal text (3000.0),
+    cut toward zero."""
+    kind = RAW_TYPES.get(c)
+    if kind is None:
+        return F.col(c)
+    if kind == "int":
+        number = F.col(c).try_cast("double")
+        return F.when(F.abs(number) < 2 ** 31, number.cast("int"))
+    return F.col(c).try_cast(kind)
 
 
-def read_raw_csv(spark: SparkSession, path: str, nrows: int | None = None, typed: bool = True) -> DataFrame:
-    """S-01: CSV scan with the explicit raw schema; ``nrows`` keeps the first n rows."""
-    reader = spark.read.schema(RAW_TEXT_SCHEMA)
-    for k, v in CSV_OPTIONS.items():
-        reader = reader.option(k, v)
-    df = reader.csv(path)
+def type_raw(text: DataFrame) -> DataFrame:
+    """All-text raw rows -> typed raw rows; see ``parse_failures`` for what became null."""
+    return text.select(*[_typed(c).alias(c) for c in RAW_COLUMNS])
+
+
+def parse_failures(text: DataFrame) -> DataFrame:
+    """(column_name, failures): non-blank texts of each typed column that its type does not take."""
+    names = [c for c in RAW_COLUMNS if c in RAW_TYPES]
+    wide = text.agg(*[F.count_if((F.trim(c) != "") & _typed(c).isNull()).alias(c) for c in names])
+    pairs = ", ".join(f"'{c}', `{c}`" for c in names)
+    return wide.selectExpr(f"stack({len(names)}, {pairs}) AS (column_name, failures)")
+
+
+def read_raw_csv(spark: SparkSession, path: str, nrows: int | None = None, typed: bool = True,
+                 multi_line: bool = False) -> DataFrame:
+    """S-01: CSV scan by header names; ``nrows`` keeps the first n rows. Files are split
+    between tasks unless ``multi_line`` says that quoted fields may hold line breaks. All
+    files must have the first one's header; a missing column raises."""
+    def scan(schema: T.StructType | None = None):
+        reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line)
+        return (reader.schema(schema) if schema is not None else reader).csv(path)
+
+    header = scan().columns
+    missing = [c for c in RAW_COLUMNS if c not in header]
+    if missing:
+        raise ValueError(f"columns missing from the header of {path}: {missing}")
+    df = scan(T.StructType([T.StructField(c, T.StringType()) for c in header])).select(*RAW_COLUMNS)
     if nrows is not None:
         df = df.limit(int(nrows))
     return type_raw(df) if typed else df
@@ -52,8 +82,8 @@ def extract(spark: SparkSession, path: str, nrows: int | None = None) -> DataFra
     """S-01 as the pipeline's first step: None when the path does not exist."""
     try:
         return read_raw_csv(spark, path, nrows)
-    except Exception as e:  # PATH_NOT_FOUND surfaces as an AnalysisException
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+    except AnalysisException as e:
+        if _not_found(e):
             return None
         raise
 
@@ -63,7 +93,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partitions: int
     out = df.repartition(partitions) if partitions else df
     w = out.write.mode(mode)
     for k, v in CSV_OPTIONS.items():
-        if k != "multiLine":
+        if k != "enforceSchema":
             w = w.option(k, v)
     w.csv(path)
 
@@ -85,28 +115,63 @@ def fact_contract(df: DataFrame, columns=JOBS_COLUMNS) -> tuple[DataFrame, list[
             out = out.withColumn(c, F.lit(v))
     if "created_at" not in out.columns:
         out = out.withColumn("created_at", F.current_timestamp())
-    order = list(columns) + ["salary_currency", "created_at"]
+    order = list(columns) + [*VIEW_COLUMNS, "salary_currency", "created_at"]
     keep = [c for c in order if c in out.columns]
-    missing = [c for c in order if c not in out.columns]
+    missing = [c for c in order if c not in out.columns and c not in VIEW_COLUMNS]
     return out.select(*keep), missing
 
 
-def insert_jobs(df: DataFrame, path: str, replace: bool = True) -> list[str]:
-    """S-06: write the fact (overwrite or append) under the contract; returns missing columns."""
+def write_table(df: DataFrame, name: str, replace: bool = True, path: str | None = None) -> None:
+    """S-08: a catalog table (at ``path``, else in the warehouse), dropped and created, or
+    appended to by column name."""
+    if replace or not df.sparkSession.catalog.tableExists(name):
+        w = df.write.mode("overwrite")
+        (w.option("path", path) if path else w).saveAsTable(name)
+    else:
+        df.select(*df.sparkSession.table(name).columns).write.mode("append").saveAsTable(name)
+
+
+def _is_path(name_or_path: str) -> bool:
+    return "/" in name_or_path
+
+
+def insert_jobs(df: DataFrame, target: str, replace: bool = True, path: str | None = None) -> list[str]:
+    """S-06: write the fact to a Parquet folder or catalog table (replace or append) under
+    the contract; returns missing columns."""
     out, missing = fact_contract(df)
-    write_parquet(out, path, "overwrite" if replace else "append")
+    if _is_path(target):
+        write_parquet(out, target, "overwrite" if replace else "append")
+    else:
+        write_table(out, target, replace, path)
     return missing
 
 
+def insert_raw(raw: DataFrame, target: str, replace: bool = False) -> None:
+    """S-07: the raw rows with lineage columns and ``loaded_at``, appended by default."""
+    from ..operators.quality import raw_with_lineage
+    out = raw_with_lineage(raw).withColumn("loaded_at", F.current_timestamp())
+    if _is_path(target):
+        write_parquet(out, target, "overwrite" if replace else "append")
+    else:
+        write_table(out, target, replace)
+
+
+def _not_found(error: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(error)
+
+
 def table_exists(spark: SparkSession, name_or_path: str) -> bool:
-    """S-10: a catalog table, or a readable Parquet path."""
-    if "/" not in name_or_path:
+    """S-10: a catalog table, or a Parquet path. Only a path that is not there counts as
+    absent; one that cannot be read raises."""
+    if not _is_path(name_or_path):
         return spark.catalog.tableExists(name_or_path)
     try:
         spark.read.parquet(name_or_path).schema
         return True
-    except Exception:
-        return False
+    except AnalysisException as e:
+        if _not_found(e):
+            return False
+        raise
 
 
 def load_or_empty(spark: SparkSession, name_or_path: str, schema: T.StructType) -> DataFrame:

@@ -31,9 +31,7 @@ def clean_stateless(raw: DataFrame) -> DataFrame:
 
 
 def stream_reader(spark: SparkSession, input_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(RAW_TEXT_SCHEMA)
-    for k, v in CSV_OPTIONS.items():
-        r = r.option(k, v)
+    r = spark.readStream.schema(RAW_TEXT_SCHEMA).options(**CSV_OPTIONS)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.csv(input_dir)
