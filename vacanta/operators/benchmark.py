@@ -14,6 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantile import with_exact_median
 from ..functions.expr import all_of, clip, right_closed_bins, scalar
 from .market import ENGAGEMENT_COUNTER_FREEZE_DATE
 
@@ -226,8 +227,8 @@ def funnel_by_pay_band(market: DataFrame, sector: str | None = None, min_n: int
     """H-09: median views and median applications/views (0 views -> null) per band."""
     f = first_cycle(market, sector).withColumn(
         "conversion", F.try_divide(F.col("applications").cast("double"), F.nullif(F.col("views"), F.lit(0))))
-    return (f.groupBy("pay_band").agg(F.count(F.lit(1)).alias("n"), F.median("views").alias("views_p50"),
-                                      F.median("conversion").alias("conversion_p50"))
+    bands = f.groupBy("pay_band").agg(F.count(F.lit(1)).alias("n"), F.median("views").alias("views_p50"))
+    return (with_exact_median(bands, f, ["pay_band"], "conversion", "conversion_p50")
             .withColumn("conversion_pct", F.col("conversion_p50") * 100)
             .where(F.col("n") >= min_n))
 

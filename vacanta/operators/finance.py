@@ -7,11 +7,14 @@ scenarios the caller passes in (a Generate, no join).
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantile import with_exact_median
 from ..functions.expr import all_of, clip, first_match, scalar
 
 # ---- fixed values ------------------------------------------------------------
@@ -216,8 +219,9 @@ def industry_budget_risk(finance: DataFrame) -> DataFrame:
         F.sum("number_of_vacancies").alias("vacancies"),
         F.median("posting_window_days").alias("median_posting_window_days"),
         F.percentile("posting_window_days", F.lit(0.9)).alias("p90_posting_window_days"),
-        F.sum("vacancy_budget_exposure").alias("total_vacancy_budget_exposure"),
-        F.median("vacancy_exposure_per_opening").alias("median_exposure_per_opening")))
+        F.sum("vacancy_budget_exposure").alias("total_vacancy_budget_exposure")))
+    g = with_exact_median(g, finance.where(F.col("sector").isNotNull()), ["sector"],
+                          "vacancy_exposure_per_opening", "median_exposure_per_opening")
     w = Window.orderBy(F.desc_nulls_last("total_vacancy_budget_exposure"), F.asc("sector"))
     return g.withColumn("budget_exposure_rank", F.row_number().over(w)).orderBy("budget_exposure_rank")
 
@@ -290,21 +294,32 @@ def finance_headline(finance: DataFrame, s: Scenario = DEFAULT, scope: Column |
     f = reprice(finance, s)
     if scope is not None:
         f = f.where(scope)
-    return (f.agg(F.count(F.lit(1)).alias("postings"),
+    total = (f.agg(F.count(F.lit(1)).alias("postings"),
                   F.sum("vacancy_budget_exposure").alias("total_budget_exposure"),
-                  F.median("vacancy_exposure_per_opening").alias("median_exposure_per_opening"),
-                  F.median("loaded_monthly_cost_per_head").alias("median_loaded_monthly_cost_per_head"),
                   F.sum(F.when(F.col("employment_cohort") == "Contract", 1).otherwise(0)).alias("contract_postings"),
                   F.sum(F.when(F.col("employment_cohort") == "Permanent", 1).otherwise(0)).alias("permanent_postings"))
             .withColumn("contract_share_pct", F.try_divide(F.col("contract_postings") * 100.0, F.col("postings"))))
+    for value, name in (("vacancy_exposure_per_opening", "median_exposure_per_opening"),
+                        ("loaded_monthly_cost_per_head", "median_loaded_monthly_cost_per_head")):
+        total = with_exact_median(total, f, [], value, name)
+    return total
 
 
 def _exposure_aggs():
     return [F.count(F.lit(1)).alias("postings"),
             F.sum("number_of_vacancies").alias("vacancies"),
             F.median("posting_window_days").alias("median_posting_window_days"),
-            F.sum("vacancy_budget_exposure").alias("total_vacancy_budget_exposure"),
-            F.median("vacancy_exposure_per_opening").alias("median_exposure_per_opening")]
+            F.sum("vacancy_budget_exposure").alias("total_vacancy_budget_exposure")]
+
+
+def _top_exposures(f: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The ``limit`` groups with most exposure; medians are taken for those alone."""
+    order = [F.desc_nulls_last("total_vacancy_budget_exposure"), *[F.asc_nulls_last(k) for k in keys]]
+    top = f.groupBy(*keys).agg(*_exposure_aggs()).where(F.col("vacancies") > 0).orderBy(*order).limit(limit)
+    wanted = top.select(*[F.col(k).alias(f"_t_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [f[k].eqNullSafe(wanted[f"_t_{k}"]) for k in keys])
+    rows = f.join(wanted, same, "left_semi")
+    return with_exact_median(top, rows, keys, "vacancy_exposure_per_opening", "median_exposure_per_opening").orderBy(*order)
 
 
 def exposure_by_level(finance: DataFrame, s: Scenario = DEFAULT, scope: Column | None = None, limit: int = 12) -> DataFrame:
@@ -312,8 +327,7 @@ def exposure_by_level(finance: DataFrame, s: Scenario = DEFAULT, scope: Column |
     f = reprice(finance, s)
     if scope is not None:
         f = f.where(scope)
-    return (f.groupBy("position_level").agg(*_exposure_aggs()).where(F.col("vacancies") > 0)
-            .orderBy(F.desc_nulls_last("total_vacancy_budget_exposure"), F.asc_nulls_last("position_level")).limit(limit))
+    return _top_exposures(f, ["position_level"], limit)
 
 
 def exposure_watchlist(finance: DataFrame, s: Scenario = DEFAULT, scope: Column | None = None, limit: int = 15) -> DataFrame:
@@ -321,9 +335,7 @@ def exposure_watchlist(finance: DataFrame, s: Scenario = DEFAULT, scope: Column
     f = reprice(finance, s)
     if scope is not None:
         f = f.where(scope)
-    keys = ["sector", "sub_sector", "position_level", "employment_cohort"]
-    return (f.groupBy(*keys).agg(*_exposure_aggs()).where(F.col("vacancies") > 0)
-            .orderBy(F.desc_nulls_last("total_vacancy_budget_exposure"), *[F.asc_nulls_last(k) for k in keys]).limit(limit))
+    return _top_exposures(f, ["sector", "sub_sector", "position_level", "employment_cohort"], limit)
 
 
 def recruitment_overview(finance: DataFrame, s: Scenario = DEFAULT, scope: Column | None = None) -> DataFrame:

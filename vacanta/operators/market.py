@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import first_of_group
+from ..functions.quantile import with_exact_median
 from ..functions.expr import all_of, month_key, null_safe_corr, scalar
 
 # ---- fixed values ------------------------------------------------------------
@@ -302,8 +303,9 @@ def repost_rate_by_sector(deduped: DataFrame, position_level=None, min_n: int =
 
 def exposure_by_sector(finance: DataFrame, position_level=None) -> DataFrame:
     """M-15: median vacancy exposure per opening per sector (finance fact)."""
-    return (finance.where(F.col("sector").isNotNull() & level_filter(position_level))
-            .groupBy("sector").agg(F.median("vacancy_exposure_per_opening").alias("median_exposure_per_opening")))
+    rows = finance.where(F.col("sector").isNotNull() & level_filter(position_level))
+    return with_exact_median(rows.select("sector").distinct(), rows, ["sector"],
+                             "vacancy_exposure_per_opening", "median_exposure_per_opening")
 
 
 def cross_view_corr(leverage: DataFrame, premium: DataFrame, reposts: DataFrame, exposure: DataFrame,

@@ -7,6 +7,8 @@ one task.
 """
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def top_titles(base: DataFrame, limit: int = 10) -> DataFrame:
     """K-02: the ``limit`` titles with most postings (title breaks ties), with
     mean market salary, min salary_min, distinct companies and the title label.
     The label is computed after truncating to the top titles."""
-    t = (base.groupBy("title").agg(F.count(F.lit(1)).alias("opportunities"),
+    t = (base.where(F.col("title").isNotNull()).groupBy("title").agg(F.count(F.lit(1)).alias("opportunities"),
                                    F.avg("market_salary").alias("avg_salary"),
                                    F.min("salary_min").alias("min_salary"),
                                    F.count_distinct("company").alias("num_companies"))
@@ -103,8 +105,7 @@ def label_benchmarks(base: DataFrame, min_total: int = MIN_BENCHMARK_SAMPLE) ->
         F.avg("salary_min").alias("median_entry"), F.avg("salary_max").alias("median_max"),
         F.max("salary_max").alias("p90"), F.count(F.lit(1)).alias("count_samples"),
         F.bround(F.percentile("market_salary", F.lit(0.25)), 0).alias("p25"))
-    labels = title_labels(b)
-    lab = (t.join(labels, "title")
+    lab = (t.withColumn("job_label", job_label_title("title"))
            .groupBy("job_label", "experience_level")
            .agg(F.avg("p25").alias("p25"), F.avg("median_entry").alias("median_entry"),
                 F.avg("median_max").alias("median_max"), F.max("p90").alias("p90"),
@@ -135,21 +136,28 @@ def salary_percentile(base: DataFrame, requests: DataFrame, slice_cols=("sector"
                       decimals: int | None = 1) -> DataFrame:
     """K-05 (batch form): for each distinct request (slice values + ``salary``),
     the share (%) of the slice's postings with market salary <= salary, the
-    slice size and the position class (empty slice: null percentile, 0 size).
+    slice size and the position class (empty slice: null percentile, 0 size). A slice
+    value that is not set (null) means all postings, as an unset filter does.
 
-    Implemented on a histogram: counts per (slice, value), with the requests
-    merged in as zero-weight rows; one running sum per slice over distinct
-    values (requests sort after equal values) gives each request its count."""
+    Implemented on a histogram: counts per (slice, value), expanded to the slices that
+    unset values make, with the requests merged in as zero-weight rows; one running sum
+    per slice over distinct values (requests sort after equal values) gives each request
+    its count."""
     keys = list(slice_cols)
-    hist = (base.groupBy(*keys, F.col("market_salary").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    base_hist = base.groupBy(*keys, F.col("market_salary").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    masks = F.array(*[F.struct(*[(F.col(k) if on else F.lit(None).cast(base.schema[k].dataType)).alias(k) for k, on in zip(keys, ons)],
+                               F.lit("".join(map(str, ons))).alias("set"))
+                      for ons in itertools.product((0, 1), repeat=len(keys))])
+    hist = (base_hist.select(F.explode(masks).alias("s"), "v", "w").select("s.*", "v", "w")
+            .groupBy("set", *keys, "v").agg(F.sum("w").alias("w"))
             .withColumn("is_req", F.lit(0)).withColumn("salary", F.lit(None).cast("double")))
     req = (requests.select(*keys, F.col("salary").cast("double").alias("salary")).distinct()
-           .select(*keys, F.col("salary").alias("v"), F.lit(0).cast("long").alias("w"),
-                   F.lit(1).alias("is_req"), "salary"))
+           .select(F.concat(*[F.col(k).isNotNull().cast("int").cast("string") for k in keys]).alias("set"), *keys,
+                   F.col("salary").alias("v"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("is_req"), "salary"))
     u = hist.unionByName(req)
-    run = Window.partitionBy(*keys).orderBy("v", "is_req").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("set", *keys).orderBy("v", "is_req").rowsBetween(Window.unboundedPreceding, 0)
     u = (u.withColumn("lower_count", F.sum("w").over(run))
-         .withColumn("comparable_postings", F.sum("w").over(Window.partitionBy(*keys))))
+         .withColumn("comparable_postings", F.sum("w").over(Window.partitionBy("set", *keys))))
     out = (u.where(F.col("is_req") == 1).select(*keys, "salary", "lower_count", "comparable_postings")
            .withColumn("percentile", F.try_divide(100.0 * F.col("lower_count"),
                                                   F.nullif(F.col("comparable_postings"), F.lit(0)))))
@@ -184,11 +192,11 @@ def competition_high_low(base: DataFrame, limit: int = 10) -> DataFrame:
     """K-09: postings per vacancy by title (0 vacancies -> null), regrouped by
     label (summed postings, unweighted means); the top ceil(limit/2) labels by
     ratio labelled High and the bottom floor(limit/2) labelled Low."""
-    t = (base.groupBy("title").agg(F.count(F.lit(1)).alias("postings"), F.sum("vacancies").alias("vacancies"),
+    t = (base.where(F.col("title").isNotNull()).groupBy("title").agg(F.count(F.lit(1)).alias("postings"), F.sum("vacancies").alias("vacancies"),
                                    F.median("market_salary").alias("median_salary"))
          .withColumn("competition_ratio", F.try_divide(F.col("postings").cast("double"),
                                                        F.nullif(F.col("vacancies"), F.lit(0)))))
-    lab = (t.join(title_labels(base), "title", "left")
+    lab = (t.withColumn("job_label", job_label_title("title"))
            .groupBy("job_label").agg(F.sum("postings").alias("postings"),
                                      F.avg("competition_ratio").alias("competition_ratio"),
                                      F.avg("median_salary").alias("median_salary")))

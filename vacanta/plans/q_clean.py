@@ -302,15 +302,12 @@ def q_e10(spark, sf):
     """E-10: per derived column, distinct values, zero share and correlation
     with applications, views and vacancies (null-safe Pearson)."""
     j = Postings(spark, sf).jobs()
-    parts = []
-    for c in _E10_COLS:
-        parts.append(j.agg(F.lit(c).alias("column_name"), F.count_distinct(c).alias("n_distinct"),
-                           (F.count(F.when(F.col(c) == 0, 1)) * 100.0 / F.count(F.lit(1))).alias("zero_pct"),
-                           *[null_safe_corr(c, t).alias(f"corr_{t}") for t in _E10_TARGETS]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wide = j.agg(*[x for c in _E10_COLS for x in (
+        F.count_distinct(c).alias(f"{c}__n"), (F.count(F.when(F.col(c) == 0, 1)) * 100.0 / F.count(F.lit(1))).alias(f"{c}__z"),
+        *[null_safe_corr(c, t).alias(f"{c}__{t}") for t in _E10_TARGETS])])
+    rows = ", ".join(f"'{c}', `{c}__n`, `{c}__z`, " + ", ".join(f"`{c}__{t}`" for t in _E10_TARGETS) for c in _E10_COLS)
+    names = ", ".join(["column_name", "n_distinct", "zero_pct", *(f"corr_{t}" for t in _E10_TARGETS)])
+    return wide.selectExpr(f"stack({len(_E10_COLS)}, {rows}) AS ({names})")
 
 
 @register("table_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in TABLES))

@@ -58,7 +58,7 @@ _TOP = """tt AS (
     SELECT t.*, tl.job_label FROM (
         SELECT title, COUNT(*) AS opportunities, AVG(market_salary) AS avg_salary, MIN(salary_min) AS min_salary,
                COUNT(DISTINCT company) AS num_companies
-        FROM sb GROUP BY title ORDER BY opportunities DESC, title NULLS LAST LIMIT 10) t
+        FROM sb WHERE title IS NOT NULL GROUP BY title ORDER BY opportunities DESC, title NULLS LAST LIMIT 10) t
     LEFT JOIN tl USING (title))"""
 
 
@@ -99,16 +99,22 @@ def q_competitive_skills(spark, sf):
     return K.competitive_skills(_b(spark, sf))
 
 
-@register("salary_percentile", _sql("req AS (SELECT DISTINCT sector, experience_level, market_salary AS salary FROM sb)", body="""
+def _percentile_sql(requests: str) -> str:
+    """Every request against all postings of its slice; an unset value sets no condition."""
+    return _sql(f"req AS ({requests})", body="""
 SELECT *, CASE WHEN percentile >= 70 THEN 'above' WHEN percentile >= 40 THEN 'middle'
                WHEN percentile IS NOT NULL THEN 'below' END AS position
 FROM (
     SELECT r.sector, r.experience_level, r.salary,
-        COUNT(*) FILTER (WHERE s.market_salary <= r.salary) AS lower_count,
-        COUNT(*) AS comparable_postings,
-        100.0 * COUNT(*) FILTER (WHERE s.market_salary <= r.salary) / NULLIF(COUNT(*), 0) AS percentile
-    FROM req r JOIN sb s ON s.sector IS NOT DISTINCT FROM r.sector AND s.experience_level IS NOT DISTINCT FROM r.experience_level
-    GROUP BY r.sector, r.experience_level, r.salary)"""))
+        COUNT(s.job_id) FILTER (WHERE s.market_salary <= r.salary) AS lower_count,
+        COUNT(s.job_id) AS comparable_postings,
+        100.0 * COUNT(s.job_id) FILTER (WHERE s.market_salary <= r.salary) / NULLIF(COUNT(s.job_id), 0) AS percentile
+    FROM req r LEFT JOIN (SELECT coalesce(job_id, '') AS job_id, sector, experience_level, market_salary FROM sb) s
+      ON (r.sector IS NULL OR s.sector = r.sector) AND (r.experience_level IS NULL OR s.experience_level = r.experience_level)
+    GROUP BY r.sector, r.experience_level, r.salary)""")
+
+
+@register("salary_percentile", _percentile_sql("SELECT DISTINCT sector, experience_level, market_salary AS salary FROM sb"))
 def q_salary_percentile(spark, sf):
     """K-05 for every (sector, experience level, salary) present (unrounded percentile)."""
     b = _b(spark, sf)
@@ -116,6 +122,20 @@ def q_salary_percentile(spark, sf):
     return K.salary_percentile(b, req, decimals=None)
 
 
+@register("salary_percentile_unset", _percentile_sql("""SELECT DISTINCT CAST(NULL AS VARCHAR) AS sector, experience_level, round(market_salary, -2) AS salary FROM sb
+    UNION SELECT sector, NULL, round(market_salary, -2) FROM sb UNION SELECT NULL, NULL, round(market_salary, -2) FROM sb
+    UNION SELECT 'No such sector', NULL, 5000.0"""))
+def q_salary_percentile_unset(spark, sf):
+    """K-05 with one or both filters unset, and a sector without postings."""
+    b = _b(spark, sf)
+    salary = F.round("market_salary", -2).alias("salary")
+    none = F.lit(None).cast("string")
+    req = (b.select(none.alias("sector"), "experience_level", salary).union(b.select("sector", none, salary))
+           .union(b.select(none, none, salary)).distinct()
+           .union(spark.range(1).select(F.lit("No such sector"), none, F.lit(5000.0))))
+    return K.salary_percentile(b, req, decimals=None)
+
+
 @register("pay_by_years", _sql(body="SELECT seniority_years, round_even(MEDIAN(market_salary), 0) AS median_salary FROM sb "
                                     "WHERE seniority_years IS NOT NULL GROUP BY seniority_years"))
 def q_pay_by_years(spark, sf):
@@ -141,7 +161,7 @@ def q_pay_range_width(spark, sf):
 
 @register("competition_high_low", _sql("""ct AS (
     SELECT title, COUNT(*) AS postings, SUM(vacancies) AS vacancies, MEDIAN(market_salary) AS median_salary,
-           COUNT(*) * 1.0 / NULLIF(SUM(vacancies), 0) AS competition_ratio FROM sb GROUP BY title)""",
+           COUNT(*) * 1.0 / NULLIF(SUM(vacancies), 0) AS competition_ratio FROM sb WHERE title IS NOT NULL GROUP BY title)""",
     """cl AS (
     SELECT job_label, CAST(SUM(postings) AS BIGINT) AS postings, AVG(competition_ratio) AS competition_ratio,
            AVG(median_salary) AS median_salary FROM ct LEFT JOIN tl USING (title) GROUP BY job_label)""",
