@@ -149,7 +149,8 @@ def benchmark_cells(ok: DataFrame, min_n: int = MIN_N) -> DataFrame:
 def salary_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N) -> DataFrame:
     """H-06: for each request (``request_id`` + any of the four dims, null =
     not narrowed), the benchmark of the most specific rung with a cell of at
-    least ``min_n``; else the global ok-salary figures (unrounded)."""
+    least ``min_n``; else the global ok-salary figures (unrounded). The ladder runs
+    once per distinct configuration; other columns of the requests are kept."""
     ok = market.where(F.col("salary_flag") == "ok")
     cells = benchmark_cells(ok, min_n)
     spec = reduce(lambda a, b: a + b, [F.when(F.col(d).isNotNull(), 1 << i).otherwise(0) for i, d in enumerate(DIMS)])
@@ -163,22 +164,25 @@ def salary_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N) ->
         entries += [F.lit(m), F.array(*rungs) if rungs else
                     F.array().cast("array<struct<rung_no:int,rung_mask:int,grain:string>>")]
     rung_map = F.create_map(*entries)
-    req = requests.withColumn("_spec", spec)
-    exploded = (req.select("request_id", *DIMS, F.explode(F.element_at(rung_map, F.col("_spec"))).alias("r"))
-                .select("request_id", "r.rung_no", "r.rung_mask", "r.grain",
-                        *[F.when((F.col("r.rung_mask").bitwiseAND(1 << i)) != 0, F.col(d)).alias(d)
-                          for i, d in enumerate(DIMS)]))
+    asked = [f"_c_{d}" for d in DIMS]
+    configs = requests.select(*DIMS).distinct().withColumn("_spec", spec)
+    exploded = (configs.select(*[F.col(d).alias(c) for d, c in zip(DIMS, asked)], F.explode(F.element_at(rung_map, F.col("_spec"))).alias("r"))
+                .select(*asked, "r.rung_no", "r.rung_mask", "r.grain",
+                        *[F.when((F.col("r.rung_mask").bitwiseAND(1 << i)) != 0, F.col(c)).alias(d)
+                          for i, (d, c) in enumerate(zip(DIMS, asked))]))
     cond = (exploded.rung_mask == cells.mask) & reduce(
         lambda a, b: a & b, [exploded[d].eqNullSafe(cells[d]) for d in DIMS])
     matched = (exploded.join(cells, cond)
-               .select("request_id", "rung_no", "grain", "n", "mid_p25", "mid_p50", "mid_p75"))
-    best = (matched.groupBy("request_id")
+               .select(*asked, "rung_no", "grain", "n", "mid_p25", "mid_p50", "mid_p75"))
+    best = (matched.groupBy(*asked)
             .agg(F.min(F.struct("rung_no", "grain", "n", "mid_p25", "mid_p50", "mid_p75")).alias("b"))
-            .select("request_id", "b.grain", "b.n", "b.mid_p25", "b.mid_p50", "b.mid_p75"))
+            .select(*asked, "b.grain", "b.n", "b.mid_p25", "b.mid_p50", "b.mid_p75"))
     glob = ok.agg(F.count(F.lit(1)).alias("g_n"), _pcts("salary_midpoint").alias("g_q"))
     g_n, g_q = scalar(glob, "g_n"), scalar(glob, "g_q")
-    out = (req.join(best, "request_id", "left")
-           .select("request_id", *DIMS,
+    same = reduce(lambda a, b: a & b, [requests[d].eqNullSafe(best[c]) for d, c in zip(DIMS, asked)])
+    others = [c for c in requests.columns if c not in ("request_id", *DIMS)]
+    out = (requests.withColumn("_spec", spec).join(best, same, "left")
+           .select("request_id", *DIMS, *others,
                    F.coalesce(F.col("grain"), F.when(F.col("_spec") == 0, F.lit("all postings"))
                               .otherwise(F.lit("all postings (no comparable cell)"))).alias("grain"),
                    F.coalesce(F.col("n"), g_n).alias("n"),

@@ -220,10 +220,10 @@ def industry_budget_risk(finance: DataFrame) -> DataFrame:
         F.median("posting_window_days").alias("median_posting_window_days"),
         F.percentile("posting_window_days", F.lit(0.9)).alias("p90_posting_window_days"),
         F.sum("vacancy_budget_exposure").alias("total_vacancy_budget_exposure")))
-    g = with_exact_median(g, finance.where(F.col("sector").isNotNull()), ["sector"],
-                          "vacancy_exposure_per_opening", "median_exposure_per_opening")
     w = Window.orderBy(F.desc_nulls_last("total_vacancy_budget_exposure"), F.asc("sector"))
-    return g.withColumn("budget_exposure_rank", F.row_number().over(w)).orderBy("budget_exposure_rank")
+    ranked = g.withColumn("budget_exposure_rank", F.row_number().over(w))
+    return with_exact_median(ranked, finance.where(F.col("sector").isNotNull()), ["sector"],
+                             "vacancy_exposure_per_opening", "median_exposure_per_opening").orderBy("budget_exposure_rank")
 
 
 def _decision(rate: Column, tol: float) -> Column:

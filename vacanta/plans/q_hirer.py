@@ -96,7 +96,8 @@ _RID = "concat_ws('|', coalesce(sector, '*'), coalesce(position_level, '*'), coa
 def _requests(m):
     d = H.DIMS
     null = F.lit(None).cast("string")
-    full = m.select(*d)
+    m = m.select(*d).distinct()  # the market's configurations, read once
+    full = m
     two = m.select("sector", "position_level", null.alias("experience_level"), null.alias("yrs_bucket"))
     ly = m.select(null.alias("sector"), "position_level", null.alias("experience_level"), "yrs_bucket")
     ex = m.select(null.alias("sector"), null.alias("position_level"), "experience_level", null.alias("yrs_bucket"))
@@ -166,8 +167,7 @@ def q_salary_position_flag(spark, sf):
     m = _m(spark, sf)
     ok = m.where(F.col("salary_flag") == "ok")
     req = ok.select(F.col("job_id").alias("request_id"), *H.DIMS, F.col("salary_midpoint").alias("salary"))
-    lk = H.salary_lookup(m, req.drop("salary")).join(req.select("request_id", "salary"), "request_id")
-    return H.salary_position_flag(lk).select("request_id", "grain", "salary", "mid_p25", "mid_p75", "salary_position")
+    return H.salary_position_flag(H.salary_lookup(m, req)).select("request_id", "grain", "salary", "mid_p25", "mid_p75", "salary_position")
 
 
 _NORMS = f"""cell AS (
