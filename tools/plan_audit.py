@@ -16,7 +16,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry_mod  # noqa: E402
+from vacanta.plans import catalog  # noqa: E402
 from vacanta.session import local_session  # noqa: E402
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -82,7 +82,7 @@ def main():
     stages = {"etl:raw": lambda: raw_postings(spark, a.sf), "etl:clean": lambda: clean_dataset(p.raw())[0],
               "etl:jobs": lambda: feature_enrichment(p.clean()), "etl:finance": lambda: finance_features(p.jobs())}
     plans = [(k, (lambda f=f: f())) for k, f in stages.items()]
-    plans += [(k, (lambda fn=fn: fn(spark, a.sf))) for k, fn in sorted(entry_mod.queries().items())]
+    plans += [(k, (lambda fn=fn: fn(spark, a.sf))) for k, fn in sorted(catalog.queries().items())]
     rows = []
     for k, make in plans:
         r = audit(make())

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
-from ..sources.io import CSV_OPTIONS, RAW_TEXT_SCHEMA, type_raw
+from ..sources.io import CSV_OPTIONS, RAW_TEXT_SCHEMA, parse_failures, type_raw
 
 
 def clean_stateless(raw: DataFrame) -> DataFrame:
@@ -49,13 +49,17 @@ def start_ingest(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
 
 
 def start_rule_report(spark: SparkSession, input_dir: str, report_dir: str, checkpoint_dir: str):
-    """Per-batch validation counts (C-09 rules that hold row by row), appended
-    to ``report_dir`` with the batch id, via ``foreachBatch``."""
-    cleaned = clean_stateless(type_raw(stream_reader(spark, input_dir)))
+    """Per-batch validation counts (C-09 rules that hold row by row, dates that are lost in
+    parsing, values that their types do not take), appended to ``report_dir`` with the
+    batch id, via ``foreachBatch``."""
+    text = stream_reader(spark, input_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rules = C.validate_rules(batch).where(F.col("rule") != "unique_id")
-        rules.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(report_dir)
+        rules = C.validate_rules(clean_stateless(type_raw(batch))).where(F.col("rule") != "unique_id")
+        dates = C.date_roundtrip_check(batch).select(F.concat(F.lit("lossy_"), "column_name"), "lossy_values")
+        types = parse_failures(batch).select(F.concat(F.lit("unparsed_"), "column_name"), "failures")
+        (rules.union(dates).union(types).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("append").parquet(report_dir))
 
-    return (cleaned.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
+    return (text.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
