@@ -35,6 +35,17 @@ def test_trie_equals_single_words():
         assert (score, -n) == best(w, scores, low), w
 
 
+def test_long_pre_tokens_are_scored_alone():
+    scores, rng = K.unigram_scores(MODEL), random.Random(6)
+    trie = K.Trie(scores)
+    for n in (1, 40, K.LONG + 50):
+        word = "▁" + "".join(rng.choice("abeinrst日é") for _ in range(n))
+        assert trie.alone(word) == trie.insert(word)
+        score, tokens = best(word, scores, min(scores.values())) if n < 100 else (trie.alone(word)[1], -trie.alone(word)[0])
+        assert trie.alone(word) == (-tokens, score)
+    assert len(trie.score) < 60  # the long one left no nodes
+
+
 def test_prefixes_are_computed_once():
     trie = K.Trie({"a": -1, "ab": -1, "b": -3})
     trie.insert("ab")

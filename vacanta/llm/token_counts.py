@@ -18,6 +18,7 @@ their rows; other columns are not read.
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from .common import map_batches
 
 MARK = "▁"
+#: Longer pre-tokens share no prefix worth keeping and are scored on their own, in constant memory.
+LONG = 4096
 
 
 def unigram_scores(model_file: str) -> dict[str, int]:
@@ -50,8 +53,26 @@ class Trie:
         self.edge: dict[tuple[int, str], int] = {}
         self.score, self.count = [0], [0]
 
+    def alone(self, word: str) -> tuple[int, int]:
+        """(tokens, score) without the trie: only the last ``longest`` prefixes are kept."""
+        recent = deque([(0, 0)], maxlen=self.longest + 1)
+        for end, char in enumerate(word, 1):
+            size = len(char.encode("utf-8", "surrogatepass"))
+            score, count = recent[-1]
+            best, tokens = score + self.byte_score * size, count + size
+            for length in range(1, min(end, self.longest) + 1):
+                piece = self.pieces.get(word[end - length:end])
+                if piece is not None:
+                    before, n = recent[-length]
+                    if before + piece > best or before + piece == best and n + 1 <= tokens:
+                        best, tokens = before + piece, n + 1
+            recent.append((best, tokens))
+        return recent[-1][1], recent[-1][0]
+
     def insert(self, word: str) -> tuple[int, int]:
         """(tokens, score) of a pre-token; only nodes that are new are computed."""
+        if len(word) > LONG:
+            return self.alone(word)
         edge, score, count, pieces = self.edge, self.score, self.count, self.pieces
         path, node = [0], 0
         for end, char in enumerate(word, 1):
