@@ -65,6 +65,11 @@ def test_odd_pages(spark):
     assert X.extract(pages(spark, rows[:1]).limit(0)).count() == 0
 
 
+def test_deep_pages_keep_their_text():
+    deep = "<div>" * 5000 + "<p>low</p>" + "</div>" * 5000 + "<p>after"
+    assert X.main_text(deep, [], set()) == "low\nafter"
+
+
 def test_furniture():
     assert X.furniture(("html", "body", "div[top-banner]")) and X.furniture(("html", "body", "nav"))
     assert X.furniture(("html", "body", "header")) and not X.furniture(("html", "article", "header"))

@@ -40,6 +40,8 @@ from .common import map_batches, stored
 from .linkgraph import split_url
 
 MIN_PAGES = 5
+#: Elements nested deeper count as siblings at this depth.
+MAX_DEPTH = 256
 SUPPORT = 0.5
 #: Fixed element names of HTML by their use here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -116,7 +118,7 @@ def walk(page: str):
                     break
         element = _element(name, m[4])
         yield (*path, element), None, fresh
-        if name not in VOID and not m[4].endswith("/"):
+        if name not in VOID and not m[4].endswith("/") and len(path) < MAX_DEPTH:
             stack.append((name, element))
             path = (*path, element)
     if at < len(page):
