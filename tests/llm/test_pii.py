@@ -119,3 +119,28 @@ def test_query_leaves_no_entity_and_keeps_them_apart(spark):
         assert before or got[d] == text
     assert len(pairs) > 10 and all(len(v) == 1 for v in pairs.values())
     assert len({(k[0], *v) for k, v in pairs.items()}) == len(pairs)
+
+
+def test_many_namesakes_stay_apart(spark):
+    """More given names for one surname than the list holds."""
+    firsts = ["".join(chr(97 + k // 5 ** i % 5) for i in (2, 1, 0)).capitalize() for k in range(60)]
+    given = docs(spark, [f"so Mr. {n} Smith said" for n in firsts] + [f"to Dr. {n} Smith too" for n in firsts])
+    got = [r.text for r in pii.pseudonymise(given, KEY).collect()]
+    assert len(set(got)) == len(got) == 120
+    assert len({t.split()[3] for t in got}) == 1  # one surname
+    assert all(t.split()[2].split("-")[0] in pii.GIVEN["latin", "m"] for t in got if "Mr." in t)
+    assert all(len(pii.entities(t)) == 1 for t in got)
+
+
+def test_drawing_goes_on_past_the_first_attempts(spark, monkeypatch):
+    tried, settle = [], pii.redrawn
+
+    def redrawn(found):
+        tried.append(len(found.first().drawn))
+        if len(tried) < 3:
+            raise pii.Unsettled("not yet")
+        return settle(found)
+    monkeypatch.setattr(pii, "redrawn", redrawn)
+    got = pii.pseudonymise(docs(spark, ["mail a@x.org"]), KEY).first().text
+    assert got == "mail " + pii.Surrogates(KEY)("email", "a@x.org")
+    assert tried == [pii.ATTEMPTS, 2 * pii.ATTEMPTS, 4 * pii.ATTEMPTS]

@@ -31,7 +31,10 @@ from pyspark.sql import types as T
 
 from .common import map_batches, stored
 
+#: Attempts drawn at first; twice as many whenever they do not settle all collisions.
 ATTEMPTS = 8
+#: So many draws without an end mean that a type has fewer surrogates than entities.
+MOST_ATTEMPTS = 1024
 #: Forms of address: (words, gender).
 ADDRESS = [("Mr|Sir|Herr|Herrn|Monsieur|Señor|Sr|Don|господин", "m"),
            ("Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Doña|госпожа", "f"), ("Dr|Prof", "n")]
@@ -164,6 +167,8 @@ class Surrogates:
         address, *names = text.split()
         # The family name's surrogate hangs on the family name alone: a later mention without the given name agrees.
         given = GIVEN[script, gender][drawn % 16]
+        if attempt:  # namesakes outnumber the list: a second part, longer with every attempt
+            given += "-" + self._syllables(drawn >> 8, script, min(attempt + 1, 8)).capitalize()
         family = self._draw("family", names[-1], attempt if len(names) == 1 else 0)
         last = self._syllables(family, script, 6).capitalize()
         return f"{address} {given} {last}" if len(names) > 1 else f"{address} {last}"
@@ -179,7 +184,7 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def _found(docs: DataFrame, key: bytes) -> DataFrame:
+def _found(docs: DataFrame, key: bytes, attempts: int = ATTEMPTS) -> DataFrame:
     """(doc_id, text_hash, kind, own, drawn): each entity of each document once, by keyed
     hashes; ``drawn`` names the surrogates of the attempts in turn."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -190,7 +195,7 @@ def _found(docs: DataFrame, key: bytes) -> DataFrame:
                 entity = (kind, make.canonical(kind, own))
                 if entity not in known:
                     known[entity] = (make.hash(*entity), [make.hash(kind, make.canonical(kind, make(kind, own, a)))
-                                                          for a in range(ATTEMPTS)])
+                                                          for a in range(attempts)])
                 rows.append(k)
                 kinds.append(kind)
                 names.append(known[entity][0])
@@ -205,11 +210,16 @@ def _found(docs: DataFrame, key: bytes) -> DataFrame:
     return map_batches(given, run, schema)
 
 
+class Unsettled(RuntimeError):
+    """The attempts drawn do not settle all collisions."""
+
+
 def redrawn(found: DataFrame) -> DataFrame | None:
     """(own, attempt) of the entities whose first surrogate collides, or None."""
     known = stored(found.groupBy("own").agg(F.first("drawn").alias("drawn")), "entities")
+    attempts = (known.select(F.size("drawn")).first() or [1])[0]
     todo, settled, out = known, None, []
-    for attempt in range(ATTEMPTS):
+    for attempt in range(attempts):
         drawn = todo.select("own", F.col("drawn")[attempt].alias("value"))
         taken = known.select(F.col("own").alias("value"), F.lit(None).cast("string").alias("own"), F.lit(True).alias("real"))
         if settled is not None:
@@ -225,9 +235,9 @@ def redrawn(found: DataFrame) -> DataFrame | None:
         if not bad.limit(1).count():
             break
         settled = good.select("value") if settled is None else settled.union(good.select("value"))
-        todo = todo.join(bad.select("own"), "own", "left_semi")
+        todo = stored(todo.join(bad.select("own"), "own", "left_semi"), "todo")
     else:
-        raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
+        raise Unsettled(f"surrogates still collide after {attempts} attempts")
     if not out:
         return None
     for more in out[1:]:
@@ -237,8 +247,16 @@ def redrawn(found: DataFrame) -> DataFrame | None:
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced, and ``n_replaced``."""
-    found = stored(_found(docs, key), "found")
-    again = redrawn(found)
+    attempts = ATTEMPTS
+    while True:
+        found = stored(_found(docs, key, attempts), "found")
+        try:
+            again = redrawn(found)
+            break
+        except Unsettled:
+            attempts *= 2
+            if attempts > MOST_ATTEMPTS:
+                raise
     columns, with_maps = docs.columns, docs
     if again is not None:
         maps = (found.select("doc_id", "text_hash", "own").join(again, "own").groupBy("doc_id", "text_hash")
