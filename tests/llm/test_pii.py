@@ -1,4 +1,5 @@
 """Surrogates: type, format, coreference, distinctness."""
+import ipaddress
 import random
 import re
 
@@ -144,3 +145,41 @@ def test_drawing_goes_on_past_the_first_attempts(spark, monkeypatch):
     got = pii.pseudonymise(docs(spark, ["mail a@x.org"]), KEY).first().text
     assert got == "mail " + pii.Surrogates(KEY)("email", "a@x.org")
     assert tried == [pii.ATTEMPTS, 2 * pii.ATTEMPTS, 4 * pii.ATTEMPTS]
+
+
+#: (text, what must be gone): planted by hand, not by the operator's own pattern.
+PLANTED = [
+    ("call +14155550123 now", ["4155550123"]), ("call 4155550123 now", ["4155550123"]), ("call 14155550123.", ["4155550123"]),
+    ("tel +33 1 23 45 67 89,", ["23 45 67 89"]), ("tel 01 23 45 67 89,", ["23 45 67 89"]), ("+91 98765 43210", ["98765", "43210"]),
+    ("8 (916) 123-45-67", ["123-45-67"]), ("ssn 123-45-6789.", ["123-45-6789"]),
+    ("from 2001:db8::8a2e:370:7334 and 2001:0db8:0000:0000:0000:8a2e:0370:7334", ["370:7334", "0370:7334", "8a2e"]),
+    ("at fe80::1ff:fe23:4567:890a.", ["fe23:4567"]), ("paid 3782 822463 10005 yes", ["3782 8", "822463", "10005"]),
+    ("Mr. John Smith came. Smith left; SMITH and John Smith ate Smith's pie", ["Smith", "SMITH", "John"]),
+    ("Mr. Ian McDonald", ["Ian", "McDonald", "Donald"]), ("Mr. John Q. Smith, Smith", ["John", "Q.", "Smith"]),
+    ("Mrs O'Neil and O'Neil", ["Neil"]), ("Mrs O’Neil", ["Neil"]), ("Mr. Łukasz Żak, Żak", ["ukasz", "Żak"]), ("Mr. J. R. R. Tolkien", ["Tolkien"]),
+    ("Mr. Γιώργος Παπάς", ["Παπάς", "Γιώργος"]), ("Mr. 王小明 x", ["王小明"]), ("Ms. अनीता शर्मा x", ["अनीता", "शर्मा"]),
+]
+
+
+@pytest.mark.parametrize("text,gone", PLANTED)
+def test_planted_entities_are_gone(spark, text, gone):
+    make, out, at = pii.Surrogates(KEY), "", 0
+    spans = pii.entities(text)
+    for a, b, kind in spans:
+        out, at = out + text[at:a] + make(kind, text[a:b]), b
+    out += text[at:]
+    assert not [g for g in gone if g in out], out
+    assert [k for *_, k in pii.entities(out)] == [k for *_, k in spans], out
+
+
+def test_mentions_of_a_person_agree(spark):
+    text = "Mr. John Smith came. Smith left; John Smith ate. Oak Dr. The end of The road"
+    out = pii.pseudonymise(docs(spark, [text]), KEY).first().text
+    first, last = out.split()[1], out.split()[2]
+    assert f"{last} left; {first} {last} ate" in out and "of The road" in out
+    make = pii.Surrogates(KEY)
+    assert make("phone", "+14155550123")[2:] == make("phone", "4155550123") == re.sub(r"\D", "", make("phone", "(415) 555-0123"))
+    short, full = make("ip6", "2001:db8::1:7334"), make("ip6", "2001:0db8:0000:0000:0000:0000:0001:7334")
+    assert ipaddress.ip_address(short) == ipaddress.ip_address(full)
+    assert len({make("ip6", f"2001:db8::{k:x}") for k in range(1, 2000)}) == 1999
+    assert len({make("phone", f"415555{k:04d}") for k in range(2000)}) == 2000
