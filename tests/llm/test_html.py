@@ -86,3 +86,10 @@ def test_query_finds_the_articles(spark):
     given = {r.page_id: article(r.html) for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()}
     got = queries.queries()["op1_main_text"](spark, SF_SMALL).collect()
     assert {r.page_id: r.text for r in got} == given and len(got) == len(given)
+
+
+def test_deep_elements_do_not_close_outer_ones():
+    deep = "<body><div><article>a" + "<font>" * 400 + "<div>b</div>c<div>d</div>" + "</font>" * 400 + "<p>e</p></article>f</div>"
+    assert X.main_text(deep, ["body/div/article"], set()) == "a\nb\nc\nd\ne"
+    deeper = "<body><div><article>a" + "<span>" * 400 + "<p>x<div>y</div>z</article>f</div>"
+    assert X.main_text(deeper, ["body/div/article"], set()) == "a\nx\ny\nz"

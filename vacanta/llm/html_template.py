@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .common import map_batches, stored
 from .linkgraph import split_url
 
 MIN_PAGES = 5
-#: Elements nested deeper count as siblings at this depth.
+#: Elements nested deeper have the path of the one at this depth.
 MAX_DEPTH = 256
 SUPPORT = 0.5
 #: Fixed element names of HTML by their use here.
@@ -77,8 +78,14 @@ def _element(name: str, attributes: str) -> str:
 def walk(page: str):
     """Yield (path, text, new block?) for each text and (path, None, _) for each element
     that opens; a path is the tuple of open elements."""
-    stack: list[tuple[str, str]] = []
+    stack: list[str] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name in the stack
     path: tuple[str, ...] = ()
+
+    def close(k: int) -> tuple[str, ...]:
+        while len(stack) > k:
+            places[stack.pop()].pop()
+        return path[:k]
     at, fresh = 0, True
     for m in _MARKUP.finditer(page):
         if m.start() > at:
@@ -89,11 +96,8 @@ def walk(page: str):
         if not name:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    path = path[:k]
-                    break
+            if places[name]:
+                path = close(places[name][-1])
             fresh = fresh or name in BLOCK
             continue
         if name == "br":
@@ -101,26 +105,19 @@ def walk(page: str):
             continue
         if name in BLOCK:
             fresh = True
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph and what is open in it
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    path = path[:k]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            if places["p"]:  # a block ends an open paragraph and what is open in it
+                path = close(places["p"][-1])
         if name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
-                    path = path[:k]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+            k = max((places[n][-1] for n in CLOSES[name] if places[n]), default=-1)
+            if k > max((places[n][-1] for n in ("ul", "ol", "dl", "table", "select") if places[n]), default=-1):
+                path = close(k)
         element = _element(name, m[4])
         yield (*path, element), None, fresh
-        if name not in VOID and not m[4].endswith("/") and len(path) < MAX_DEPTH:
-            stack.append((name, element))
-            path = (*path, element)
+        if name not in VOID and not m[4].endswith("/"):
+            places[name].append(len(stack))
+            stack.append(name)
+            if len(path) < MAX_DEPTH:  # deeper ones are open, their texts lie at this depth
+                path = (*path, element)
     if at < len(page):
         yield path, page[at:], fresh
 
