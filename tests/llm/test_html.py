@@ -93,3 +93,23 @@ def test_deep_elements_do_not_close_outer_ones():
     assert X.main_text(deep, ["body/div/article"], set()) == "a\nb\nc\nd\ne"
     deeper = "<body><div><article>a" + "<span>" * 400 + "<p>x<div>y</div>z</article>f</div>"
     assert X.main_text(deeper, ["body/div/article"], set()) == "a\nx\ny\nz"
+
+
+def test_headline_and_lead_beside_the_body_are_kept(spark):
+    page = ("<html><body><div class=top><ul><li><a href='/'>Home {0}</a> | <li><a href=/x>News</a></ul></div><div class=wrap><h1>Title {0}</h1>"
+            "<div class=lead>Lead of {0} here.</div><div class=body><p>" + "Words of page {0} go on. " * 20 + "</p><ul><li><a href=/s>Source {0}</a></ul></div>"
+            "<div class=more><a href=/n>Next {0}</a></div></div><div>Made by us</div></body></html>")
+    for n in (8, 3):
+        got = {r.page_id: r.text for r in X.extract(pages(spark, [(k, "http://m.example/", page.format(k)) for k in range(n)])).collect()}
+        for k in range(n):
+            assert got[k] == f"Title {k}\nLead of {k} here.\n" + ("Words of page %d go on. " % k * 20).strip() + f"\nSource {k}"
+
+
+def test_main_or_article_by_weight(spark):
+    page = ("<html><body><main><div class=text><p>" + "Words of page {0} go on. " * 20 + "</p></div></main>"
+            "<article class=card><p>Card {0}</p></article></body></html>")
+    inside = page.replace("</main>", "").replace("</article>", "</article></main>")
+    words = lambda k: ("Words of page %d go on. " % k * 20).strip()
+    for given, more in ((page, ""), (inside, "\nCard {}")):
+        got = {r.page_id: r.text for r in X.extract(pages(spark, [(k, "http://m.example/", given.format(k)) for k in range(6)])).collect()}
+        assert got == {k: words(k) + more.format(k) for k in range(6)}

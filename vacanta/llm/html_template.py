@@ -8,9 +8,10 @@ elements follow each other in one order, and each lies in a slot of an element t
 is nested already, so that the classes nest into the host's template.
 The slots are the places of the template's elements that hold changing text. Slots
 under furniture elements (menus, headers, footers, sidebars, notices, adverts, forms,
-comments) are left out, and of the others the article's: those under an article or
-main element, or else under the deepest template element that holds most of the
-host's changing text. The article's slots are extracted from every page, block by
+comments) are left out. Of the others the article's are those under the article or main
+elements, whichever hold more text, or else under the lowest element that all changing
+text outside of links shares; there, beside the block that holds most of it, blocks of
+nothing but links or of texts that no page changes are left out. The article's slots are extracted from every page, block by
 block, whole.
 
 Vectors are compared by their sums of hashed entries, an aggregate that needs no
@@ -64,6 +65,7 @@ _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[
                      r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
+_WORDY = re.compile(r"\w")
 _SPACE = re.compile(r"\s+")
 
 
@@ -157,7 +159,7 @@ def tokens(page: str) -> dict[tuple[str, str | None], list]:
             own = found.setdefault((joined, None), [0, place, 0, 0])
             own[0] += 1
         elif text.strip():
-            size = len(text)
+            size = len(text) if _WORDY.search(text) else 0  # separators weigh nothing
             if path:
                 holder = found.setdefault((joined, None), [0, place, 0, 0])
                 holder[2] += size
@@ -166,6 +168,9 @@ def tokens(page: str) -> dict[tuple[str, str | None], list]:
             if not any(_name(e) in ("article", "main") for e in path):
                 own = found.setdefault((joined, _text_hash(path, _clean(text))), [0, place, 0, 0])
                 own[0] += 1
+                own[2] += size
+                if any(_name(e) == "a" for e in path):
+                    own[3] += size
     return found
 
 
@@ -186,7 +191,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def deduce(rows: pd.DataFrame) -> tuple[list[str], list[str], int]:
-    """(roots of the article, hashes of template texts, number of nested classes) from one
+    """(roots of the article, and after a "!" what is left out under them, hashes of template texts, number of nested classes) from one
     host's tokens: path, text, pages, host_pages, once, vector, place, chars, link_chars."""
     if rows.empty:
         return [], [], 0
@@ -211,11 +216,25 @@ def deduce(rows: pd.DataFrame) -> tuple[list[str], list[str], int]:
     template_texts = sorted(texts["text"])
 
     slots = elements[elements["path"].isin(nested) & ~elements["path"].map(lambda p: furniture(tuple(p.split("/"))))]
-    semantic = [p for p in slots["path"] if _name(p.rpartition("/")[2]) in ("article", "main")]
-    if semantic:
-        inner = [p for p in semantic if _name(p.rpartition("/")[2]) == "article"] or semantic
-        roots = [p for p in inner if not any(p.startswith(q + "/") for q in inner)]
-        return sorted(roots), template_texts, n_classes
+    # Text outside of links that changes: what two or more pages all have once does not.
+    fixed = rows[rows["text"].notna() & (rows["once"] == rows["host_pages"]) & (rows["host_pages"] >= 2)]
+    still = (fixed["chars"] - fixed["link_chars"]).astype(float).groupby(fixed["path"]).sum().to_dict()
+    changing, held = {}, {}
+    for path, chars, link in zip(slots["path"], slots["chars"], slots["link_chars"]):
+        own = max(float(chars) - float(link) - still.get(path, 0.0), 0.0)
+        parts = path.split("/")
+        for k in range(1, len(parts) + 1):
+            up = "/".join(parts[:k])
+            changing[up] = changing.get(up, 0.0) + own
+            held[up] = held.get(up, 0.0) + float(chars)
+
+    by_name = {}
+    for name in ("main", "article"):
+        found = [p for p in slots["path"] if _name(p.rpartition("/")[2]) == name]
+        by_name[name] = [p for p in found if not any(p.startswith(q + "/") for q in found)]
+    if any(by_name.values()):
+        heavy = {name: sum(changing[p] for p in found) for name, found in by_name.items() if found}
+        return sorted(by_name[max(heavy, key=lambda n: (heavy[n], n == "article"))]), template_texts, n_classes
     weight: dict[str, float] = {}
     for path, chars, link in zip(slots["path"], slots["chars"], slots["link_chars"]):
         parts = path.split("/")
@@ -228,7 +247,25 @@ def deduce(rows: pd.DataFrame) -> tuple[list[str], list[str], int]:
     if not holders or most <= 0 or total < 1:
         return [], template_texts, n_classes
     enough = [p for p in holders if weight[p] >= 0.7 * most]
-    return [max(enough, key=lambda p: (p.count("/"), weight[p], p))] if enough else [], template_texts, n_classes
+    if not enough:
+        return [], template_texts, n_classes
+    most_of_it = max(enough, key=lambda p: (p.count("/"), weight[p], p))
+    # Up to where all changing text is inside: some may lie beside that block.
+    whole = max(changing.values())
+    root = most_of_it
+    while changing[root] < whole and "/" in root:
+        root = root.rpartition("/")[0]
+    if changing[root] < whole:  # not even one outermost element
+        roots = sorted(p for p in changing if "/" not in p and (changing[p] > 0 or p == root))
+    else:
+        roots = [root]
+    out: list[str] = []
+    for path in sorted(changing, key=lambda p: p.count("/")):
+        if any(path.startswith(r + "/") for r in roots) and _name(path.rpartition("/")[2]) in BLOCK \
+                and not (path + "/").startswith(most_of_it + "/") and not most_of_it.startswith(path + "/") \
+                and changing[path] <= 0 < held[path] and not any(path.startswith(o + "/") for o in out):
+            out.append(path)
+    return [*roots, *("!" + p for p in out)], template_texts, n_classes
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -252,7 +289,8 @@ def main_text(page: str | None, roots: list[str], texts: set[str]) -> str:
     """The article's blocks, joined by line breaks."""
     blocks: list[list[str]] = []
     own: list[bool] = []
-    wanted = [tuple(r.split("/")) for r in roots]
+    wanted = [tuple(r.split("/")) for r in roots if r[:1] != "!"]
+    unwanted = [tuple(r[1:].split("/")) for r in roots if r[:1] == "!"]
     every = list(walk(page or ""))
     opened = {path for path, text, _ in every if text is None}
     wanted = [r for r in wanted if r in opened]
@@ -261,7 +299,7 @@ def main_text(page: str | None, roots: list[str], texts: set[str]) -> str:
             wanted = [p for p in opened if _name(p[-1]) == name and not furniture(p)]
             if wanted:
                 break
-        wanted = wanted or [()]
+        wanted, unwanted = wanted or [()], []
     verdicts: dict[tuple[str, ...], bool] = {}
     broken = True
     for path, text, fresh in every:
@@ -269,7 +307,8 @@ def main_text(page: str | None, roots: list[str], texts: set[str]) -> str:
         if text is None:
             continue
         if path not in verdicts:
-            verdicts[path] = any(path[:len(r)] == r for r in wanted) and not furniture(path)
+            verdicts[path] = (any(path[:len(r)] == r for r in wanted) and not furniture(path)
+                              and not any(path[:len(r)] == r for r in unwanted))
         if not verdicts[path]:
             broken = True
             continue
