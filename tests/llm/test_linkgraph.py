@@ -1,5 +1,6 @@
 """URL parts, rules, and propagation against a dense PageRank."""
 import numpy as np
+import pytest
 from conftest import SF_SMALL
 
 from vacanta.llm import linkgraph as L
@@ -73,3 +74,14 @@ def test_empty_and_query(spark):
     got = queries.queries()["op7_url_verdicts"](spark, SF_SMALL).collect()
     assert len(got) == spark.read.parquet(f"{SF_SMALL}/pages.parquet").count()
     assert {r.verdict for r in got} <= {"allow", "block"}
+
+
+def test_distrust_goes_along_a_long_chain(spark):
+    """Each host links to the one before, the first is blocked: all of them are distrusted."""
+    n = 10
+    hosts = spark.createDataFrame([(f"h{k}", 0, int(k == 0)) for k in range(n)], "host string, trusted int, blocked int").coalesce(1)
+    flow = spark.createDataFrame([(f"h{k + 1}", f"h{k}", 1) for k in range(n - 1)], "src string, dst string, n int").coalesce(1)
+    got = {r.host: (r.trust, r.distrust) for r in L.propagate(hosts, flow, tolerance=1.0).collect()}
+    assert all(t == 0 and d > 0 for t, d in got.values()) and len(got) == n
+    with pytest.raises(RuntimeError):
+        L.propagate(hosts, flow, max_rounds=3)

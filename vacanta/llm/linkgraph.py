@@ -56,10 +56,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6,
-              max_rounds: int = 50) -> DataFrame:
+              max_rounds: int = 10_000) -> DataFrame:
     """(host, trust, distrust) from ``hosts`` (host, trusted, blocked: seed flags) and
     ``edges`` (src, dst, n). Mass that reaches a host without links onwards returns to
-    the seeds. Rounds end when no score changes by more than ``tolerance`` in sum."""
+    the seeds. Rounds end when the scores change by less than ``tolerance`` in sum and no
+    round reaches a host whose score was zero; it is an error if ``max_rounds`` do not do."""
     seeds = stored(hosts.select("host", F.col("trusted").cast("double").alias("t0"),
                                 F.col("blocked").cast("double").alias("d0")), "seeds")
     total = seeds.agg(F.sum("t0").alias("t"), F.sum("d0").alias("d")).collect()[0]
@@ -88,10 +89,14 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
                          (damping * F.col("mt") + back_t * F.col("t0")).alias("t"),
                          (damping * F.col("md") + back_d * F.col("d0")).alias("d"))
         met = stored(met, "scores")
-        change = met.agg(F.sum(F.abs(F.col("t") - F.col("pt")) + F.abs(F.col("d") - F.col("pd")))).collect()[0][0]
+        change, reached = met.agg(
+            F.sum(F.abs(F.col("t") - F.col("pt")) + F.abs(F.col("d") - F.col("pd"))),
+            F.count_if(((F.col("pt") == 0) & (F.col("t") > 0)) | ((F.col("pd") == 0) & (F.col("d") > 0)))).collect()[0]
         scores = met.select("host", "t0", "d0", "t", "d")
-        if (change or 0.0) < tolerance:
+        if (change or 0.0) < tolerance and not reached:
             break
+    else:
+        raise RuntimeError(f"scores not settled after {max_rounds} rounds")
     return scores.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 
