@@ -2,12 +2,14 @@
 and the DuckDB statements of those that SQL can express."""
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontaminate, html_template, huffman, linkgraph, pack, pii, rules_forest, simhash, token_counts, tokens
+from . import (cotrain, decontaminate, html_template, huffman, linkgraph, pack, periodic, pii, rules_forest, simhash, spelling,
+               token_counts, tokens, warc)
 from .common import new_path, stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -106,6 +108,57 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def misspelt(doc_id: int | None, word: str) -> str:
+    """``word`` with one code point less where 31 divides the hash of the document's id (null:
+    empty) and the word."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    at = h % len(word)
+    return word if h % 31 else word[:at] + word[at + 1:]
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with the form that it is a variant of."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents", ["doc_id", "text"]), spoil=misspelt)
+    return spelling.variant_groups(words)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts from a place on replaced by repeats of the words there, where ten
+    divides the hash of the document's id."""
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("words")
+    hashed = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(
+        F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    placed = hashed.withColumn("n", F.when(n > 0, n)).withColumn("a", F.floor(F.col("h") / 10) % F.col("n")).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    return placed.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(F.array_join(F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))),
+        " ")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document."""
+    found = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period, F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages", ["page_id", "url", "html"]), path, "2024-01-01T00:00:00Z")
+    found = stored(warc.read(spark, path).drop("payload"), "warc_pages")
+    warc.verify_revisits(found)
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
