@@ -235,6 +235,23 @@ def grouping_key(cols) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
 
 
+def with_group_key(df: DataFrame) -> DataFrame:
+    """``df`` with the hash of its same-day duplicate key as dup_group_id."""
+    return df.withColumn("dup_group_id", dup_key_id([F.lower(F.col("title")) if c == "title" else F.col(c) for c in DUP_KEY]))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, nulls told apart."""
+    return F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def member_order(date: Column, row_id: Column, whole: Column, *place: Column) -> Column:
+    """Order of a duplicate group's members: by date, then id, nulls last, then the row's
+    hash, then its place."""
+    return F.struct(date.isNull().alias("no_date"), date.alias("date"), row_id.isNull().alias("no_id"), row_id.alias("id"),
+                    whole.alias("row"), *place)
+
+
 def first_of_group(df: DataFrame, date: str, row_id: str) -> tuple[DataFrame, Column, str]:
     """(rows with a place column, order of a group's members, the place column): by date,
     then id, nulls last, then a hash of the whole row; among identical rows by place.
@@ -243,11 +260,8 @@ def first_of_group(df: DataFrame, date: str, row_id: str) -> tuple[DataFrame, Co
     place = "_place"
     while place in df.columns:
         place += "_"
-    whole = F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))])
     placed = df.withColumn(place, F.monotonically_increasing_id())
-    order = F.struct(F.col(date).isNull().alias("no_date"), F.col(date).alias("date"), F.col(row_id).isNull().alias("no_id"),
-                     F.col(row_id).alias("id"), whole.alias("row"), F.col(place).alias("place"))
-    return placed, order, place
+    return placed, member_order(F.col(date), F.col(row_id), row_hash(df), F.col(place).alias("place")), place
 
 
 def flag_duplicates(df: DataFrame, first_seen_order=("metadata_originalPostingDate", "metadata_jobPostId")) -> DataFrame:
@@ -257,9 +271,8 @@ def flag_duplicates(df: DataFrame, first_seen_order=("metadata_originalPostingDa
     member (``first_of_group``) come from ONE hash aggregation on the id -- map-side
     partial aggregation collapses a hot group to one row per input partition before
     the shuffle -- joined back on the id (AQE splits a skewed partition of that join)."""
-    key_cols = [F.lower(F.col("title")) if c == "title" else F.col(c) for c in DUP_KEY]
     d, j = first_seen_order
-    placed, order, place = first_of_group(df.withColumn("dup_group_id", dup_key_id(key_cols)), d, j)
+    placed, order, place = first_of_group(with_group_key(df), d, j)
     groups = (placed.groupBy("dup_group_id")
               .agg(F.count(F.lit(1)).cast("int").alias("dup_group_size"),
                    F.min(order).getField("place").alias("_first")))

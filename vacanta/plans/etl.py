@@ -1,24 +1,36 @@
 """The ETL run from a CSV path: raw load, cleaning, enrichment, fact and finance tables."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from ..operators import clean as C
 from ..operators import enrich as E
 from ..operators.finance import finance_features
 from ..sources import io as IO
+from ..sources import quarantine
 
 
-def run_pipeline(spark: SparkSession, csv_path: str, out_dir: str, nrows: int | None = None, replace: bool = True) -> bool:
+def run_pipeline(spark: SparkSession, csv_path: str, out_dir: str, nrows: int | None = None, replace: bool = True,
+                 multi_line: bool = False, keep_rejects: bool = False) -> bool:
     """False when ``csv_path`` does not exist; otherwise writes ``raw``, ``clean``, ``jobs``
     and ``finance`` under ``out_dir`` (replaced, or raw and jobs appended to) and returns
-    True. Dates that do not round-trip and broken rules raise before the facts are written.
-    """
-    raw = IO.extract(spark, csv_path, nrows)
-    if raw is None:
-        return False
+    True.
+
+    The CSV is parsed once, into ``loaded``: every row is accepted or rejected with its
+    reasons (``quarantine``). Rejected rows raise before a fact is written, unless
+    ``keep_rejects`` leaves them under ``loaded`` and goes on with the others. Broken rules
+    raise before the jobs are written."""
+    try:
+        text = IO.read_text(spark, csv_path, multi_line)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    raw, rejected = quarantine.route(text.limit(int(nrows)) if nrows is not None else text, f"{out_dir}/loaded")
+    if not keep_rejects:
+        C.raise_on_violations(quarantine.reject_report(rejected), "rows", "reason")
     IO.insert_raw(raw, f"{out_dir}/raw", replace)
-    C.raise_on_violations(C.date_roundtrip_check(raw), "lossy_values", "column_name")
     IO.write_parquet(C.clean_dataset(raw, prune=True, check=False)[0], f"{out_dir}/clean")
     cleaned = spark.read.parquet(f"{out_dir}/clean")
     C.raise_on_violations(C.validate_rules(cleaned))

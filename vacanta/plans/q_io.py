@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ..operators.enrich import JOBS_COLUMNS
 from ..session import delete_on_exit, ensure_checkpoint_dir
 from ..sources import io as IO
+from ..sources import quarantine
 from ..sources.bind import RAW_COLUMNS
+from ..sources.ledger import Ledger
+from ..streaming import chunks
 from ..streaming.ingest import clean_stateless, start_ingest
 from .oracle_base import BIND, CLEAN, FIN, JOBS, with_ctes
 from .etl import run_pipeline
@@ -132,3 +135,53 @@ def q_probed_exposure(spark, sf):
     path = _scratch(spark, sf, "finance_table")
     IO.write_parquet(fin, path)
     return exposure_by_sector(IO.load_or_empty(spark, path, fin.schema))
+
+
+@register("stream_duplicate_flags", with_ctes(BIND, CLEAN, body="""SELECT metadata_jobPostId, dup_group_id, dup_group_size, is_same_day_dup, is_first_seen
+    FROM clean"""))
+def q_stream_duplicate_flags(spark, sf):
+    """T-01 with C-08: chunks whose columns come in different orders, later postings first,
+    through the ingest and the keyed group state after each; the flags of all rows."""
+    folder = {n: _scratch(spark, sf, n) for n in ("chunks", "ledger", "groups", "ingest_state", "group_state")}
+    raw = Postings(spark, sf).raw()
+    late = F.coalesce(F.col("metadata_originalPostingDate") >= "1997-01-01", F.lit(True))
+    for name, part in (("late", raw.where(late)), ("early", raw.where(~late).select(*reversed(RAW_COLUMNS)))):
+        IO.write_csv(part, f"{folder['chunks']}/{name}")
+        chunks.start_chunk_ingest(spark, folder["chunks"], folder["ledger"], folder["ingest_state"]).awaitTermination()
+        chunks.start_duplicate_groups(spark, folder["ledger"], folder["groups"], folder["group_state"]).awaitTermination()
+    return chunks.flagged(spark, folder["ledger"], folder["groups"]).select(
+        "metadata_jobPostId", "dup_group_id", "dup_group_size", "is_same_day_dup", "is_first_seen")
+
+
+@register("append_exactly_once", with_ctes(BIND, CLEAN, JOBS, body="""SELECT sector, CAST(count(*) AS BIGINT) AS postings, CAST(count(DISTINCT job_id) AS BIGINT) AS ids
+    FROM jobs GROUP BY sector"""))
+def q_append_exactly_once(spark, sf):
+    """S-06: the fact appended in batches by posting year, each delivered twice, read once."""
+    folder, jobs = _scratch(spark, sf, "ledger"), Postings(spark, sf).jobs()
+    old = F.coalesce(F.year("posting_date") < 1997, F.lit(False))
+    for batch, part in (("old", jobs.where(old)), ("new", jobs.where(~old)), ("old", jobs.where(old)), ("new", jobs)):
+        IO.insert_jobs(part, folder, batch=batch)
+    return Ledger(spark, folder).read("jobs").groupBy("sector").agg(F.count("*").alias("postings"), F.count_distinct("job_id").alias("ids"))
+
+
+_ID = "metadata_jobPostId"
+#: Defects planted into the raw extract: (ids that get it, column, value).
+_DEFECTS = [("%17-1", "salary_minimum", "5,000"), ("%23-1", "metadata_expiryDate", "31/12/1998"), ("%31-1", "numberOfVacancies", "70000"),
+            ("%43-1", "categories", '[{"id": 3'), ("%1-2", "metadata_originalPostingDate", "1998-02-30")]
+_REASONS = ["type:salary_minimum", "date:metadata_expiryDate", "range:numberOfVacancies", "categories", "date:metadata_originalPostingDate"]
+
+
+@register("load_reject_report", with_ctes(BIND, body="SELECT 'accepted' AS outcome, CAST(count(*) AS BIGINT) AS records FROM raw WHERE coalesce(NOT ("
+          + " OR ".join(f"{_ID} LIKE '{p}'" for p, _, _ in _DEFECTS) + "), true)"
+          + "".join(f" UNION ALL SELECT '{r}', count(*) FROM raw WHERE {_ID} LIKE '{p}'" for (p, _, _), r in zip(_DEFECTS, _REASONS))))
+def q_load_reject_report(spark, sf):
+    """S-01 / C-04 / C-10 / C-13: the raw extract with planted defects, loaded: how many
+    records were accepted, and how many rejected for which reason."""
+    text = Postings(spark, sf).raw().select(*[F.col(c).cast("string").alias(c) for c in RAW_COLUMNS])
+    for pattern, column, value in _DEFECTS:
+        text = text.withColumn(column, F.when(F.col(_ID).like(pattern), F.lit(value)).otherwise(F.col(column)))
+    source = _scratch(spark, sf, "defects_csv")
+    IO.write_csv(text, source)
+    accepted, rejected = quarantine.load(spark, source, _scratch(spark, sf, "loaded"))
+    return (accepted.agg(F.count("*").alias("records")).select(F.lit("accepted").alias("outcome"), "records")
+            .unionByName(quarantine.reject_report(rejected).select(F.col("reason").alias("outcome"), F.col("rows").alias("records"))))

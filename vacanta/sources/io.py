@@ -7,6 +7,9 @@ sink enforces the column contract and back-fills the constant columns.
 """
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +34,13 @@ CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "escape": '"', "quote
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # ------------------------------------------------------------------------------
 
+#: Holds a record whose fields do not match the header, as it stands in the file.
+CORRUPT = "_torn"
+
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 
-def _typed(c: str) -> Column:
+def typed_column(c: str) -> Column:
     """One raw column in its type; whole-number columns also take decimal text (3000.0),
     cut toward zero."""
     kind = RAW_TYPES.get(c)
@@ -48,13 +54,13 @@ def _typed(c: str) -> Column:
 
 def type_raw(text: DataFrame) -> DataFrame:
     """All-text raw rows -> typed raw rows; see ``parse_failures`` for what became null."""
-    return text.select(*[_typed(c).alias(c) for c in RAW_COLUMNS])
+    return text.select(*[typed_column(c).alias(c) for c in RAW_COLUMNS])
 
 
 def parse_failures(text: DataFrame) -> DataFrame:
     """(column_name, failures): non-blank texts of each typed column that its type does not take."""
     names = [c for c in RAW_COLUMNS if c in RAW_TYPES]
-    wide = text.agg(*[F.count_if((F.trim(c) != "") & _typed(c).isNull()).alias(c) for c in names])
+    wide = text.agg(*[F.count_if((F.trim(c) != "") & typed_column(c).isNull()).alias(c) for c in names])
     pairs = ", ".join(f"'{c}', `{c}`" for c in names)
     return wide.selectExpr(f"stack({len(names)}, {pairs}) AS (column_name, failures)")
 
@@ -78,6 +84,45 @@ def read_raw_csv(spark: SparkSession, path: str, nrows: int | None = None, typed
     return type_raw(df) if typed else df
 
 
+def file_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """path -> column names in its first line, for a bounded list of files."""
+    found = {}
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
+        try:
+            lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            found[path] = tuple(next(csv.reader([(lines.readLine() or "").removeprefix("\ufeff")]), ()))
+        finally:
+            stream.close()
+    return found
+
+
+def read_text(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """S-01 / S-02: raw columns as text with the record itself in ``CORRUPT`` where its
+    fields do not match the header. ``path``: one CSV path, whose files share a header, or
+    a list of files, each read by its own header (columns in any order). A missing column
+    raises."""
+    if isinstance(path, str):
+        groups = {tuple(spark.read.options(**CSV_OPTIONS, multiLine=multi_line).csv(path).columns): [path]}
+    else:
+        groups = {}
+        for file, header in file_headers(spark, path).items():
+            if header:  # an empty file has no rows
+                groups.setdefault(header, []).append(file)
+    parts = []
+    for header, files in groups.items():
+        missing = [c for c in RAW_COLUMNS if c not in header]
+        if missing:
+            raise ValueError(f"columns missing from the header of {files[0]}: {missing}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
+        reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        parts.append(reader.schema(schema).csv(files).select(*RAW_COLUMNS, CORRUPT))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*RAW_TEXT_SCHEMA, T.StructField(CORRUPT, T.StringType())]))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def extract(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame | None:
     """S-01 as the pipeline's first step: None when the path does not exist."""
     try:
@@ -135,11 +180,16 @@ def _is_path(name_or_path: str) -> bool:
     return "/" in name_or_path
 
 
-def insert_jobs(df: DataFrame, target: str, replace: bool = True, path: str | None = None) -> list[str]:
+def insert_jobs(df: DataFrame, target: str, replace: bool = True, path: str | None = None,
+                batch: str | None = None) -> list[str]:
     """S-06: write the fact to a Parquet folder or catalog table (replace or append) under
-    the contract; returns missing columns."""
+    the contract; returns missing columns. With ``batch``, ``target`` is a ``Ledger`` folder
+    to whose table ``jobs`` the batch is appended once."""
     out, missing = fact_contract(df)
-    if _is_path(target):
+    if batch is not None:
+        from .ledger import Ledger
+        Ledger(df.sparkSession, target).append(batch, {"jobs": out})
+    elif _is_path(target):
         write_parquet(out, target, "overwrite" if replace else "append")
     else:
         write_table(out, target, replace, path)
