@@ -8,14 +8,15 @@ not by the number of postings.
 """
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, month_key, null_safe_corr, right_closed_bins, scalar
+from ..functions.ranks import SHARED, counts_below, look_up
 from ..functions.stats import Z_975, chi2_sf, normal_two_sided_p
+from ..session import stored
 from .benchmark import EXP_ORDER, MIN_N, first_cycle, layer2_cohort
 
 # ---- fixed values ------------------------------------------------------------
@@ -188,53 +189,32 @@ def spearman_inputs(market: DataFrame) -> DataFrame:
     return s
 
 
-def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("experience_level_rank",)) -> DataFrame:
+def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("experience_level_rank",), shared: int = SHARED) -> DataFrame:
     """N-08: pairwise Spearman correlations with pairwise deletion and average
     ranks. A pair's ranks are computed over the rows where the pair's
     ``nullable`` columns are present (the other columns are never null after
     cleaning and enrichment), so each pair is ranked on exactly its complete
-    rows. Each rank table has one row per distinct value and is joined back
-    on the value."""
-    s = spearman_inputs(market)
-    cols = list(columns)
-    nullable = list(nullable)
-    pairs = []
-    for i, x in enumerate(cols):
-        for y in cols[i + 1:]:
-            pairs.append((x, y, tuple(sorted({x, y} & set(nullable)))))
+    rows. Values are counted per column in one pass, ranked by range with partition
+    offsets and brought back to the rows from one broadcast table of bounded size
+    (``functions.ranks``)."""
+    s = stored(spearman_inputs(market), "spearman_inputs")
+    cols, nullable = list(columns), list(nullable)
+    pairs = [(x, y, tuple(sorted({x, y} & set(nullable)))) for i, x in enumerate(cols) for y in cols[i + 1:]]
     regimes = sorted({reg for _, _, reg in pairs})
     tags = {reg: ("_".join(reg) or "all") for reg in regimes}
     conds = {reg: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in reg], F.lit(True)) for reg in regimes}
-    # one pass: every (column, value) with its row count in each regime
     long = s.select(*[conds[r].alias(f"_in_{tags[r]}") for r in regimes],
-                    F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v"))
-                                        for c in cols])).alias("x"))
-    hist = (long.where(F.col("x.v").isNotNull())
-            .groupBy(F.col("x.col").alias("col"), F.col("x.v").alias("v"))
-            .agg(*[F.count(F.when(F.col(f"_in_{tags[r]}"), 1)).alias(f"c_{tags[r]}") for r in regimes]))
-    below = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    for r in regimes:
-        t = tags[r]
-        hist = hist.withColumn(f"rk_{t}", F.when(F.col(f"c_{t}") > 0, F.coalesce(F.sum(f"c_{t}").over(below), F.lit(0))
-                                                                       + (F.col(f"c_{t}") + 1) / 2.0))
-    hist = hist.select("col", "v", *[f"rk_{tags[r]}" for r in regimes])
-    # One row per distinct (column, value), stored by column: each column's ranks are joined
-    # from a table whose size the planner knows, so it broadcasts those under its byte limit
-    # and shuffles the others.
-    from ..session import ensure_checkpoint_dir
-    spark = s.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/vacanta/{spark.sparkContext.applicationId}/ranks/{uuid.uuid4().hex}"
-    hist.write.partitionBy("col").parquet(path)
-    stored = spark.read.parquet(path)
-    ranked = s
-    for c in cols:
-        r = stored.where(F.col("col") == c).select(F.col("v").alias(f"_v_{c}"),
-                                                   *[F.col(f"rk_{tags[g]}").alias(f"r_{tags[g]}_{c}") for g in regimes])
-        ranked = ranked.join(r, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+                    F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("v"))
+                                        for i, c in enumerate(cols)])).alias("x"))
+    counts = (long.where(F.col("x.v").isNotNull()).groupBy(F.col("x.col").alias("col"), F.col("x.v").alias("v"))
+              .agg(F.count("*").alias("n"), *[F.count_if(F.col(f"_in_{tags[r]}")).alias(tags[r]) for r in regimes]))
+    below = counts_below(counts, "col", "v", [tags[r] for r in regimes])
+    average = {r: F.when(F.col(tags[r]) > 0, F.col(f"below_{tags[r]}") + (F.col(tags[r]) + 1) / 2.0) for r in regimes}
+    ranks = stored(below.select("col", "v", "n", *[average[r].alias(f"r_{tags[r]}") for r in regimes]), "ranks")
+    ranked = look_up(s, cols, ranks, [f"r_{tags[r]}" for r in regimes], "n", shared)
     aggs = []
     for x, y, reg in pairs:
-        t = tags[reg]
-        both = conds[reg]
+        t, both = tags[reg], conds[reg]
         aggs.append(null_safe_corr(F.when(both, F.col(f"r_{t}_{x}")), F.when(both, F.col(f"r_{t}_{y}"))).alias(f"{x}|{y}"))
     wide = ranked.agg(*aggs)
     stack = ", ".join(f"'{x}', '{y}', `{x}|{y}`" for x, y, _r in pairs)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
 
@@ -76,3 +77,14 @@ def folder_version(spark: SparkSession, path: str) -> tuple[int, int]:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.getContentSummary(jpath).getLength(), fs.getFileStatus(jpath).getModificationTime()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder under the shared checkpoint folder, and a scan of
+    it: the lineage ends there and the planner knows its bytes. The folder goes with the
+    application."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/vacanta/{spark.sparkContext.applicationId}/steps/{uuid.uuid4().hex}/{name}"
+    delete_on_exit(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
