@@ -35,8 +35,9 @@ def test_look_up_with_rare_values(spark):
     cols = ["a", "b", "c"]
     ranks = stored(df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).alias("v")) for i, c in enumerate(cols)])).alias("x"))
                    .where("x.v IS NOT NULL").groupBy("x.col", "x.v").agg(F.count("*").alias("n")).withColumn("r", F.col("v") * 10 + F.col("col")), "ranks")
+    sizes = {r["col"]: (r["k"], r["m"]) for r in ranks.groupBy("col").agg(F.count("*").alias("k"), F.sum("n").alias("m")).collect()}
     for shared in (5, 50, 10_000):
-        got = look_up(df, cols, ranks, ["r"], "n", shared)
+        got = look_up(df, cols, ranks, ["r"], "n", sizes, shared)
         assert got.count() == 3000
         for i, c in enumerate(cols):
             assert got.where(~F.col(f"r_{c}").eqNullSafe(F.col(c) * 10 + i)).count() == 0

@@ -34,30 +34,28 @@ def counts_below(counts: DataFrame, group: str, value: str, numbers: list[str])
             .select(*counts.columns, *[(F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_before_{n}")).alias(f"below_{n}") for n in numbers]))
 
 
-def look_up(rows: DataFrame, columns: list[str], ranks: DataFrame, names: list[str], frequency: str, shared: int = SHARED) -> DataFrame:
+def look_up(rows: DataFrame, columns: list[str], ranks: DataFrame, names: list[str], frequency: str,
+            sizes: dict[int, tuple[int, int]], shared: int = SHARED) -> DataFrame:
     """``rows`` with ``<name>_<column>`` for every column and name: the value of ``names`` in
     ``ranks`` (stored: col, the column's place in ``columns``; v; names; ``frequency``, the
-    number of rows with that value), null for a null value."""
-    sizes = {r["col"]: (r["n"], r["rows"]) for r in ranks.groupBy("col").agg(F.count("*").alias("n"), F.sum(frequency).alias("rows")).collect()}
+    number of rows with that value), null for a null value. ``sizes``: place -> (distinct
+    values, rows with a value)."""
     wide = [i for i in range(len(columns)) if sizes.get(i, (0, 0))[0] > shared]
     common = ranks
     if wide:
         often = reduce(lambda a, b: a | b, [(F.col("col") == i) & (F.col(frequency) * shared >= sizes[i][1]) for i in wide])
         common = ranks.where(~F.col("col").isin(wide) | often)
     table = F.broadcast(common.select("col", "v", *names))  # at most ``shared`` rows per column
-    out = rows
+    out = rows.alias("rows")
     for i, c in enumerate(columns):
-        own = table.alias(f"t{i}")
-        out = out.join(own, (F.lit(i) == F.col(f"t{i}.col")) & (F.col(c).cast("double") == F.col(f"t{i}.v")), "left").select(
-            *out.columns, *[F.col(f"t{i}.{n}").alias(f"{n}_{c}") for n in names])
+        out = out.join(table.alias(f"t{i}"), F.expr(f"t{i}.col = {i} AND CAST(rows.`{c}` AS DOUBLE) = t{i}.v"), "left")
+    out = out.selectExpr("rows.*", *[f"t{i}.`{n}` AS `{n}_{c}`" for i, c in enumerate(columns) for n in names])
     for i in wide:
         c = columns[i]
-        served = F.col(f"{names[0]}_{c}").isNotNull() | F.col(c).isNull()
-        salt = F.when(served, F.monotonically_increasing_id() % 1000)
-        rare = ranks.where((F.col("col") == i) & ~(F.col(frequency) * shared >= sizes[i][1])).select(
-            F.col("v").alias("_v"), F.lit(-1).cast("long").alias("_s"), *[F.col(n).alias(f"_{n}") for n in names])
-        salted = out.withColumn("_salt", F.coalesce(salt, F.lit(-1).cast("long"))).withColumn("_key", F.col(c).cast("double"))
-        out = salted.join(rare, (F.col("_key") == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left").select(
-            *[F.coalesce(F.col(x), F.col(f"_{x.removesuffix('_' + c)}")).alias(x) if x in {f"{n}_{c}" for n in names} else F.col(x)
-              for x in out.columns])
+        rare = ranks.where((F.col("col") == i) & ~(F.col(frequency) * shared >= sizes[i][1])).selectExpr(
+            "v AS _v", "-1L AS _s", *[f"`{n}` AS `_{n}`" for n in names])
+        salted = out.selectExpr("*", f"CAST(`{c}` AS DOUBLE) AS _key", f"CASE WHEN `{names[0]}_{c}` IS NULL AND `{c}` IS NOT NULL THEN -1L "
+                                "ELSE monotonically_increasing_id() % 1000 END AS _salt")
+        own = {f"{n}_{c}": f"coalesce(`{n}_{c}`, `_{n}`) AS `{n}_{c}`" for n in names}
+        out = salted.join(rare, F.expr("_key = _v AND _salt = _s"), "left").selectExpr(*[own.get(x, f"`{x}`") for x in out.columns])
     return out

@@ -210,13 +210,28 @@ def spearman_matrix(market: DataFrame, columns=SPEARMAN_COLUMNS, nullable=("expe
               .agg(F.count("*").alias("n"), *[F.count_if(F.col(f"_in_{tags[r]}")).alias(tags[r]) for r in regimes]))
     below = counts_below(counts, "col", "v", [tags[r] for r in regimes])
     average = {r: F.when(F.col(tags[r]) > 0, F.col(f"below_{tags[r]}") + (F.col(tags[r]) + 1) / 2.0) for r in regimes}
-    ranks = stored(below.select("col", "v", "n", *[average[r].alias(f"r_{tags[r]}") for r in regimes]), "ranks")
-    ranked = look_up(s, cols, ranks, [f"r_{tags[r]}" for r in regimes], "n", shared)
-    aggs = []
+    ranks = stored(below.select("col", "v", "n", *tags.values(), *[average[r].alias(f"r_{tags[r]}") for r in regimes]), "ranks")
+    held = {r["col"]: r for r in ranks.groupBy("col").agg(
+        F.count("*").alias("distinct"), F.sum("n").alias("rows"), *[F.sum(t).alias(t) for t in tags.values()]).collect()}
+    rows = {t: max((r[t] for r in held.values()), default=0) for t in tags.values()}
+    ranked = look_up(s, cols, ranks, [f"r_{t}" for t in tags.values()], "n",
+                     {i: (r["distinct"], r["rows"]) for i, r in held.items()}, shared)
+    # A rank's distance from the mean rank, which is known for a column without nulls.
+    away = ranked.select(*[F.when(conds[reg], F.col(f"r_{t}_{c}") - (rows[t] + 1) / 2.0).alias(f"{t}|{c}")
+                           for reg, t in tags.items() for c in cols])
+    full = {(c, t) for i, c in enumerate(cols) for t in tags.values() if i in held and held[i][t] == rows[t]}
+    sums, rhos = {}, []
     for x, y, reg in pairs:
-        t, both = tags[reg], conds[reg]
-        aggs.append(null_safe_corr(F.when(both, F.col(f"r_{t}_{x}")), F.when(both, F.col(f"r_{t}_{y}"))).alias(f"{x}|{y}"))
-    wide = ranked.agg(*aggs)
+        t, name = tags[reg], f"{x}|{y}"
+        if {(x, t), (y, t)} <= full:
+            sums[name] = F.expr(f"sum(`{t}|{x}` * `{t}|{y}`)")
+            for z in (x, y):
+                sums[f"sq|{t}|{z}"] = F.expr(f"sum(`{t}|{z}` * `{t}|{z}`)")
+            rhos.append(f"try_divide(`{name}`, sqrt(`sq|{t}|{x}` * `sq|{t}|{y}`)) AS `{name}`")
+        else:
+            sums[name] = null_safe_corr(F.col(f"{t}|{x}"), F.col(f"{t}|{y}"))
+            rhos.append(f"`{name}`")
+    wide = away.agg(*[c.alias(n) for n, c in sums.items()]).selectExpr(*rhos)
     stack = ", ".join(f"'{x}', '{y}', `{x}|{y}`" for x, y, _r in pairs)
     return wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (column_a, column_b, spearman_rho)")
 
