@@ -3,8 +3,7 @@
 Everything reduces to grouped aggregates; the statistical tests run on the
 per-stratum 2x2 cell counts (a handful of rows) as Column expressions.
 Ranks (Spearman) come from per-column value histograms, and the live-posting
-density from a per-group daily series whose size is bounded by the calendar,
-not by the number of postings.
+density from a sweep over each group's event days.
 """
 from __future__ import annotations
 
@@ -69,30 +68,37 @@ def market_shape(market: DataFrame) -> DataFrame:
 
 def competition_density(market: DataFrame, keys=DENSITY_KEYS, warmup: int = WARMUP_DAYS,
                         daily: bool = False) -> DataFrame:
-    """N-03: live comparable postings per group and day (+1 on the posting
-    date, -1 on the expiry date, running sum over a dense calendar from the
-    first posting to the last expiry); the median over the valid window
-    [first posting + warmup, last posting] per group. ``daily`` returns the
-    per-day total across groups instead (the market's liquidity curve)."""
+    """N-03: live comparable postings per group and day (+1 on the posting date, -1 on the
+    expiry date), median per group over the days of the valid window [first posting +
+    warmup, last posting]. ``daily`` returns the per-day total across groups instead (the
+    market's liquidity curve).
+
+    An event sweep: the count changes on event days only and is weighted by the days it
+    lasts, so a group has as many rows as it has event days, whatever the calendar's
+    length; a wrong far date adds one row."""
     k = list(keys)
-    m = market.where(F.col("posting_date").isNotNull() | F.col("expiry_date").isNotNull())
-    keyed = m.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
-    starts = keyed.where(F.col("posting_date").isNotNull()).select(*k, F.col("posting_date").alias("day"), F.lit(1).alias("d"))
-    ends = keyed.where(F.col("expiry_date").isNotNull()).select(*k, F.col("expiry_date").alias("day"), F.lit(-1).alias("d"))
-    events = starts.unionByName(ends).groupBy(*k, "day").agg(F.sum("d").alias("delta"))
-    bounds = market.agg(F.min("posting_date").alias("cal_start"), F.max("expiry_date").alias("cal_end"),
-                        F.max("posting_date").alias("win_end"))
-    cal_start, cal_end, win_end = (scalar(bounds, c) for c in ("cal_start", "cal_end", "win_end"))
-    # one calendar per group (groups x days, bounded by the calendar, not by postings)
-    grid = (keyed.select(*k).distinct()
-            .select(*k, F.explode(F.sequence(cal_start, cal_end)).alias("day")))
-    w = Window.partitionBy(*k).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    live = (grid.join(events, k + ["day"], "left")
-            .withColumn("live", F.sum(F.coalesce(F.col("delta"), F.lit(0))).over(w))
-            .where((F.col("day") >= F.date_add(cal_start, warmup)) & (F.col("day") <= win_end)))
+    keyed = market.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
+    bounds = market.agg(F.min("posting_date").alias("first"), F.max("expiry_date").alias("last_expiry"), F.max("posting_date").alias("last"))
+    start = scalar(bounds, "first")
+    opens, closes = F.date_add(start, warmup), F.least(scalar(bounds, "last"), scalar(bounds, "last_expiry"))
+
+    def changes(day, delta):
+        return keyed.where(F.col(day) >= start).groupBy(*k, F.col(day).alias("day")).agg((F.count(F.lit(1)) * delta).alias("delta"))
+    # Every group starts with nothing on the first day, so its first stretch is counted too.
+    known = keyed.where(F.col("posting_date").isNotNull() | F.col("expiry_date").isNotNull())
+    begin = known.select(*k).distinct().select(*k, start.alias("day"), F.lit(0).cast("long").alias("delta"))
+    events = begin.unionByName(changes("posting_date", 1)).unionByName(changes("expiry_date", -1))
+    series = [] if daily else k
+    swept = Window.partitionBy(*series).orderBy("day")
+    live = (events.groupBy(*series, "day").agg(F.sum("delta").alias("delta"))
+            .select(*series, F.greatest("day", opens).alias("since"),
+                    F.least(F.date_sub(F.lead("day").over(swept), 1), closes).alias("until"),
+                    F.sum("delta").over(swept.rowsBetween(Window.unboundedPreceding, 0)).alias("live"))
+            .where(F.col("since") <= F.col("until")))
     if daily:
-        return live.groupBy("day").agg(F.sum("live").alias("total_live"))
-    return live.groupBy(*k).agg(F.median("live").alias("median_live_comparables"))
+        return live.select(F.explode(F.sequence("since", "until")).alias("day"), F.col("live").alias("total_live"))
+    days = (F.datediff("until", "since") + 1).cast("long")
+    return live.groupBy(*k).agg(F.percentile("live", F.lit(0.5), days).alias("median_live_comparables"))
 
 
 def live_postings_total(market: DataFrame, keys=DENSITY_KEYS) -> DataFrame:
