@@ -113,3 +113,34 @@ def test_table_contract_serves_the_counter_views(spark, tmp_path):
     assert counter_regime(stored).count() > 0
     with pytest.raises(AnalysisException):
         IO.load_postings(spark, "parquet", f"{tmp_path}/none")
+
+
+def test_pruning_keeps_the_contract(spark):
+    from vacanta.operators import enrich as E
+    jobs = Postings(spark, SF_SMALL).jobs()
+    pruned = E.prune_low_value(jobs)
+    assert set(jobs.columns) - set(pruned.columns) == set(E.LOW_VALUE_COLUMNS)
+    with pytest.raises(ValueError, match="sector"):
+        E.prune_low_value(jobs, ["sector"])
+    with pytest.raises(ValueError, match="absent"):
+        E.prune_low_value(pruned)
+
+
+def test_profiles_of_batches_add_up(spark):
+    jobs = Postings(spark, SF_SMALL).jobs().select("job_id", "sector", "salary_min", "posting_date")
+    cut = F.hash("job_id") % 3 == 0
+    parts = Q.profile_sketches(jobs.where(cut)).unionByName(Q.profile_sketches(jobs.where(~cut))).unionByName(Q.profile_sketches(jobs.limit(0)))
+    exact = {r.column_name: r for r in Q.column_profile(jobs).collect()}
+    for r in Q.merged_profile(parts).collect():
+        want = exact[r.column_name]
+        assert (r.nulls, r.zeros or 0) == (want.nulls, want.zeros or 0) and r.rows == jobs.count()
+        assert abs(r.distinct_values - want.distinct_values) <= 0.03 * want.distinct_values
+    plan = Q.column_profile(jobs)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "Generate" not in plan
+
+
+def test_appended_catalog_table_is_dropped(spark):
+    from vacanta.plans import catalog
+    before = {t.name for t in spark.catalog.listTables()}
+    assert catalog.queries()["jobs_table_append"](spark, SF_SMALL).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before

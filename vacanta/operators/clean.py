@@ -8,7 +8,7 @@ turns one of them into an action that raises.  Order of the chain in
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,12 +118,7 @@ def assert_no_dead_columns(df: DataFrame) -> None:
 def date_roundtrip_check(df: DataFrame, cols=DATE_COLS) -> DataFrame:
     """C-04 report: per date column, values that do not survive a round trip
     through a ``YYYY-MM-DD`` date (non-null text that is not such a date)."""
-    aggs = []
-    for c in cols:
-        parsed = F.try_to_date(F.col(c), "yyyy-MM-dd")
-        bad = F.col(c).isNotNull() & (parsed.isNull() | (F.date_format(parsed, "yyyy-MM-dd") != F.col(c)))
-        aggs.append(F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias(c))
-    wide = df.agg(*aggs)
+    wide = df.agg(*[n.alias(c) for c, n in lossy_dates(cols).items()])
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     return wide.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, lossy_values)")
 
@@ -282,24 +277,20 @@ def flag_duplicates(df: DataFrame, first_seen_order=("metadata_originalPostingDa
             .drop("_first", place))
 
 
-def validate_rules(df: DataFrame, id_col: str = "metadata_jobPostId") -> DataFrame:
-    """C-09: one row per post-condition with its violation count (0 = holds).
-
-    Uniqueness of the id is checked as ``count - count(distinct)``; all other
-    rules are conditional counts in the same single aggregation."""
+def rule_counts(df: DataFrame, id_col: str = "metadata_jobPostId") -> dict[str, Column]:
+    """C-09: the violation count of every post-condition that holds row by row, as an
+    aggregate: they fit into any pass over the rows, also as observed metrics of a write."""
     flag = F.col("salary_flag")
     lo, hi = F.col("salary_minimum"), F.col("salary_maximum")
 
     def n(cond: Column) -> Column:
-        return F.sum(F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)).cast("long")
+        return F.coalesce(F.sum(F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)), F.lit(0)).cast("long")
 
     def outside(x, a, b):
         return x.isNull() | (x < a) | (x > b)
 
     comparable = F.col("metadata_expiryDate").isNotNull() & F.col("metadata_newPostingDate").isNotNull()
-    rules = {
-        "unique_id": (F.count(F.lit(1)) - F.count_distinct(F.col(id_col))
-                      - F.when(F.count(F.col(id_col)) < F.count(F.lit(1)), 1).otherwise(0)).cast("long"),
+    return {
         "title_not_null": n(F.col("title").isNull()),
         "no_synthetic": n(is_synthetic(id_col)),
         "ok_max_in_range": n((flag == "ok") & outside(hi, SALARY_FLOOR, SALARY_CEILING)),
@@ -312,9 +303,33 @@ def validate_rules(df: DataFrame, id_col: str = "metadata_jobPostId") -> DataFra
         "paired_nulls": n(lo.isNull() != hi.isNull()),
         "expiry_after_posting": n(comparable & ~(F.col("metadata_expiryDate") > F.col("metadata_newPostingDate"))),
     }
+
+
+def repeated_ids(df: DataFrame, id_col: str = "metadata_jobPostId") -> DataFrame:
+    """C-09's rule over all rows: (rule, violations) with the rows that share their id (nulls
+    share theirs) beyond the first of each. Reads the id column alone."""
+    return (df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.lit("unique_id").alias("rule"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("violations")))
+
+
+def validate_rules(df: DataFrame, id_col: str = "metadata_jobPostId") -> DataFrame:
+    """C-09: one row per post-condition with its violation count (0 = holds): the rules that
+    hold row by row in one aggregation, the ids' uniqueness from the id column."""
+    rules = rule_counts(df, id_col)
     wide = df.agg(*[v.alias(k) for k, v in rules.items()])
     stack = ", ".join(f"'{k}', `{k}`" for k in rules)
-    return wide.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, violations)")
+    return repeated_ids(df, id_col).unionByName(wide.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, violations)"))
+
+
+def lossy_dates(cols=DATE_COLS) -> dict[str, Column]:
+    """C-04: per date column the count of non-null texts that are no ``YYYY-MM-DD`` date, as
+    an aggregate."""
+    out = {}
+    for c in cols:
+        parsed = F.try_to_date(F.col(c), "yyyy-MM-dd")
+        bad = F.col(c).isNotNull() & (parsed.isNull() | (F.date_format(parsed, "yyyy-MM-dd") != F.col(c)))
+        out[c] = F.coalesce(F.sum(F.when(bad, 1).otherwise(0)), F.lit(0)).cast("long")
+    return out
 
 
 def int_range_check(df: DataFrame, widths: dict = INT_WIDTHS) -> DataFrame:
@@ -335,6 +350,23 @@ def raise_on_violations(report: DataFrame, count_col: str = "violations", name_c
         raise AssertionError("; ".join(f"{r[name_col]}: {r[count_col]}" for r in bad))
 
 
+def raise_on_counts(counts: dict[str, int]) -> None:
+    """Raise AssertionError listing every name with a non-zero count."""
+    bad = {k: n for k, n in counts.items() if n}
+    if bad:
+        raise AssertionError("; ".join(f"{k}: {n}" for k, n in bad.items()))
+
+
+def clean_rows(df: DataFrame, prune: bool = False, watch=lambda step, rows: rows) -> DataFrame:
+    """C-12 without the duplicate flags: every row cleaned on its own, in one pass without a
+    shuffle. ``watch(step, rows)`` sees the rows after each step that removes some."""
+    out = watch("ghost rows removed", remove_ghost_rows(watch("raw", df)))
+    out = watch("synthetic rows removed", remove_synthetic_rows(out))
+    if prune:
+        out = prune_dead_columns(out)
+    return add_derived_columns(normalize_text(cap_experience(fix_salaries(parse_categories(parse_dates(out))))))
+
+
 def clean_dataset(df: DataFrame, prune: bool = False, check: bool = True):
     """C-12: the cleaning chain; returns ``(postings, bridge)``.
 
@@ -342,16 +374,23 @@ def clean_dataset(df: DataFrame, prune: bool = False, check: bool = True):
     actions that raise; ``prune`` runs the dead-column scan (one small action)."""
     if check:
         raise_on_violations(date_roundtrip_check(df), "lossy_values", "column_name")
-    out = remove_synthetic_rows(remove_ghost_rows(df))
-    if prune:
-        out = prune_dead_columns(out)
-    out = parse_dates(out)
-    out = parse_categories(out)
-    out = fix_salaries(out)
-    out = cap_experience(out)
-    out = normalize_text(out)
-    out = add_derived_columns(out)
-    out = flag_duplicates(out)
+    out = flag_duplicates(clean_rows(df, prune))
     if check:
         raise_on_violations(validate_rules(out))
     return out, category_bridge(out)
+
+
+def clean_stored(df: DataFrame, store, prune: bool = False, steps=None) -> DataFrame:
+    """C-12 in one pass over ``df``: the rows are cleaned and written by ``store`` (rows ->
+    the written rows) while that write counts, as observed metrics, the dates that are
+    lost, the broken rules and the rows after each step (``steps``, a ``StepCounts``).
+    Violations raise; then the duplicate flags come from narrow columns of what was
+    written."""
+    dates, rules = Observation(), Observation()
+    watch = steps.watch if steps is not None else (lambda step, rows: rows)
+    seen = df.observe(dates, *[n.alias(c) for c, n in lossy_dates().items()])
+    rows = clean_rows(seen, prune, watch)
+    written = store(rows.observe(rules, *[n.alias(r) for r, n in rule_counts(rows).items()]))
+    raise_on_counts(dates.get | rules.get)
+    raise_on_violations(repeated_ids(written))
+    return flag_duplicates(written)

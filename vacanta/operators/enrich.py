@@ -248,3 +248,18 @@ def schema_report(df: DataFrame, expected=JOBS_COLUMNS) -> DataFrame:
     rows = [("missing", c) for c in expected if c not in df.columns] + \
            [("extra", c) for c in df.columns if c not in expected]
     return spark.createDataFrame(rows, "kind string, column_name string")
+
+
+#: Derived columns of little value (E-10): title keywords stand in for a text that the source
+#: lacks, and the score does not follow its own inputs. No contract column is among them.
+LOW_VALUE_COLUMNS = ["skill_count", "competitiveness_score"]
+
+
+def prune_low_value(jobs: DataFrame, columns=LOW_VALUE_COLUMNS, contract=JOBS_COLUMNS) -> DataFrame:
+    """E-10: ``jobs`` without the columns that the value report found of little use; one that
+    the fact's contract names, or that is not there, raises."""
+    kept = [c for c in columns if c in contract]
+    absent = [c for c in columns if c not in jobs.columns]
+    if kept or absent:
+        raise ValueError(f"cannot prune contract columns {kept} or absent columns {absent}")
+    return jobs.drop(*columns)

@@ -6,7 +6,9 @@ are turned into long form with ``stack``. Nothing is collected to the driver.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,23 +133,59 @@ def top_sectors(jobs: DataFrame, limit: int = 10) -> DataFrame:
             .orderBy(F.desc("count"), "sector").limit(limit))
 
 
+def _numeric(df: DataFrame) -> set[str]:
+    return {f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType,
+                                                                        T.FloatType, T.ShortType, T.ByteType))}
+
+
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Q-06: per column type, nulls, null %, distinct values, zeros (numeric).
-    Exact distinct counts (the reference's ``nunique``) expand each row once
-    per column inside the aggregation; ``approx=True`` uses HyperLogLog++
-    sketches instead (no expansion, ~1 % error) for very wide tables."""
-    num = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType,
-                                                                         T.FloatType, T.ShortType, T.ByteType))}
-    aggs = [F.count(F.lit(1)).alias("__n")]
+
+    Exact counts (the reference's ``nunique``) take one narrow scan per column of ``df``, a
+    stored table: its rows shrink to (value, rows) in each task before they are shuffled,
+    and no row is expanded. ``approx=True`` is one pass with HyperLogLog++ sketches."""
+    num, types = _numeric(df), {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if approx:
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        for c in df.columns:
+            aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.approx_count_distinct(c).alias(f"{c}__distinct"),
+                     (F.count_if(F.col(c) == 0) if c in num else F.lit(None).cast("long")).alias(f"{c}__zeros")]
+        rows = ", ".join(f"'{c}', '{types[c]}', `{c}__nulls`, `{c}__distinct`, `{c}__zeros`" for c in df.columns)
+        long = df.agg(*aggs).selectExpr("__n", f"stack({len(df.columns)}, {rows}) AS (column_name, dtype, nulls, distinct_values, zeros)")
+    else:
+        parts = []
+        for c in df.columns:
+            values = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("rows"))
+            zeros = F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("rows"))), F.lit(0)) if c in num else F.lit(None).cast("long")
+            parts.append(values.agg(
+                F.coalesce(F.sum("rows"), F.lit(0)).alias("__n"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
+                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("rows"))), F.lit(0)).alias("nulls"),
+                F.count("v").alias("distinct_values"), zeros.alias("zeros")))
+        long = reduce(lambda a, b: a.unionByName(b), parts)
+    return long.withColumn("null_pct", F.try_divide(F.col("nulls") * 100.0, F.col("__n"))).drop("__n")
+
+
+#: Size of a profile's sketches: 2^14 counters give a standard error under 1 %.
+PROFILE_LG_K = 14
+
+
+def profile_sketches(df: DataFrame) -> DataFrame:
+    """Q-06 of one batch in a form that adds up: per column its rows, nulls, zeros and a
+    distinct-count sketch. One pass, no row expanded; stored beside the batch."""
+    num, aggs = _numeric(df), [F.count(F.lit(1)).alias("__n")]
     for c in df.columns:
-        aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}__nulls"),
-                 (F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"{c}__distinct"),
-                 (F.count(F.when(F.col(c) == 0, 1)) if c in num else F.lit(None).cast("long")).alias(f"{c}__zeros")]
-    wide = df.agg(*aggs)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = ", ".join(f"'{c}', '{types[c]}', `{c}__nulls`, `{c}__distinct`, `{c}__zeros`" for c in df.columns)
-    long = wide.selectExpr("__n", f"stack({len(df.columns)}, {rows}) AS (column_name, dtype, nulls, distinct_values, zeros)")
-    return long.withColumn("null_pct", F.col("nulls") * 100.0 / F.col("__n")).drop("__n")
+        hashed = F.when(F.col(c).isNotNull(), F.xxhash64(c))
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.hll_sketch_agg(hashed, F.lit(PROFILE_LG_K)).alias(f"{c}__sketch"),
+                 (F.count_if(F.col(c) == 0) if c in num else F.lit(None).cast("long")).alias(f"{c}__zeros")]
+    rows = ", ".join(f"'{c}', __n, `{c}__nulls`, `{c}__zeros`, `{c}__sketch`" for c in df.columns)
+    return df.agg(*aggs).selectExpr(f"stack({len(df.columns)}, {rows}) AS (column_name, rows, nulls, zeros, sketch)")
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """Q-06 of a table that grew by batches, from its batches' ``profile_sketches`` alone."""
+    return sketches.groupBy("column_name").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.sum("zeros").alias("zeros"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
 
 
 def null_pattern(df: DataFrame) -> DataFrame:
@@ -296,20 +334,31 @@ def outlier_impact(jobs: DataFrame, ceiling: int = 100_000) -> DataFrame:
 
 def text_repair_impact(raw: DataFrame) -> DataFrame:
     """Q-16: rows changed by the repair, rows with invisible characters,
-    distinct titles/companies before, after and case-folded."""
-    t, c = F.col("title"), F.col("postedCompany_name")
-    tr, cr = repair(t), repair(F.upper(c))
-    return raw.agg(
-        F.count(F.when(t != tr, 1)).alias("title_ws_rows"),
-        F.count(F.when(t.rlike(INVISIBLE_CLASS), 1)).alias("title_invisible_rows"),
-        F.count(F.when(c.rlike(INVISIBLE_CLASS), 1)).alias("company_invisible_rows"),
-        F.count(F.when(t.contains("\u200d"), 1)).alias("emoji_zwj_rows"),
-        F.count_distinct(t).alias("title_distinct_raw"),
-        F.count(F.when(c != cr, 1)).alias("company_ws_rows"),
-        F.count_distinct(c).alias("company_distinct_raw"),
-        F.count_distinct(tr).alias("title_distinct_clean"),
-        F.count_distinct(F.lower(tr)).alias("title_distinct_folded"),
-        F.count_distinct(cr).alias("company_distinct_clean"))
+    distinct titles/companies before, after and case-folded.
+
+    Titles and companies are counted once each; the repair and its patterns run on the
+    distinct ones, weighted by their rows."""
+    def counted(c: str) -> DataFrame:
+        return raw.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+    def weight(cond) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+    def distinct(df: DataFrame, x: Column) -> Column:
+        return scalar(df.select(x.alias("y")).distinct().agg(F.count("y").alias("k")), "k")
+    titles = counted("title").withColumn("r", repair(F.col("x")))
+    companies = counted("postedCompany_name").withColumn("r", repair(F.upper("x")))
+    company = companies.agg(weight(F.col("x").rlike(INVISIBLE_CLASS)).alias("hidden"), weight(F.col("x") != F.col("r")).alias("changed"),
+                            F.count("x").alias("raw"))
+    return titles.agg(
+        weight(F.col("x") != F.col("r")).alias("title_ws_rows"),
+        weight(F.col("x").rlike(INVISIBLE_CLASS)).alias("title_invisible_rows"),
+        weight(F.col("x").contains("\u200d")).alias("emoji_zwj_rows"),
+        F.count("x").alias("title_distinct_raw")).select(
+        "title_ws_rows", "title_invisible_rows", scalar(company, "hidden").alias("company_invisible_rows"), "emoji_zwj_rows",
+        "title_distinct_raw", scalar(company, "changed").alias("company_ws_rows"), scalar(company, "raw").alias("company_distinct_raw"),
+        distinct(titles, F.col("r")).alias("title_distinct_clean"), distinct(titles, F.lower("r")).alias("title_distinct_folded"),
+        distinct(companies, F.col("r")).alias("company_distinct_clean"))
 
 
 def category_stats(clean: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -412,10 +461,33 @@ def type_cohort_counts(finance: DataFrame) -> DataFrame:
     return finance.groupBy("employment_type", "employment_cohort").agg(F.count(F.lit(1)).alias("postings"))
 
 
+class StepCounts:
+    """Q-07 / Q-02 as the data flows: rows, columns and null cells after each watched step,
+    counted by the write that the steps are part of; no further scan. Watch rows that no
+    shuffle of that write follows: a map task that runs again after a lost executor would
+    count twice."""
+
+    def __init__(self):
+        self.watched: list[tuple[str, int, Observation]] = []
+
+    def watch(self, step: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        self.watched.append((step, len(df.columns), seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(null_count(df)), F.lit(0)).alias("null_cells"))
+
+    def ledger(self, spark) -> DataFrame:
+        """(step_no, step, rows, columns, null_cells, rows_removed) once the writes are done."""
+        rows, before = [], None
+        for i, (step, columns, seen) in enumerate(self.watched):
+            n = seen.get["rows"]
+            rows.append((i, step, n, columns, seen.get["null_cells"], None if before is None else before - n))
+            before = n
+        return spark.createDataFrame(rows, "step_no int, step string, rows long, columns int, null_cells long, rows_removed long")
+
+
 def step_ledger(steps: list[tuple[str, DataFrame]]) -> DataFrame:
     """Q-07 (opt-in, one action per step's aggregate): rows, columns and null
     cells after each named step, with rows removed relative to the previous."""
-    from functools import reduce
     parts = []
     for i, (name, df) in enumerate(steps):
         parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.sum(null_count(df)).alias("null_cells"))

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from ..operators import clean as C
 from ..operators import enrich as E
 from ..operators.finance import finance_features
+from ..operators.quality import StepCounts
 from ..sources import io as IO
 from ..sources import quarantine
 
@@ -20,7 +21,8 @@ def run_pipeline(spark: SparkSession, csv_path: str, out_dir: str, nrows: int |
     The CSV is parsed once, into ``loaded``: every row is accepted or rejected with its
     reasons (``quarantine``). Rejected rows raise before a fact is written, unless
     ``keep_rejects`` leaves them under ``loaded`` and goes on with the others. Broken rules
-    raise before the jobs are written."""
+    raise before the jobs are written. The rows left after each step are counted by the
+    writes and listed under ``steps``."""
     try:
         text = IO.read_text(spark, csv_path, multi_line)
     except AnalysisException as e:
@@ -31,10 +33,12 @@ def run_pipeline(spark: SparkSession, csv_path: str, out_dir: str, nrows: int |
     if not keep_rejects:
         C.raise_on_violations(quarantine.reject_report(rejected), "rows", "reason")
     IO.insert_raw(raw, f"{out_dir}/raw", replace)
-    IO.write_parquet(C.clean_dataset(raw, prune=True, check=False)[0], f"{out_dir}/clean")
-    cleaned = spark.read.parquet(f"{out_dir}/clean")
-    C.raise_on_violations(C.validate_rules(cleaned))
-    jobs = E.feature_enrichment(cleaned)
-    IO.insert_jobs(jobs, f"{out_dir}/jobs", replace)
+    def store(rows):
+        IO.write_parquet(rows, f"{out_dir}/clean_rows")
+        return spark.read.schema(rows.schema).parquet(f"{out_dir}/clean_rows")
+    steps = StepCounts()
+    IO.write_parquet(C.clean_stored(raw, store, prune=True, steps=steps), f"{out_dir}/clean")
+    IO.insert_jobs(steps.watch("enriched", E.feature_enrichment(spark.read.parquet(f"{out_dir}/clean"))), f"{out_dir}/jobs", replace)
+    IO.write_parquet(steps.ledger(spark), f"{out_dir}/steps")
     IO.write_parquet(finance_features(spark.read.parquet(f"{out_dir}/jobs")), f"{out_dir}/finance")
     return True

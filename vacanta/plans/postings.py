@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import enrich as E
-from ..session import delete_on_exit, ensure_checkpoint_dir, folder_version
+from ..session import delete_on_exit, ensure_checkpoint_dir, folder_version, stored
 from ..sources.bind import raw_postings
 
 BOUND_TABLES = ("customer", "lineitem", "orders", "part", "supplier")
@@ -31,10 +31,9 @@ def _materialize_enabled(spark: SparkSession) -> bool:
     return spark.conf.get("spark.vacanta.materialize", "true").lower() == "true"
 
 
-def materialize(spark: SparkSession, df_fn, key: tuple, name: str, check=None) -> DataFrame:
+def materialize(spark: SparkSession, df_fn, key: tuple, name: str) -> DataFrame:
     """Write ``df_fn()`` once per (application, key) as Parquet in the shared
-    checkpoint folder and return a scan of it; ``check`` runs once on what was written.
-    The folder goes with the application."""
+    checkpoint folder and return a scan of it. The folder goes with the application."""
     app = spark.sparkContext.applicationId
     full = (app,) + key + (name,)
     with _LOCK:
@@ -45,8 +44,6 @@ def materialize(spark: SparkSession, df_fn, key: tuple, name: str, check=None) -
             path = f"{root}/{digest}/{name}"
             delete_on_exit(spark, root)
             df_fn().write.mode("overwrite").parquet(path)
-            if check is not None:
-                check(spark.read.parquet(path))
             _WRITTEN[full] = path
     return spark.read.parquet(path)
 
@@ -73,14 +70,7 @@ class Postings:
         """Cleaned postings (source column names, typed)."""
         if not self.mat:
             return C.clean_dataset(self.raw(), check=False)[0]
-        return materialize(self.spark, self._clean_checked, self._key(), "clean",
-                           check=lambda written: C.raise_on_violations(C.validate_rules(written)))
-
-    def _clean_checked(self) -> DataFrame:
-        """The dates are checked on the raw layer, before the rows are written; the
-        validation rules on the written rows (``clean``)."""
-        C.raise_on_violations(C.date_roundtrip_check(self.raw()), "lossy_values", "column_name")
-        return C.clean_dataset(self.raw(), check=False)[0]
+        return materialize(self.spark, lambda: C.clean_stored(self.raw(), lambda rows: stored(rows, "clean_rows")), self._key(), "clean")
 
     def bridge(self) -> DataFrame:
         return C.category_bridge(self.clean())

@@ -310,6 +310,26 @@ def q_e10(spark, sf):
     return wide.selectExpr(f"stack({len(_E10_COLS)}, {rows}) AS ({names})")
 
 
+@register("pruned_jobs", _j(f"SELECT {', '.join(c for c in E.JOBS_COLUMNS)} FROM jobs"))
+def q_pruned_jobs(spark, sf):
+    """E-10: the fact without the derived columns of little value; the contract's columns stay."""
+    pruned = E.prune_low_value(Postings(spark, sf).jobs())
+    return pruned.select(*[c for c in pruned.columns if c in E.JOBS_COLUMNS])
+
+
+_PRUNED_DEAD = ", ".join(f"count(DISTINCT {c}) > 1 AS {c}" for c in RAW_COLUMNS)
+
+
+@register("live_columns_after_prune", with_ctes(BIND, f"kept AS (SELECT * FROM raw WHERE {_KEPT})",
+                                                body=f"SELECT column_name, true AS live FROM (UNPIVOT (SELECT {_PRUNED_DEAD} FROM kept) ON * INTO NAME column_name VALUE live) WHERE live"))
+def q_live_columns(spark, sf):
+    """C-11 after C-03: the extract without its dead columns passes the check that none is
+    left; the columns that it holds."""
+    pruned = C.prune_dead_columns(_kept(spark, sf))
+    C.assert_no_dead_columns(pruned)
+    return C.dead_column_scan(pruned).select("column_name", (~F.col("is_dead")).alias("live"))
+
+
 @register("table_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in TABLES))
 def q_table_counts(spark, sf):
     """S-11: rows per input table."""

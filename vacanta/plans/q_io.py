@@ -14,7 +14,7 @@ from ..sources.bind import RAW_COLUMNS
 from ..sources.ledger import Ledger
 from ..streaming import chunks
 from ..streaming.ingest import clean_stateless, start_ingest
-from .oracle_base import BIND, CLEAN, FIN, JOBS, with_ctes
+from .oracle_base import BIND, CLEAN, FIN, GHOST_SQL, JOBS, with_ctes
 from .etl import run_pipeline
 from .postings import Postings
 from .registry import register
@@ -82,8 +82,9 @@ def q_jobs_table_append(spark, sf):
     jobs = Postings(spark, sf).jobs()
     IO.insert_jobs(jobs, name, replace=True, path=_scratch(spark, sf, name))
     IO.insert_jobs(jobs, name, replace=False)
-    return (IO.load_postings(spark, "table", name, ["job_id", "title", "salary_currency"]).where("job_id IS NOT NULL")
-            .groupBy("job_id", "title", "salary_currency").agg(F.count("*").alias("copies")))
+    appended = IO.load_postings(spark, "table", name, ["job_id", "title", "salary_currency"]).where("job_id IS NOT NULL")
+    spark.sql(f"DROP TABLE {name}")  # its files lie in the scratch folder and go with the application
+    return (appended.groupBy("job_id", "title", "salary_currency").agg(F.count("*").alias("copies")))
 
 
 _NULL_COUNT = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in RAW_COLUMNS)
@@ -185,3 +186,35 @@ def q_load_reject_report(spark, sf):
     accepted, rejected = quarantine.load(spark, source, _scratch(spark, sf, "loaded"))
     return (accepted.agg(F.count("*").alias("records")).select(F.lit("accepted").alias("outcome"), "records")
             .unionByName(quarantine.reject_report(rejected).select(F.col("reason").alias("outcome"), F.col("rows").alias("records"))))
+
+
+_BY_YEAR = [("y1", "posting_year < 1996"), ("y2", "posting_year >= 1996 AND posting_year < 1999"), ("y3", "posting_year >= 1999 OR posting_year IS NULL")]
+
+
+@register("appended_profile", with_ctes(BIND, CLEAN, JOBS, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, true AS distinct_within_3_pct FROM jobs"
+    for c in JOBS_COLUMNS)))
+def q_appended_profile(spark, sf):
+    """Q-06: profiles stored with each batch of an appended fact and merged without a look at
+    its rows; the merged distinct counts are held against exact ones."""
+    from ..operators.quality import column_profile, merged_profile, profile_sketches
+    ledger, jobs = Ledger(spark, _scratch(spark, sf, "ledger")), Postings(spark, sf).jobs().select(*JOBS_COLUMNS)
+    year = F.year("posting_date")
+    for name, where in _BY_YEAR:
+        part = jobs.withColumn("posting_year", year).where(where).drop("posting_year")
+        ledger.append(name, {"jobs": part, "profiles": lambda done: profile_sketches(done["jobs"])})
+    exact = column_profile(ledger.read("jobs", jobs.schema)).select("column_name", F.col("distinct_values").alias("exact"))
+    return merged_profile(ledger.read("profiles")).join(exact, "column_name").select(
+        "column_name", "rows", "nulls", (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.03 * F.col("exact")).alias("distinct_within_3_pct"))
+
+
+@register("run_step_counts", with_ctes(BIND, CLEAN, JOBS, body=f"""SELECT *, lag(records) OVER (ORDER BY step_no) - records AS rows_removed FROM (
+    SELECT 0 AS step_no, 'raw' AS step, count(*) AS records FROM raw
+    UNION ALL SELECT 1, 'ghost rows removed', count(*) FROM raw WHERE NOT ({GHOST_SQL})
+    UNION ALL SELECT 2, 'synthetic rows removed', count(*) FROM clean UNION ALL SELECT 3, 'enriched', count(*) FROM jobs)"""))
+def q_run_step_counts(spark, sf):
+    """Q-07 / Q-02: the rows left after each step of an ETL run, counted by its own writes."""
+    source, out = _scratch(spark, sf, "raw_csv"), _scratch(spark, sf, "etl")
+    IO.write_csv(Postings(spark, sf).raw(), source)
+    run_pipeline(spark, source, out)
+    return spark.read.parquet(f"{out}/steps").select("step_no", "step", F.col("rows").alias("records"), "rows_removed")
