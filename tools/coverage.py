@@ -10,8 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from vacanta.plans import catalog  # noqa: E402
 from vacanta.operators import benchmark, clean, enrich, finance, market, quality, seeker, stats  # noqa: E402
-from vacanta.sources import io as sio  # noqa: E402
-from vacanta.streaming import ingest  # noqa: E402
+from vacanta.functions import quantile, ranks  # noqa: E402
+from vacanta.sources import io as sio, ledger, quarantine  # noqa: E402
+from vacanta.streaming import chunks, ingest  # noqa: E402
 
 ID_RE = re.compile(r"\b([SFJAWOUCEMHKPNQT])-(\d{2})[bc]?\b")
 
@@ -66,7 +67,7 @@ def main():
         for a, b in ID_RE.findall(doc):
             by_id.setdefault(f"{a}-{b}", []).append(k)
     ops: dict[str, list[str]] = {}
-    for mod in (benchmark, clean, enrich, finance, market, quality, seeker, stats, sio, ingest):
+    for mod in (benchmark, clean, enrich, finance, market, quality, seeker, stats, sio, ingest, chunks, ledger, quarantine, quantile, ranks):
         for name, obj in inspect.getmembers(mod, inspect.isfunction):
             if obj.__module__ != mod.__name__:
                 continue
