@@ -163,3 +163,48 @@ def test_token_file_query(spark):
         at += len(ids)
     got = queries.queries()["op10_token_files"](spark, SF_SMALL).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>  ", "no <|endoftext| here"]
+
+
+@pytest.mark.parametrize("name,end", FILES)
+def test_special_strings_as_the_library_reads_them(name, end):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    coder = Encoder(public_tokenizers.path(name), end, special=True)
+    for text, ids in zip(SPECIAL + ODD, coder.encode(SPECIAL + ODD)):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, end], repr(text)
+
+
+def test_queries_on_special_strings(spark, tmp_path):
+    """op5 and op10 give the ids of the plain library, counts included."""
+    rows = [(k, t) for k, t in enumerate(SPECIAL + ["plain words here", None])]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for query, name, end in (("op5_packing", FILES[0][0], 0), ("op10_token_files", FILES[1][0], 1)):
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        want = {}
+        for d, t in rows:
+            ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, end]
+            want[d] = zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+        got = queries.queries()[query](spark, str(tmp_path)).collect()
+        assert {r["doc_id"]: r["ids_crc32"] for r in got} == want and len(got) == len(rows)
+
+
+def test_ids_that_do_not_fit_raise(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with pytest.raises(Exception, match="does not fit"):
+        token_ids(docs(spark, ["a text"]), path, 1 << 17, kind="<u2").collect()
+    assert token_ids(docs(spark, ["a text"]), path, 1 << 17).count() == 1
+
+
+def test_counts_beside_the_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = token_ids(docs(spark, [(None, "a b a"), (2, None)]).repartition(3), path, 1, counted=True)
+    total = Counter()
+    for r in found.where("counts IS NOT NULL").collect():
+        assert r.doc_id is None and r.ids is None
+        total.update({k: int(n) for k, n in enumerate(np.frombuffer(r.counts, np.int64)) if n})
+    want = Counter()
+    for r in found.where("counts IS NULL").collect():
+        want.update(np.frombuffer(r.ids, "<u4").tolist())
+    assert total == want and sum(want.values()) == 5

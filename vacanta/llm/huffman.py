@@ -145,13 +145,17 @@ def _documents(code: Code, payload: bytes) -> tuple[list, list[np.ndarray]]:
             np.split(ids, np.cumsum(sizes, dtype=np.int64)[:-1]) if docs else [])
 
 
-def write(ids: DataFrame, path: str, kind: str = "<u4") -> None:
-    """Write the documents of ``ids`` (doc_id, ids: numbers of ``kind``), a stored table
-    that is read twice, as one file folder at ``path``."""
+def write(ids: DataFrame, path: str, kind: str = "<u4", counts: DataFrame | None = None) -> None:
+    """Write the documents of ``ids`` (doc_id, ids: numbers of ``kind``), a stored table,
+    as one file folder at ``path``. ``counts``: one column with arrays of counts by id
+    (8-byte numbers) whose sum is the documents'; without it they are counted here, in a
+    further pass."""
+    given = counts is not None
+
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.zeros(1, np.int64)
-        for value in batch.column("ids"):
-            own = np.bincount(np.frombuffer(value.as_buffer(), kind))
+        for value in batch.column(0):
+            own = np.frombuffer(value.as_buffer(), np.int64) if given else np.bincount(np.frombuffer(value.as_buffer(), kind))
             if len(own) > len(found):
                 found = np.pad(found, (0, len(own) - len(found)))
             found[:len(own)] += own
@@ -159,9 +163,9 @@ def write(ids: DataFrame, path: str, kind: str = "<u4") -> None:
         return pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(found[seen], pa.int64())})
 
     # At most one row per id of the vocabulary.
-    counts = {r["id"]: r["n"] for r in map_batches(ids.select("ids"), count, "id long, n long")
-              .groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    lengths = code_lengths(counts)
+    total = {r["id"]: r["n"] for r in map_batches(ids.select("ids") if counts is None else counts, count, "id long, n long")
+             .groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    lengths = code_lengths(total)
     spark = ids.sparkSession
     spark.createDataFrame([(int(s), b) for s, b in sorted(lengths.items())], "id long, bits int") \
         .coalesce(1).write.parquet(f"{path}/code")

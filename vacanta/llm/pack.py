@@ -86,11 +86,11 @@ def _places(bins: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64).T for k, v in rows.items()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids, task, nth): documents cut into pieces, the first
     one taking the remainder; ``nth`` numbers a task's pieces of equal length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = encoder(tokenizer, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        coder, task, seen = encoder(tokenizer, end_id, special), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for first_row, texts in encoded(batch, coder):
                 row, piece, start, length, ids, nth = [], [], [], [], [], []
@@ -118,10 +118,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return given.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset): every piece with its ids
-    and its place."""
-    cut = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    and its place. ``special``: strings of special tokens in a text are their ids."""
+    cut = stored(pieces(docs, tokenizer, capacity, end_id, special), "pieces")
     per_task = stored(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(plan(counts, capacity))

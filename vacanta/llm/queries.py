@@ -66,7 +66,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence."""
-    packed = pack.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer("byte_bpe_50k.json"))
+    packed = pack.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer("byte_bpe_50k.json"), special=True)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -101,9 +101,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as read back from the token file."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    path = new_path(spark, "token_file")
-    kind = "<u2"  # ids up to 49,407
-    huffman.write(stored(tokens.token_ids(docs, tokenizer("word_bpe_49k.json"), end_id=1, kind=kind), "ids"), path, kind)
+    path, file = new_path(spark, "token_file"), tokenizer("word_bpe_49k.json")
+    kind = tokens.narrowest(file)
+    found = stored(tokens.token_ids(docs, file, end_id=1, kind=kind, special=True, counted=True), "ids")
+    huffman.write(found.where("counts IS NULL").select("doc_id", "ids"), path, kind, found.where("counts IS NOT NULL").select("counts"))
     return huffman.read(spark, path).select(
         "doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
