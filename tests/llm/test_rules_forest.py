@@ -72,3 +72,14 @@ def test_odd_documents(spark):
     none = spark.createDataFrame([], labels.schema)
     assert R.judge(given, none).count() == given.count()
     assert R.judge(given.limit(0), labels).count() == 0
+
+
+def test_the_sample_is_the_same_under_the_bound(spark):
+    """Rows under the hash bound hold the smallest ones; with too few of them all rows are sorted."""
+    from pyspark.sql import functions as F
+
+    from vacanta.llm.common import least
+    order = F.xxhash64("id", F.lit(3))
+    for df in (spark.range(5000), spark.range(5000).selectExpr("id % 7 AS id"), spark.range(10)):
+        for k in (1, 20, 100):
+            assert sorted(r[0] for r in least(df, order, k, "id").collect()) == sorted(r[0] for r in df.orderBy(order, "id").limit(k).collect())

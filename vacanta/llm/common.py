@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
@@ -35,6 +35,26 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with underscores after it until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def least(df: DataFrame, order: Column, k: int, *ties: str) -> DataFrame:
+    """The ``k`` rows of ``df`` with the smallest ``order`` (a 64-bit hash), ties by columns.
+    Only rows under a bound on the hash are sorted, about 2 k of all tasks together; the
+    bound follows from the row count, and is dropped if fewer than ``k`` rows lie under it."""
+    total = df.count()
+    if total > 4 * k:
+        near = df.where(order < int(-2 ** 63 + 2 ** 64 * 2 * k / total))
+        if near.count() >= k:
+            df = near
+    return df.orderBy(order, *ties).limit(k)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: str | T.StructType, setup: Callable | None = None) -> DataFrame:
     """``fn`` over every Arrow batch of ``df``; ``setup()`` runs once per task and

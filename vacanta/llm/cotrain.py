@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import least, map_batches
 
 #: Character classes by byte.
 CLASSES = [b" ", b"\n", b"\t\v\f\r", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".,", b"!?",
@@ -135,10 +135,10 @@ class CoTrained:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, pool: int = 6000, seed: int = 11) -> CoTrained | None:
     """The co-trained model, or None without labels of both kinds."""
     order = F.xxhash64("doc_id", F.lit(seed))
-    truth = (labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
-             .agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(max_labelled))
-    free = (docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
-            .join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool))
+    truth = least(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")),
+                  order, max_labelled, "doc_id")
+    free = least(docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(labels.select("doc_id"), "doc_id", "left_anti"),
+                 order, pool, "doc_id")
     # Bounded by max_labelled + pool rows.
     drawn = F.broadcast(truth.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("quality"))))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, stored
+from .common import least, map_batches, stored
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
               "n_lines", "n_upper", "n_marks", "n_adjacent", "n_top_word")
@@ -145,8 +145,7 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = 100, sample: int = 25
           seed: int = 7) -> DataFrame:
     """(doc_id, the statistics, base_failed, score, kept) for every row of ``docs``."""
     rows = stored(document_statistics(docs), "statistics")
-    drawn = (rows.where(~F.col("base_failed")).orderBy(F.xxhash64("doc_id", F.lit(seed)), *STATISTICS)
-             .limit(trees * sample).select(*STATISTICS).toPandas())
+    drawn = least(rows.where(~F.col("base_failed")), F.xxhash64("doc_id", F.lit(seed)), trees * sample, *STATISTICS).select(*STATISTICS).toPandas()
     forest = IsolationForest(features({c: drawn[c].to_numpy(np.int64) for c in STATISTICS}), trees, sample, seed)
 
     schema, columns = T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]), rows.columns
