@@ -28,7 +28,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to surrogates; n_chars follows the text."""
     replaced = pii.pseudonymise(docs, pii_key(spark))
-    n_chars = F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    n_chars = F.when(F.col(replaced.columns[-1]) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return replaced.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

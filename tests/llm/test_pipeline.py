@@ -57,3 +57,22 @@ def test_stages_take_odd_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             state = corpus_pipeline.stored(stage(spark, state, SF_SMALL), name)
         assert (state.count() > 0) == (rows > 0)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use inside are a caller's columns too, with repeated rows."""
+    from pyspark.sql import functions as F
+    names = ["n_replaced", "_again", "_hash", "_id", "text_hash", "own", "tries", "fp", "root", "component_id"]
+    texts = ["Dr. Anna Schmidt wrote to anna@example.org about the plan for the year", "another text about nothing much at all"] * 2
+    given = docs(spark, [(1, texts[0]), (1, texts[0]), (2, texts[1]), (3, "call +1 415 555 0123 now please")]).select(*COLUMNS)
+    for k, n in enumerate(names):
+        given = given.withColumn(n, F.lit(f"mine {k}"))
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.personal_data):
+        out = stage(spark, given, SF_SMALL)
+        assert out.columns == given.columns
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == {1, 2, 3}
+        assert all(r[n] == f"mine {k}" for r in rows for k, n in enumerate(names))
+    replaced = pii.pseudonymise(given, b"a key of the test")
+    assert replaced.columns == [*given.columns, "n_replaced_"]
+    assert {r["n_replaced_"] > 0 for r in replaced.where("doc_id <> 2").collect()} == {True}

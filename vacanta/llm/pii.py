@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, stored
+from .common import free_name, map_batches, stored
 
 #: Attempts drawn at first; twice as many whenever they do not settle all collisions.
 ATTEMPTS = 8
@@ -387,7 +387,8 @@ def redrawn(found: DataFrame) -> DataFrame | None:
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced, and ``n_replaced``."""
+    """``docs`` with every entity of ``text`` replaced, and their number as a last column
+    ``n_replaced`` (underscores follow where ``docs`` has that name)."""
     attempts = ATTEMPTS
     while True:
         found = stored(_found(docs, key, attempts), "found")
@@ -399,16 +400,17 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             if attempts > MOST_ATTEMPTS:
                 raise
     columns, with_maps = docs.columns, docs
+    count, redo_map = free_name(columns, "n_replaced"), free_name(columns, "_again")
     if again is not None:
         maps = (found.select("doc_id", "text_hash", "own").join(again, "own").groupBy("doc_id", "text_hash")
-                .agg(F.map_from_entries(F.collect_set(F.struct("own", "attempt"))).alias("_again")))
-        maps = maps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_again")
+                .agg(F.map_from_entries(F.collect_set(F.struct("own", "attempt"))).alias("redo")))
+        maps = maps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("redo").alias(redo_map))
         with_maps = docs.join(maps, docs["doc_id"].eqNullSafe(maps["_id"]) & (F.xxhash64(docs["text"]) == maps["_hash"]),
-                              "left").select(*[docs[c] for c in columns], "_again")
+                              "left").select(*[docs[c] for c in columns], maps[redo_map])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         make, texts, counts = Surrogates(key), [], []
-        attempts = batch.column("_again").to_pylist() if "_again" in batch.schema.names else [None] * batch.num_rows
+        attempts = batch.column(redo_map).to_pylist() if redo_map in batch.schema.names else [None] * batch.num_rows
         for text, redo in zip(batch.column("text").to_pylist(), attempts):
             redo, out, at = dict(redo or ()), [], 0
             spans = entities(text)
@@ -420,6 +422,6 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             texts.append("".join([*out, text[at:]]) if spans else text)
             counts.append(len(spans))
         given = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
-        return pa.record_batch(given | {"n_replaced": pa.array(counts, pa.int64())})
-    schema = T.StructType([*docs.schema, T.StructField("n_replaced", T.LongType())])
+        return pa.record_batch(given | {count: pa.array(counts, pa.int64())})
+    schema = T.StructType([*docs.schema, T.StructField(count, T.LongType())])
     return map_batches(with_maps, run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, stored
+from .common import free_name, map_batches, stored
 
 SHINGLE = 3
 RADIUS = 3
@@ -192,7 +192,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, part_size: int = 4096) -> D
     alone = left.select("tree", F.lit(None).cast("array<long>").alias("queries")).where(F.size("tree") > 1)
     many = left.where("parts > 1")
     other = parts.where("parts > 1").select("choice", "bits", F.col("members").alias("queries"), F.col("part").alias("j"))
-    across = many.join(other, ["choice", "bits"]).where("i < j").select("queries", "tree")
+    # One task per pair of parts of a hot shard, as far as there are partitions.
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = (many.join(other, ["choice", "bits"]).where("i < j").repartition(spread, "choice", "bits", "i", "j")
+              .select("queries", "tree"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = [], []
@@ -267,5 +270,6 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     # Only repeated rows can have passed together; the count says whether there are any.
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() \
             or groups.where("doc_id is null").limit(2).count() > 1:
-        kept = kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+        text_hash = free_name(docs.columns, "_hash")
+        kept = kept.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
     return kept
