@@ -46,6 +46,9 @@ class _Parts(dict):
     def __missing__(self, text: str) -> tuple[int, ...]:
         # Printable ASCII stands for itself.
         own = text.replace(" ", "Ġ") if text.isascii() and text != "\n" else text.encode().decode("latin-1").translate(_ALPHABET)
+        if len(self) > 100_000:  # units that share a part are mostly learnt close together
+            self.clear()
+            self[""] = ()
         ids = self[text] = tuple([t.id for t in self.tokenize(own)])
         return ids
 
@@ -165,7 +168,7 @@ def encoder(path: str, end_id: int, special: bool = False) -> Encoder:
     return _ENCODERS[path, end_id, special]
 
 
-def encoded(batch: pa.RecordBatch, coder: Encoder, slice_bytes: int = 4 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+def encoded(batch: pa.RecordBatch, coder: Encoder, slice_bytes: int = 2 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, ids of the rows from there on), a slice of the batch's texts at a time."""
     column = batch.column("text").fill_null("")
     for a, b in in_slices(column, slice_bytes):
