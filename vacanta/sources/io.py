@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.enrich import JOBS_COLUMNS
+from ..session import compiled_code
 from .bind import RAW_COLUMNS
 
 # ---- fixed values ------------------------------------------------------------
@@ -140,7 +141,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partitions: int
     for k, v in CSV_OPTIONS.items():
         if k != "enforceSchema":
             w = w.option(k, v)
-    w.csv(path)
+    with compiled_code(df.sparkSession):
+        w.csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
@@ -148,7 +150,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    with compiled_code(df.sparkSession):
+        w.parquet(path)
 
 
 def fact_contract(df: DataFrame, columns=JOBS_COLUMNS) -> tuple[DataFrame, list[str]]:

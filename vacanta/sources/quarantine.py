@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..operators.clean import CATEGORY_SCHEMA, DATE_COLS, INT_WIDTHS
 from .bind import RAW_COLUMNS
-from .io import CORRUPT, RAW_TYPES, read_text, type_raw, typed_column
+from .io import CORRUPT, RAW_TYPES, read_text, type_raw, typed_column, write_parquet
 
 REJECT_SCHEMA = T.StructType([*[T.StructField(c, T.StringType()) for c in RAW_COLUMNS], T.StructField(CORRUPT, T.StringType()),
                               T.StructField("reasons", T.ArrayType(T.StringType()))])
@@ -42,7 +42,7 @@ def _reasons() -> list[tuple[str, Column]]:
                 found.append((f"range:{c}", (value < -bound) | (value >= bound)))
         if c in DATE_COLS:
             parsed = F.try_to_date(F.col(c), "yyyy-MM-dd")
-            found.append((f"date:{c}", F.col(c).isNotNull() & (parsed.isNull() | (F.date_format(parsed, "yyyy-MM-dd") != F.col(c)))))
+            found.append((f"date:{c}", F.col(c).isNotNull() & ~F.date_format(parsed, "yyyy-MM-dd").eqNullSafe(F.col(c))))
     as_list = F.from_json("categories", CATEGORY_SCHEMA, {"mode": "PERMISSIVE"})
     found.append(("categories", text("categories").isNotNull() & as_list.isNull()))
     return found
@@ -60,8 +60,7 @@ def route(text: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): ``text`` written once under ``path``, then the accepted rows
     typed, and the rejected rows as they came with their reasons."""
     inspected = inspect(text)
-    (inspected.withColumn("rejected", F.size("reasons") > 0)
-     .write.mode("overwrite").partitionBy("rejected").parquet(path))
+    write_parquet(inspected.withColumn("rejected", F.size("reasons") > 0), path, partition_by=["rejected"])
     return routed(text.sparkSession, path)
 
 
