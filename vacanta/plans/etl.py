@@ -33,12 +33,13 @@ def run_pipeline(spark: SparkSession, csv_path: str, out_dir: str, nrows: int |
     if not keep_rejects:
         C.raise_on_violations(quarantine.reject_report(rejected), "rows", "reason")
     IO.insert_raw(raw, f"{out_dir}/raw", replace)
-    def store(rows):
-        IO.write_parquet(rows, f"{out_dir}/clean_rows")
-        return spark.read.schema(rows.schema).parquet(f"{out_dir}/clean_rows")
+    def store(rows, name="clean_rows"):
+        IO.write_parquet(rows, f"{out_dir}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{out_dir}/{name}")
     steps = StepCounts()
     IO.write_parquet(C.clean_stored(raw, store, prune=True, steps=steps), f"{out_dir}/clean")
-    IO.insert_jobs(steps.watch("enriched", E.feature_enrichment(spark.read.parquet(f"{out_dir}/clean"))), f"{out_dir}/jobs", replace)
+    enriched = E.feature_enrichment(spark.read.parquet(f"{out_dir}/clean"), store=lambda titles: store(titles, "titles"))
+    IO.insert_jobs(steps.watch("enriched", enriched), f"{out_dir}/jobs", replace)
     IO.write_parquet(steps.ledger(spark), f"{out_dir}/steps")
     IO.write_parquet(finance_features(spark.read.parquet(f"{out_dir}/jobs")), f"{out_dir}/finance")
     return True

@@ -10,6 +10,7 @@ from ..operators import quality as Q
 from ..sources.bind import RAW_COLUMNS
 from ..sources.tables import TABLES, scan
 from ..functions.text import WHITESPACE_CLASS
+from ..session import stored
 from .oracle_base import BIND, CLEAN, GHOST_SQL, JOBS, sql_py_strip, with_ctes
 from .postings import Postings
 from .registry import register
@@ -271,7 +272,7 @@ def q_sub_sector_bridge(spark, sf):
     """E-06 through the bridge (left join on the position-1 row) -- same result."""
     p = Postings(spark, sf)
     clean = p.clean()
-    return E.feature_enrichment(clean, C.category_bridge(clean)).select("job_id", "sub_sector")
+    return E.feature_enrichment(clean, C.category_bridge(clean), store=lambda titles: stored(titles, "titles")).select("job_id", "sub_sector")
 
 
 @register("competitiveness_score", _j("SELECT job_id, competitiveness_score FROM jobs"))
