@@ -143,11 +143,13 @@ def benchmark_cells(ok: DataFrame, min_n: int = MIN_N) -> DataFrame:
                                          for i, n in enumerate(["mid_p25", "mid_p50", "mid_p75"])]))
 
 
-def salary_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N) -> DataFrame:
+def salary_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N, store=None) -> DataFrame:
     """H-06: for each request (``request_id`` + any of the four dims, null =
     not narrowed), the benchmark of the most specific rung with a cell of at
     least ``min_n``; else the global ok-salary figures (unrounded). The ladder runs
-    once per distinct configuration; other columns of the requests are kept."""
+    once per distinct configuration; other columns of the requests are kept. ``store`` (rows
+    -> the written rows) keeps the configurations' answers, so that the planner knows their
+    bytes and need not deal out the requests by configuration."""
     ok = market.where(F.col("salary_flag") == "ok")
     cells = benchmark_cells(ok, min_n)
     spec = reduce(lambda a, b: a + b, [F.when(F.col(d).isNotNull(), 1 << i).otherwise(0) for i, d in enumerate(DIMS)])
@@ -174,6 +176,7 @@ def salary_lookup(market: DataFrame, requests: DataFrame, min_n: int = MIN_N) ->
     best = (matched.groupBy(*asked)
             .agg(F.min(F.struct("rung_no", "grain", "n", "mid_p25", "mid_p50", "mid_p75")).alias("b"))
             .select(*asked, "b.grain", "b.n", "b.mid_p25", "b.mid_p50", "b.mid_p75"))
+    best = store(best) if store else best
     glob = ok.agg(F.count(F.lit(1)).alias("g_n"), _pcts("salary_midpoint").alias("g_q"))
     g_n, g_q = scalar(glob, "g_n"), scalar(glob, "g_q")
     same = reduce(lambda a, b: a & b, [requests[d].eqNullSafe(best[c]) for d, c in zip(DIMS, asked)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import benchmark as H
+from ..session import stored
 from . import params as P
 from .oracle_base import BIND, CLEAN, JOBS, with_ctes
 from .postings import Postings
@@ -167,7 +168,8 @@ def q_salary_position_flag(spark, sf):
     m = _m(spark, sf)
     ok = m.where(F.col("salary_flag") == "ok")
     req = ok.select(F.col("job_id").alias("request_id"), *H.DIMS, F.col("salary_midpoint").alias("salary"))
-    return H.salary_position_flag(H.salary_lookup(m, req)).select("request_id", "grain", "salary", "mid_p25", "mid_p75", "salary_position")
+    looked_up = H.salary_lookup(m, req, store=lambda best: stored(best, "benchmarks"))
+    return H.salary_position_flag(looked_up).select("request_id", "grain", "salary", "mid_p25", "mid_p75", "salary_position")
 
 
 _NORMS = f"""cell AS (
