@@ -8,6 +8,7 @@ from vacanta.functions.text import python_title
 from vacanta.operators import benchmark as H
 from vacanta.operators import clean as C
 from vacanta.operators import enrich as E
+from vacanta.operators import market as M
 from vacanta.plans.postings import Postings
 from vacanta.session import JIT_METHOD_BYTES, compiled_code, stored
 from vacanta.sources.bind import RAW_COLUMNS
@@ -86,3 +87,13 @@ def test_lost_dates_and_titles_as_before(spark):
     assert df.agg(C.lossy_dates(["d"])["d"].alias("n")).first()["n"] == 3
     titles = spark.createDataFrame([("it's a c++ job",), (None,), ("",)], "t string").select(python_title(F.col("t"))).collect()
     assert [r[0] for r in titles] == ["It'S A C++ Job", None, ""]
+
+
+def test_first_members_are_found_in_bounded_tasks(spark):
+    clean = _clean(spark)
+    for df in (C.flag_duplicates(clean.drop("dup_group_id", "dup_group_size", "is_same_day_dup", "is_first_seen")),
+               M.dedup_first_seen(E.feature_enrichment(clean).select(*E.JOBS_COLUMNS))):
+        lines = _plan(df).splitlines()
+        partial = next(i for i, line in enumerate(lines) if "SortAggregate" in line and "partial_min" in line)
+        below = [line for line in lines[partial + 1:] if "Scan" in line or "_order" in line and "Exchange hashpartitioning" in line]
+        assert "Exchange" in below[0]  # dealt out before the sort of the aggregate
