@@ -4,7 +4,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from vacanta.functions.text import python_title
+from vacanta.functions.text import INVISIBLE_CLASS, WHITESPACE_CLASS, python_title, repair
 from vacanta.operators import benchmark as H
 from vacanta.operators import clean as C
 from vacanta.operators import enrich as E
@@ -97,3 +97,26 @@ def test_first_members_are_found_in_bounded_tasks(spark):
         partial = next(i for i, line in enumerate(lines) if "SortAggregate" in line and "partial_min" in line)
         below = [line for line in lines[partial + 1:] if "Scan" in line or "_order" in line and "Exchange hashpartitioning" in line]
         assert "Exchange" in below[0]  # dealt out before the sort of the aggregate
+
+
+def test_cleaning_tries_no_pattern_per_character(spark):
+    rows = [("2024-02-29", "It's a  job", "acme")]
+    df = spark.createDataFrame(rows, "metadata_newPostingDate string, title string, postedCompany_name string")
+    plan = _plan(C.normalize_text(C.parse_dates(df, ["metadata_newPostingDate"])))
+    assert plan.count("translate(") >= 2 and "200B" not in plan  # every value meets one translate
+    assert "cast(metadata_newPostingDate" in plan  # a date's plain form is cast
+
+
+def test_repair_and_dates_as_the_patterns_have_them(spark):
+    singles = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    texts = [(f"{c}a{c}{c}b ​ {c}",) for c in singles] + [(c,) for c in singles[:300]] + [("",), (None,)]
+    df = spark.createDataFrame(texts, "t string")
+    spaces = F.regexp_replace(F.regexp_replace("t", INVISIBLE_CLASS, ""), WHITESPACE_CLASS + "+", " ")
+    assert df.where(~F.trim(spaces).eqNullSafe(repair(F.col("t")))).count() == 0
+    dates = ["2024-02-29", "2023-02-29", "2024-1-01", " 2024-01-01", "2024-01-01\n", "2024-01-01T00", "0000-01-01", "+12345-01-01", "9999-12-31",
+             "2024-13-01", "1582-10-10", "", None]
+    df = spark.createDataFrame([(d,) for d in dates], "d string")
+    by_pattern = F.try_to_date("d", "yyyy-MM-dd")
+    both = df.select("d", by_pattern.cast("string").alias("old"), F.date_format(by_pattern, "yyyy-MM-dd").alias("text")).collect()
+    assert [r["d"] for r in C.parse_dates(df, ["d"]).select(F.col("d").cast("string")).collect()] == [r["old"] for r in both]
+    assert df.agg(C.lossy_dates(["d"])["d"].alias("n")).first()["n"] == sum(r["d"] is not None and r["d"] != r["text"] for r in both) == 7
